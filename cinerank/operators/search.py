@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinerank.functions.text import tokenise
-from cinerank.operators.skew import lookup_join
+from cinerank.operators.skew import lookup_join, materialise_measured, sized_join
 from cinerank.operators.topk import as_ranked_list, first_k, top_k
-from cinerank.session import materialise
+from cinerank.session import materialise, spread
 
 K1 = 1.2
 B = 0.75
@@ -30,15 +30,19 @@ SLACK = 2e-6
 
 @dataclass(frozen=True)
 class TextIndex:
-    """``postings``: field, term, doc_id, weight, level.
-
-    ``weight`` is what one occurrence of the term in a query adds to the
-    document's score; ``level`` places it in ``LEVELS`` equal steps up to the
-    term's largest weight, which ``terms`` (field, term, df, idf, ceiling) holds.
+    """``postings``: field, term, text_id, weight, level; ``terms``: field, term, df, idf,
+    ceiling; ``members``: field, text_id, doc_id.
+
+    Documents with the same text in a field share one entry, named by the
+    smallest of their ids, so scoring does not grow with repeated titles or
+    genre lists.  ``weight`` is what one occurrence of the term in a query adds
+    to the score; ``level`` places it in ``LEVELS`` equal steps up to the term's
+    largest weight, the ``ceiling``.
     """
 
     postings: DataFrame
     terms: DataFrame
+    members: DataFrame
 
 
 def token_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -50,12 +54,22 @@ def token_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def field_tokens(docs: DataFrame, doc_id: str, fields: Sequence[str]) -> DataFrame:
-    """One row per document and field with its tokens, from a single scan."""
+    """One row per document and field: doc_id, field, text_key, terms; from a single scan."""
     entries = F.array(
-        *[F.struct(F.lit(f).alias("field"), tokenise(F.col(f)).alias("terms")) for f in fields]
+        *[
+            F.struct(
+                F.lit(f).alias("field"),
+                F.unhex(F.md5(F.col(f))).alias("text_key"),
+                tokenise(F.col(f)).alias("terms"),
+            )
+            for f in fields
+        ]
     )
     return docs.select(F.col(doc_id).alias("doc_id"), F.explode(entries).alias("entry")).select(
-        "doc_id", "entry.field", F.coalesce("entry.terms", F.expr("array()")).alias("terms")
+        "doc_id",
+        "entry.field",
+        "entry.text_key",
+        F.coalesce("entry.terms", F.expr("array()")).alias("terms"),
     )
 
 
@@ -66,16 +80,6 @@ def field_statistics(tokens: DataFrame) -> DataFrame:
     )
 
 
-def term_counts(tokens: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """field, term, doc_id, length, tf.  Counting combines within documents before the shuffle."""
-    rows = tokens.select(
-        "field", "doc_id", F.size("terms").alias("length"), F.explode("terms").alias("term")
-    )
-    if only is not None:
-        rows = lookup_join(rows, only.select("term").distinct(), "term", "left_semi", computed=True)
-    return rows.groupBy("field", "term", "doc_id", "length").agg(F.count("*").alias("tf"))
-
-
 def inverse_document_frequency(n_docs: Column, df: Column) -> Column:
     return F.log(1 + (n_docs.cast("double") - df + 0.5) / (df + 0.5))
 
@@ -85,24 +89,49 @@ def build_index(
 ) -> TextIndex:
     """Index whole documents.  ``only`` (term) limits the postings, not the statistics.
 
-    Texts are tokenised once for the counts, which are written, and once for
-    the lengths, which need no shuffle.
+    Tokens are counted per text before the shuffle, and a count covers all
+    documents with that text; dividing by their number gives the frequency in
+    one.
     """
+    docs = spread(docs.select(doc_id, *fields), doc_id)
     tokens = field_tokens(docs, doc_id, fields)
-    statistics = F.broadcast(field_statistics(tokens))  # one row per field
+    statistics = materialise(field_statistics(tokens), "field-statistics")
+    keyed = tokens.select("field", "text_key", "doc_id")
+    texts = materialise(
+        keyed.groupBy("field", "text_key").agg(
+            F.min("doc_id").alias("text_id"), F.count("*").alias("copies")
+        ),
+        "texts",
+    )
+    members = lookup_join(keyed, texts.drop("copies"), ["field", "text_key"]).select(
+        "field", "text_id", "doc_id"
+    )
+    rows = tokens.select(
+        "field", "text_key", F.size("terms").alias("length"), F.explode("terms").alias("term")
+    )
+    if only is not None:
+        rows = lookup_join(rows, only.select("term").distinct(), "term", "left_semi", computed=True)
+    counted = rows.groupBy("field", "term", "text_key", "length").agg(F.count("*").alias("n"))
+    tf = F.col("n") / F.col("copies")
     length = 1 - B + B * F.col("length") / F.col("mean_length")
-    saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)
     counts = materialise(
-        term_counts(tokens, only)
-        .join(statistics, "field")
-        .select("field", "term", "doc_id", "n_docs", saturated.alias("saturated")),
+        lookup_join(counted, texts, ["field", "text_key"])
+        .join(F.broadcast(statistics), "field")  # one row per field
+        .select(
+            "field",
+            "term",
+            "text_id",
+            "copies",
+            "n_docs",
+            (tf * (K1 + 1) / (tf + K1 * length)).alias("saturated"),
+        ),
         "term-counts",
     )
     idf = inverse_document_frequency(F.col("n_docs"), F.col("df"))
-    terms = materialise(
+    terms, size = materialise_measured(
         counts.groupBy("field", "term")
         .agg(
-            F.count("*").alias("df"),
+            F.sum("copies").alias("df"),
             F.max("n_docs").alias("n_docs"),
             F.max("saturated").alias("highest"),
         )
@@ -112,16 +141,16 @@ def build_index(
         "terms",
     )
     weight = F.col("idf") * F.col("saturated")
-    postings = lookup_join(
-        counts, terms.select("field", "term", "idf", "ceiling"), ["field", "term"]
+    postings = sized_join(
+        counts, terms.select("field", "term", "idf", "ceiling"), ["field", "term"], size
     ).select(
         "field",
         "term",
-        "doc_id",
+        "text_id",
         weight.alias("weight"),
         level_of(weight, F.col("ceiling")).alias("level"),
     )
-    return TextIndex(postings, terms)
+    return TextIndex(postings, terms, members)
 
 
 def level_of(weight: Column, ceiling: Column) -> Column:
@@ -132,17 +161,21 @@ def level_of(weight: Column, ceiling: Column) -> Column:
 def write_index(index: TextIndex, path: str) -> None:
     """Store the index with postings ordered by term, so that a term reads few row groups.
 
-    The range key includes the document, so a frequent term fills many files.
+    The range key includes the text, so a frequent term fills many files.
     """
-    keys = ["term", "doc_id"]
-    index.postings.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode(
-        "overwrite"
-    ).parquet(f"{path}/postings")
+    keys = ["term", "text_id"]
+    ordered = index.postings.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ordered.write.mode("overwrite").parquet(f"{path}/postings")
     index.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    keys = ["text_id", "doc_id"]
+    grouped = index.members.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    grouped.write.mode("overwrite").parquet(f"{path}/members")
 
 
 def read_index(spark: SparkSession, path: str) -> TextIndex:
-    return TextIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"))
+    return TextIndex(
+        *[spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "members")]
+    )
 
 
 def query_term_rows(requests: DataFrame, query: str) -> DataFrame:
@@ -166,7 +199,7 @@ def _requirements(
     the result.  A document that reaches the floor has no posting weaker than
     the floor less the ceilings of all other terms.
     """
-    best = first_k(postings, k, ["field", "term"], [F.desc("weight"), "doc_id"], "_place")
+    best = first_k(postings, k, ["field", "term"], [F.desc("weight"), "text_id"], "_place")
     kth = best.groupBy("field", "term").agg(
         F.when(F.count("*") >= k, F.min("weight")).alias("kth")
     )
@@ -193,11 +226,12 @@ def search_texts(requests: DataFrame, query: str, index: TextIndex, k: int = PAG
 
     Queries meet postings on (field, term, level) and ask only for the levels
     that can matter to them, so a term found everywhere is not paired with
-    every query that holds it.  The scores that count stay exact.
+    every query that holds it.  The best ``k`` texts of each field then stand
+    for their documents: a document outside them has ``k`` others before it.
     """
     query_terms = materialise(query_term_rows(requests, query), "query-terms")
     wanted = query_terms.select("term").distinct()
-    postings = lookup_join(index.postings, wanted, "term", "left_semi", computed=True)
+    postings = lookup_join(index.postings, wanted, "term", "left_semi")
     needs = _requirements(query_terms, postings, index.terms, k)
     lowest = level_of(F.col("need"), F.col("ceiling"))
     asked = needs.select(
@@ -211,13 +245,23 @@ def search_texts(requests: DataFrame, query: str, index: TextIndex, k: int = PAG
     matched = lookup_join(postings, asked, ["field", "term", "level"], computed=True).filter(
         F.col("weight") >= F.col("need")
     )
-    scored = (
-        matched.groupBy("query", "doc_id", "field")
-        .agg(F.sum(F.col("qtf") * F.col("weight")).alias("field_score"))
+    scored = matched.groupBy("query", "field", "text_id").agg(
+        F.round(F.sum(F.col("qtf") * F.col("weight")), DECIMALS).alias("score")
+    )
+    texts = materialise(top_k(scored, k, ["query", "field"], "score", "text_id"), "best-texts")
+    hit = texts.select("field", "text_id").distinct()
+    holders = lookup_join(index.members, hit, ["field", "text_id"], "left_semi")
+    # Of each text the k smallest document ids can be needed, and no more.
+    first = first_k(holders, k, ["field", "text_id"], ["doc_id"], "_place").groupBy(
+        "field", "text_id"
+    ).agg(F.collect_list("doc_id").alias("_docs"))
+    found = lookup_join(texts, first, ["field", "text_id"], computed=True)
+    documents = (
+        found.select("query", "score", F.explode("_docs").alias("doc_id"))
         .groupBy("query", "doc_id")
-        .agg(F.round(F.max("field_score"), DECIMALS).alias("score"))
+        .agg(F.max("score").alias("score"))
     )
-    return top_k(scored, k, "query", "score", "doc_id")
+    return top_k(documents, k, "query", "score", "doc_id")
 
 
 def hits_by_text(hits: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,15 +35,26 @@ def _value_bytes(field: T.StructField) -> Column | None:
     return None
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """Size of the rows of ``df``, measured by one aggregate over them."""
+def _total_bytes(df: DataFrame) -> Column:
     sizes = [size for size in map(_value_bytes, df.schema.fields) if size is not None]
     per_row = reduce(
         lambda total, size: total + F.coalesce(size, F.lit(0)).cast("long"),
         sizes,
         F.lit(16 * len(df.columns)).cast("long"),
     )
-    return df.agg(F.sum(per_row)).first()[0] or 0
+    return F.sum(per_row)
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Size of the rows of ``df``, measured by one aggregate over them."""
+    return df.agg(_total_bytes(df)).first()[0] or 0
+
+
+def materialise_measured(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """Write ``df`` once and learn the size of its rows from the same job."""
+    seen = Observation()
+    stored = materialise(df.observe(seen, _total_bytes(df).alias("bytes")), label)
+    return stored, seen.get.get("bytes") or 0
 
 
 def hot_keys(
@@ -112,7 +123,21 @@ def lookup_join(
     once, so that measuring it does not repeat the work.
     """
     if computed:
-        right = materialise(right, "lookup")
-    if measured_bytes(right) <= limit:
+        right, size = materialise_measured(right, "lookup")
+    else:
+        size = measured_bytes(right)
+    return sized_join(left, right, on, size, how, limit)
+
+
+def sized_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: str | Sequence[str],
+    size: int,
+    how: str = "inner",
+    limit: int = BROADCAST_LIMIT,
+) -> DataFrame:
+    """``lookup_join`` for a ``right`` side that has been measured already."""
+    if size <= limit:
         return left.join(F.broadcast(right), _keys(on), how)
     return salted_join(left, right, on, how)

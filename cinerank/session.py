@@ -18,6 +18,8 @@ def build_session(app_name: str, master: str | None = None, **conf: str) -> Spar
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Recording the Python call site of every column expression slows plan building.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)
@@ -60,6 +62,20 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give every core a share of a small input before work that is heavy per row.
+
+    A file smaller than one read split lands in one task.  The plan's size says
+    when that is so; larger inputs have enough splits and are left alone.
+    """
+    context = df.sparkSession.sparkContext
+    split = 16 * 1024 * 1024
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > split * context.defaultParallelism:
+        return df
+    return df.repartition(context.defaultParallelism, *keys)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Let iterative training checkpoint into the shared folder."""
     context = spark.sparkContext

@@ -32,7 +32,8 @@ def _moments_sql() -> str:
             )
         for o in others:
             parts.append(
-                f"SELECT {single}, '{o}' AS other, round(covar_samp({c}, {o}), 3) AS covariance,"
+                f"SELECT {single}, '{o}' AS other, round(covar_samp({c}, {o}), 3) + 0.0"
+                " AS covariance,"
                 f" round(corr({c}, {o}), 6) AS correlation FROM lineitem, means"
             )
     return f"WITH means AS (SELECT {means} FROM lineitem) " + " UNION ALL ".join(parts)
@@ -49,7 +50,7 @@ def x_matrix_stats(spark, d):
             "mean": F.round("mean", 6),
             "skewness": F.round("skewness", 6),
             "kurtosis": F.round("kurtosis", 6),
-            "covariance": F.round("covariance", 3),
+            "covariance": F.round("covariance", 3) + 0.0,
             "correlation": F.round("correlation", 6),
         }
     )
@@ -83,22 +84,18 @@ def x_children_agg(spark, d):
 
 @query(
     "x_percolate",
-    "WITH q AS (SELECT p_partkey AS query_id, unnest(list_distinct(" + tokens_sql("concat(p_name, ' ', p_type)")
-    + ")) AS term FROM part),"
-    " stored AS (SELECT query_id, list_sort(list(term)) AS terms FROM q GROUP BY query_id),"
-    " found AS (SELECT DISTINCT terms FROM stored),"
-    " d AS (SELECT doc_id, unnest(list_distinct(" + tokens_sql("text") + ")) AS term FROM documents),"
-    " matched AS (SELECT terms, doc_id FROM (SELECT terms, unnest(terms) AS term FROM found)"
-    " JOIN d USING (term) GROUP BY terms, doc_id HAVING count(*) = len(terms))"
-    " SELECT query_id, doc_id FROM stored JOIN matched USING (terms)",
+    f"WITH q AS (SELECT item_id, unnest(list_distinct({tokens_sql('text')})) AS term FROM benchmark),"
+    " sizes AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id),"
+    f" d AS (SELECT doc_id, unnest(list_distinct({tokens_sql('text')})) AS term FROM documents),"
+    " held AS (SELECT item_id, doc_id, count(*) AS n FROM q JOIN d USING (term)"
+    " GROUP BY item_id, doc_id)"
+    " SELECT item_id AS query_id, doc_id FROM held JOIN sizes USING (item_id, n)",
 )
 def x_percolate(spark, d):
-    parts = views.table(spark, d, "part").select(
-        "p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("query")
-    )
-    return extras.percolate(
-        views.table(spark, d, "documents"), "doc_id", "text", parts, "p_partkey", "query"
-    )
+    """Benchmark passages as stored queries: which documents hold all words of which passage."""
+    stored = views.table(spark, d, "benchmark")
+    documents = views.table(spark, d, "documents")
+    return extras.percolate(documents, "doc_id", "text", stored, "item_id", "text")
 
 
 # The listed neighbours of a vector are right when they carry its label.
@@ -138,7 +135,8 @@ def x_rank_eval(spark, d):
     "x_pinned",
     with_views(
         "ranked_d",
-        "SELECT user_id, movie_id, score, place, rank FROM (SELECT *, CAST(row_number() OVER"
+        "SELECT CAST(user_id AS INT) AS user_id, CAST(movie_id AS INT) AS movie_id, score, place, rank"
+        " FROM (SELECT *, CAST(row_number() OVER"
         " (PARTITION BY user_id ORDER BY place NULLS LAST, score DESC NULLS LAST, movie_id) AS INT)"
         " AS rank FROM merged) WHERE rank <= 10",
         pins="SELECT u.vec_id AS user_id, i.first AS movie_id, 1 AS place FROM embeddings u JOIN"

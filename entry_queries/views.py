@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cinerank.operators.factors import recommendation_lists, top_k_items
 from cinerank.plans.clean import clean_catalogue
@@ -16,8 +17,15 @@ from cinerank.sources import read_table
 from cinerank.sources.schemas import FLAG_COLUMNS, GENRE_COLUMNS
 
 
+_schemas: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return read_table(spark, f"{folder}/{name}.parquet")
+    """A given table; its schema is looked up once."""
+    path = f"{folder}/{name}.parquet"
+    found = read_table(spark, path, _schemas.get(path))
+    _schemas.setdefault(path, found.schema)
+    return found
 
 
 def epoch_seconds(column: str) -> Column:
