@@ -28,8 +28,8 @@ def users_by_film(recommendations: DataFrame, films: DataFrame) -> DataFrame:
     each entry yields at most one row however many requests share the film.
     """
     wanted = films.select("movie_id").distinct()
-    listed = entries(recommendations).select("movie_id", "user_id").distinct()
-    return lookup_join(listed, wanted, "movie_id", "left_semi", computed=True)
+    listed = entries(recommendations).select("movie_id", "user_id")
+    return lookup_join(listed, wanted, "movie_id", "left_semi")
 
 
 def first_users_by_film(recommendations: DataFrame, films: DataFrame, k: int) -> DataFrame:

@@ -4,6 +4,10 @@ A query matches a document when they share a term.  Each field is scored by
 BM25 (Robertson and Zaragoza 2009) with idf = ln(1 + (N - df + 0.5)/(df + 0.5)),
 k1 = 1.2 and b = 0.75; with several fields the best one counts.  Equal scores
 go to the smaller document id.
+
+Joins against a side that is usually small are sized before they are planned.
+Joins of two large sides are left to adaptive execution, which also splits a
+hot key on either side.
 """
 
 from __future__ import annotations
@@ -95,15 +99,13 @@ def build_index(
     """
     docs = spread(docs.select(doc_id, *fields), doc_id)
     tokens = field_tokens(docs, doc_id, fields)
-    statistics = materialise(field_statistics(tokens), "field-statistics")
     keyed = tokens.select("field", "text_key", "doc_id")
-    texts = materialise(
-        keyed.groupBy("field", "text_key").agg(
-            F.min("doc_id").alias("text_id"), F.count("*").alias("copies")
-        ),
+    key = ["field", "text_key"]
+    texts, texts_size = materialise_measured(
+        keyed.groupBy(*key).agg(F.min("doc_id").alias("text_id"), F.count("*").alias("copies")),
         "texts",
     )
-    members = lookup_join(keyed, texts.drop("copies"), ["field", "text_key"]).select(
+    members = sized_join(keyed, texts.drop("copies"), key, texts_size).select(
         "field", "text_id", "doc_id"
     )
     rows = tokens.select(
@@ -115,8 +117,8 @@ def build_index(
     tf = F.col("n") / F.col("copies")
     length = 1 - B + B * F.col("length") / F.col("mean_length")
     counts = materialise(
-        lookup_join(counted, texts, ["field", "text_key"])
-        .join(F.broadcast(statistics), "field")  # one row per field
+        sized_join(counted, texts, key, texts_size)
+        .join(F.broadcast(field_statistics(tokens)), "field")  # one row per field
         .select(
             "field",
             "term",
@@ -211,7 +213,7 @@ def _requirements(
     others = F.col("reach") - highest
     need = (F.coalesce("floor", F.lit(0.0)) - others - SLACK) / F.col("qtf")
     return (
-        lookup_join(query_terms, figures, "term", computed=True)
+        query_terms.join(figures, "term")
         .withColumn("floor", F.max(F.col("qtf") * F.col("kth")).over(per_query))
         .withColumn("reach", F.sum(highest).over(per_field))
         .select(
@@ -229,9 +231,9 @@ def search_texts(requests: DataFrame, query: str, index: TextIndex, k: int = PAG
     every query that holds it.  The best ``k`` texts of each field then stand
     for their documents: a document outside them has ``k`` others before it.
     """
-    query_terms = materialise(query_term_rows(requests, query), "query-terms")
+    query_terms, size = materialise_measured(query_term_rows(requests, query), "query-terms")
     wanted = query_terms.select("term").distinct()
-    postings = lookup_join(index.postings, wanted, "term", "left_semi")
+    postings = sized_join(index.postings, wanted, "term", size, "left_semi")
     needs = _requirements(query_terms, postings, index.terms, k)
     lowest = level_of(F.col("need"), F.col("ceiling"))
     asked = needs.select(
@@ -248,16 +250,18 @@ def search_texts(requests: DataFrame, query: str, index: TextIndex, k: int = PAG
     scored = matched.groupBy("query", "field", "text_id").agg(
         F.round(F.sum(F.col("qtf") * F.col("weight")), DECIMALS).alias("score")
     )
-    texts = materialise(top_k(scored, k, ["query", "field"], "score", "text_id"), "best-texts")
+    texts, size = materialise_measured(
+        top_k(scored, k, ["query", "field"], "score", "text_id"), "best-texts"
+    )
     hit = texts.select("field", "text_id").distinct()
-    holders = lookup_join(index.members, hit, ["field", "text_id"], "left_semi")
+    holders = sized_join(index.members, hit, ["field", "text_id"], size, "left_semi")
     # Of each text the k smallest document ids can be needed, and no more.
     first = first_k(holders, k, ["field", "text_id"], ["doc_id"], "_place").groupBy(
         "field", "text_id"
     ).agg(F.collect_list("doc_id").alias("_docs"))
-    found = lookup_join(texts, first, ["field", "text_id"], computed=True)
     documents = (
-        found.select("query", "score", F.explode("_docs").alias("doc_id"))
+        texts.join(first, ["field", "text_id"])
+        .select("query", "score", F.explode("_docs").alias("doc_id"))
         .groupBy("query", "doc_id")
         .agg(F.max("score").alias("score"))
     )
@@ -280,7 +284,7 @@ def search(
     lists = hits_by_text(search_texts(requests, query, index, k))
     asked = requests.select(F.col(request_id), F.col(query).alias("query"))
     return (
-        lookup_join(asked, lists, "query", computed=True)
+        asked.join(lists, "query")
         .select(request_id, "query", F.posexplode("hits").alias("_position", "_hit"))
         .select(
             request_id, "query", "_hit.doc_id", "_hit.score", (F.col("_position") + 1).alias("rank")

@@ -12,11 +12,16 @@ from pyspark.sql import functions as F
 from cinerank.operators.catalogue import parameter_missing, with_titles
 from cinerank.operators.lists import first_users_by_film
 from cinerank.operators.search import PAGE, TextIndex, build_index, first_hit, search
-from cinerank.operators.skew import lookup_join
-from cinerank.operators.topk import explode_list
+from cinerank.operators.skew import lookup_join, materialise_measured, sized_join
+from cinerank.operators.topk import as_ranked_list, explode_list
 from cinerank.session import materialise
 
 
+def _nested(ranked: DataFrame, group: str, fields: list[str]) -> DataFrame:
+    """At most ``k`` ranked rows per group as ``recommendations``."""
+    return as_ranked_list(ranked, group, fields, "recommendations")
+
+
 def _text_lookup(requests: DataFrame, text: str) -> DataFrame:
     """Requests whose text is present; only these are searched."""
     return requests.filter(~parameter_missing(F.col(text)))
@@ -46,31 +51,20 @@ def recommend_by_title(
     users (lowest ids) whose published list contains it, each with that list.
     """
     films = materialise(best_films(requests, catalogue, index), "best-films")
-    users = materialise(first_users_by_film(recommendations, films, k), "film-users")
+    users, size = materialise_measured(
+        first_users_by_film(recommendations, films, k), "film-users"
+    )
     wanted = users.select("user_id").distinct()
-    lists = lookup_join(
-        recommendations.select("user_id", "recommendations"),
-        wanted, "user_id", "left_semi", computed=True,
+    lists = sized_join(
+        recommendations.select("user_id", "recommendations"), wanted, "user_id", size, "left_semi"
     )
-    # At most k entries per film.
-    answers = (
-        lookup_join(users, lists, "user_id", computed=True)
-        .groupBy("movie_id")
-        .agg(
-            F.sort_array(
-                F.collect_list(F.struct("user_rank", "user_id", "recommendations"))
-            ).alias("_users")
-        )
-        .select(
-            "movie_id",
-            F.transform(
-                "_users", lambda u: F.struct(u["user_id"].alias("user_id"),
-                                             u["recommendations"].alias("recommendations"))
-            ).alias("recommendations"),
-        )
+    answers = _nested(
+        users.join(lists, "user_id").withColumnRenamed("user_rank", "rank"),
+        "movie_id",
+        ["user_id", "recommendations"],
     )
-    by_title = lookup_join(films, answers, "movie_id", "left", computed=True)
-    joined = lookup_join(requests, by_title, "title", "left", computed=True)
+    by_title = films.join(answers, "movie_id", "left")
+    joined = requests.join(by_title, "title", "left")
     missing = parameter_missing(F.col("title"))
     error = (
         F.when(missing, "title is required")
@@ -100,34 +94,17 @@ def recommend_for_user(
     404 when the user has no rating.  A user who has ratings but is unknown to
     the model gets 500: there is a user and no list to answer with.
     """
-    users = requests.select("user_id").distinct()
-    rated = lookup_join(
-        ratings.select("user_id"), users, "user_id", "left_semi", computed=True
-    ).distinct()
-    lists = lookup_join(recommendations, users, "user_id", "left_semi", computed=True)
+    users, size = materialise_measured(requests.select("user_id").distinct(), "request-users")
+    rated = sized_join(ratings.select("user_id"), users, "user_id", size, "left_semi").distinct()
+    lists = sized_join(recommendations, users, "user_id", size, "left_semi")
     titled = with_titles(explode_list(lists), catalogue)
-    answers = titled.groupBy("user_id").agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct("rank", "movie_id", "title", F.col("rating").alias("predicted_rating"))
-            )
-        ).alias("_ranked")
-    )
-    answers = answers.select(
+    answers = _nested(
+        titled.withColumnRenamed("rating", "predicted_rating"),
         "user_id",
-        F.transform(
-            "_ranked",
-            lambda e: F.struct(
-                e["movie_id"].alias("movie_id"),
-                e["title"].alias("title"),
-                e["predicted_rating"].alias("predicted_rating"),
-            ),
-        ).alias("recommendations"),
-    )
-    found = lookup_join(
-        requests, rated.withColumn("_rated", F.lit(True)), "user_id", "left", computed=True
+        ["movie_id", "title", "predicted_rating"],
     )
-    joined = lookup_join(found, answers, "user_id", "left", computed=True)
+    found = requests.join(rated.withColumn("_rated", F.lit(True)), "user_id", "left")
+    joined = found.join(answers, "user_id", "left")
     status = (
         F.when(F.col("_rated").isNull(), 404)
         .when(F.col("recommendations").isNull(), 500)
