@@ -12,7 +12,7 @@ hot key on either side.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -57,30 +57,38 @@ def token_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     )
 
 
+def _by_field(
+    docs: DataFrame, doc_id: str, fields: Sequence[str], **values: Callable[[Column], Column]
+) -> DataFrame:
+    """One row per document and field with the given values of the field, from one scan."""
+    entries = [
+        F.struct(F.lit(f).alias("field"), *[v(F.col(f)).alias(name) for name, v in values.items()])
+        for f in fields
+    ]
+    return docs.select(
+        F.col(doc_id).alias("doc_id"), F.explode(F.array(*entries)).alias("_entry")
+    ).select("doc_id", "_entry.*")
+
+
+def _text_key(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def _tokens_or_none(text: Column) -> Column:
+    """Tokens; a missing text has none."""
+    return F.coalesce(tokenise(text), F.expr("array()"))
+
+
 def field_tokens(docs: DataFrame, doc_id: str, fields: Sequence[str]) -> DataFrame:
-    """One row per document and field: doc_id, field, text_key, terms; from a single scan."""
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(f).alias("field"),
-                F.unhex(F.md5(F.col(f))).alias("text_key"),
-                tokenise(F.col(f)).alias("terms"),
-            )
-            for f in fields
-        ]
-    )
-    return docs.select(F.col(doc_id).alias("doc_id"), F.explode(entries).alias("entry")).select(
-        "doc_id",
-        "entry.field",
-        "entry.text_key",
-        F.coalesce("entry.terms", F.expr("array()")).alias("terms"),
-    )
+    """doc_id, field, text_key, terms."""
+    return _by_field(docs, doc_id, fields, text_key=_text_key, terms=_tokens_or_none)
 
 
-def field_statistics(tokens: DataFrame) -> DataFrame:
+def field_statistics(docs: DataFrame, doc_id: str, fields: Sequence[str]) -> DataFrame:
     """Documents and mean length per field: as many rows as there are fields."""
-    return tokens.groupBy("field").agg(
-        F.count("*").alias("n_docs"), F.avg(F.size("terms")).alias("mean_length")
+    lengths = _by_field(docs, doc_id, fields, length=lambda text: F.size(_tokens_or_none(text)))
+    return lengths.groupBy("field").agg(
+        F.count("*").alias("n_docs"), F.avg("length").alias("mean_length")
     )
 
 
@@ -99,7 +107,7 @@ def build_index(
     """
     docs = spread(docs.select(doc_id, *fields), doc_id)
     tokens = field_tokens(docs, doc_id, fields)
-    keyed = tokens.select("field", "text_key", "doc_id")
+    keyed = _by_field(docs, doc_id, fields, text_key=_text_key)
     key = ["field", "text_key"]
     texts, texts_size = materialise_measured(
         keyed.groupBy(*key).agg(F.min("doc_id").alias("text_id"), F.count("*").alias("copies")),
@@ -118,7 +126,7 @@ def build_index(
     length = 1 - B + B * F.col("length") / F.col("mean_length")
     counts = materialise(
         sized_join(counted, texts, key, texts_size)
-        .join(F.broadcast(field_statistics(tokens)), "field")  # one row per field
+        .join(F.broadcast(field_statistics(docs, doc_id, fields)), "field")  # one row per field
         .select(
             "field",
             "term",

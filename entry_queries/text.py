@@ -8,7 +8,6 @@ from cinerank.operators.lists import entries, users_by_film
 from cinerank.operators.search import (
     build_index,
     field_statistics,
-    field_tokens,
     first_hit,
     query_term_rows,
     search,
@@ -118,8 +117,8 @@ def search_stats(spark, d):
     ),
 )
 def search_field_stats(spark, d):
-    tokens = field_tokens(views.catalogue(spark, d), "movie_id", ["title", "genres"])
-    return field_statistics(tokens).withColumn("mean_length", F.round("mean_length", 6))
+    figures = field_statistics(views.catalogue(spark, d), "movie_id", ["title", "genres"])
+    return figures.withColumn("mean_length", F.round("mean_length", 6))
 
 
 _TITLE_SEARCH = ("movies_d", "movie_id", ["title"], "SELECT title AS query FROM requests")
