@@ -51,7 +51,7 @@ class TextIndex:
 
 def token_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """One row per token: doc_id, position from 0, term."""
-    return docs.select(
+    return spread(docs.select(doc_id, text), doc_id).select(
         F.col(doc_id).alias("doc_id"),
         F.posexplode(tokenise(F.col(text))).alias("position", "term"),
     )
@@ -188,13 +188,22 @@ def read_index(spark: SparkSession, path: str) -> TextIndex:
     )
 
 
+def _keyed_texts(requests: DataFrame, query: str) -> DataFrame:
+    """Distinct query texts under a 16-byte key; only the key travels with scores."""
+    text = F.col(query)
+    return (
+        requests.select(_text_key(text).alias("query_id"), text.alias("query"))
+        .filter(F.col("query_id").isNotNull())
+        .dropDuplicates(["query_id"])
+    )
+
+
 def query_term_rows(requests: DataFrame, query: str) -> DataFrame:
-    """Distinct query texts with their distinct terms and how often each occurs."""
+    """query_id, term, qtf: the distinct terms of each distinct text and their frequency."""
     return (
-        requests.select(F.col(query).alias("query"))
-        .distinct()
-        .select("query", F.explode(tokenise(F.col("query"))).alias("term"))
-        .groupBy("query", "term")
+        _keyed_texts(requests, query)
+        .select("query_id", F.explode(tokenise(F.col("query"))).alias("term"))
+        .groupBy("query_id", "term")
         .agg(F.count("*").alias("qtf"))
     )
 
@@ -215,8 +224,8 @@ def _requirements(
     )
     figures = terms.select("field", "term", "ceiling").join(kth, ["field", "term"])
     # A query is one text, so these windows hold the terms of one text.
-    per_query = Window.partitionBy("query")
-    per_field = Window.partitionBy("query", "field")
+    per_query = Window.partitionBy("query_id")
+    per_field = Window.partitionBy("query_id", "field")
     highest = F.col("qtf") * F.col("ceiling")
     others = F.col("reach") - highest
     need = (F.coalesce("floor", F.lit(0.0)) - others - SLACK) / F.col("qtf")
@@ -225,14 +234,19 @@ def _requirements(
         .withColumn("floor", F.max(F.col("qtf") * F.col("kth")).over(per_query))
         .withColumn("reach", F.sum(highest).over(per_field))
         .select(
-            "query", "field", "term", "qtf", "ceiling", F.greatest(need, F.lit(0.0)).alias("need")
+            "query_id",
+            "field",
+            "term",
+            "qtf",
+            "ceiling",
+            F.greatest(need, F.lit(0.0)).alias("need"),
         )
         .filter(F.col("need") <= F.col("ceiling"))
     )
 
 
-def search_texts(requests: DataFrame, query: str, index: TextIndex, k: int = PAGE) -> DataFrame:
-    """Best ``k`` documents of each distinct query text: query, doc_id, score, rank.
+def _best_documents(requests: DataFrame, query: str, index: TextIndex, k: int) -> DataFrame:
+    """Best ``k`` documents of each distinct query text: query_id, doc_id, score, rank.
 
     Queries meet postings on (field, term, level) and ask only for the levels
     that can matter to them, so a term found everywhere is not paired with
@@ -245,7 +259,7 @@ def search_texts(requests: DataFrame, query: str, index: TextIndex, k: int = PAG
     needs = _requirements(query_terms, postings, index.terms, k)
     lowest = level_of(F.col("need"), F.col("ceiling"))
     asked = needs.select(
-        "query",
+        "query_id",
         "field",
         "term",
         "qtf",
@@ -255,11 +269,11 @@ def search_texts(requests: DataFrame, query: str, index: TextIndex, k: int = PAG
     matched = lookup_join(postings, asked, ["field", "term", "level"], computed=True).filter(
         F.col("weight") >= F.col("need")
     )
-    scored = matched.groupBy("query", "field", "text_id").agg(
+    scored = matched.groupBy("query_id", "field", "text_id").agg(
         F.round(F.sum(F.col("qtf") * F.col("weight")), DECIMALS).alias("score")
     )
     texts, size = materialise_measured(
-        top_k(scored, k, ["query", "field"], "score", "text_id"), "best-texts"
+        top_k(scored, k, ["query_id", "field"], "score", "text_id"), "best-texts"
     )
     hit = texts.select("field", "text_id").distinct()
     holders = sized_join(index.members, hit, ["field", "text_id"], size, "left_semi")
@@ -269,16 +283,19 @@ def search_texts(requests: DataFrame, query: str, index: TextIndex, k: int = PAG
     ).agg(F.collect_list("doc_id").alias("_docs"))
     documents = (
         texts.join(first, ["field", "text_id"])
-        .select("query", "score", F.explode("_docs").alias("doc_id"))
-        .groupBy("query", "doc_id")
+        .select("query_id", "score", F.explode("_docs").alias("doc_id"))
+        .groupBy("query_id", "doc_id")
         .agg(F.max("score").alias("score"))
     )
-    return top_k(documents, k, "query", "score", "doc_id")
+    return top_k(documents, k, "query_id", "score", "doc_id")
 
 
-def hits_by_text(hits: DataFrame) -> DataFrame:
-    """One row per query text: hits array<struct<doc_id, score>> in rank order."""
-    return as_ranked_list(hits, "query", ["doc_id", "score"], "hits")
+def search_texts(requests: DataFrame, query: str, index: TextIndex, k: int = PAGE) -> DataFrame:
+    """Best ``k`` documents of each distinct query text: query, doc_id, score, rank."""
+    hits = _best_documents(requests, query, index, k)
+    return hits.join(_keyed_texts(requests, query), "query_id").select(
+        "query", "doc_id", "score", "rank"
+    )
 
 
 def search(
@@ -289,10 +306,14 @@ def search(
     Equal texts are searched once, and a popular text is joined back as one
     list, so it costs no more to score than a rare one.
     """
-    lists = hits_by_text(search_texts(requests, query, index, k))
-    asked = requests.select(F.col(request_id), F.col(query).alias("query"))
+    hits = _best_documents(requests, query, index, k)
+    lists = as_ranked_list(hits, "query_id", ["doc_id", "score"], "hits")
+    text = F.col(query)
+    asked = requests.select(
+        F.col(request_id), text.alias("query"), _text_key(text).alias("query_id")
+    )
     return (
-        asked.join(lists, "query")
+        asked.join(lists, "query_id")
         .select(request_id, "query", F.posexplode("hits").alias("_position", "_hit"))
         .select(
             request_id, "query", "_hit.doc_id", "_hit.score", (F.col("_position") + 1).alias("rank")
