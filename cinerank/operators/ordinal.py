@@ -20,9 +20,13 @@ def global_ordinal(
     order_by: Sequence[str | Column],
     name: str = "ordinal",
     partitions: int | None = None,
+    total: str | None = None,
 ) -> DataFrame:
     """Number all rows 1..n in the order of ``order_by``, which must be unique.
 
+    ``total`` names a column for n.  ``partitions`` defaults to the session's
+    shuffle partitions.
+
     Rows are range-partitioned and sorted once; each partition numbers its own
     rows, and the partition sizes (one row each) give the offsets.  The sorted
     rows are written before the sizes are taken, so both reads agree on where
@@ -39,14 +43,19 @@ def global_ordinal(
     ).withColumn("_part", F.shiftright(place, _POSITION_BITS).cast("int"))
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy("_part").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
+    )
     offsets = sizes.select(
-        "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
+        "_part",
+        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
+        F.sum("_size").over(whole).alias(total or "_total"),
     )
     position = place.bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
     return (
         placed.join(F.broadcast(offsets), "_part")
         .withColumn(name, F.col("_offset") + position + 1)
-        .drop("_part", "_offset", "_place")
+        .drop("_part", "_offset", "_place", "_total")
     )
 
 

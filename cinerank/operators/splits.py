@@ -60,8 +60,7 @@ def slice_rows(df: DataFrame, i: int, n: int, order_by: Sequence[str]) -> DataFr
 
 def assign_folds(df: DataFrame, k: int, order_by: Sequence[str]) -> DataFrame:
     """Add ``fold`` 1..k: contiguous slices of the order, sizes differing by at most one."""
-    numbered = global_ordinal(df, order_by)
-    total = numbered.agg(F.count("*").alias("_n"))
+    numbered = global_ordinal(df, order_by, total="_n")
     index = F.col("ordinal") - 1
     small = F.expr(f"_n div {k}")
     larger = F.expr(f"_n % {k}")
@@ -70,13 +69,7 @@ def assign_folds(df: DataFrame, k: int, order_by: Sequence[str]) -> DataFrame:
     fold = F.when(index < boundary, F.floor(index / (small + 1))).otherwise(
         larger + F.floor((index - boundary) / F.greatest(small, F.lit(1)))
     )
-    one_row = F.broadcast(total.withColumn("_one", F.lit(1)))
-    return (
-        numbered.withColumn("_one", F.lit(1))
-        .join(one_row, "_one")
-        .withColumn("fold", (fold + 1).cast("int"))
-        .drop("_one", "_n", "ordinal")
-    )
+    return numbered.withColumn("fold", (fold + 1).cast("int")).drop("_n", "ordinal")
 
 
 def fold_test(folds: DataFrame, i: int) -> DataFrame:

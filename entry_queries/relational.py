@@ -338,9 +338,11 @@ def fold_disjoint(spark, d):
         splits.holdout_per_user(rows, 10, "user_id", "seq", block).filter("is_test").select("seq")
         for block in (1, 2)
     ]
-    common = blocks[0].intersect(blocks[1]).agg(F.count("*").alias("n_common"))
-    tested = blocks[0].unionByName(blocks[1]).agg(F.count("*").alias("n_test"))
-    return common.withColumn("_one", F.lit(1)).join(tested.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    common = blocks[0].intersect(blocks[1]).select(F.lit(1).alias("common"), F.lit(0).alias("test"))
+    tested = blocks[0].unionByName(blocks[1]).select(F.lit(0).alias("common"), F.lit(1).alias("test"))
+    return common.unionByName(tested).agg(
+        F.sum("common").alias("n_common"), F.sum("test").alias("n_test")
+    )
 
 
 @query(
