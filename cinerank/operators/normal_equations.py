@@ -1,0 +1,107 @@
+"""Alternating least squares as joins and grouped sums, for very uneven ratings.
+
+Spark ML keeps all ratings of a film (or user) in one block.  Here a film's
+normal equations are sums over its ratings, so they are formed on the map side
+and a film with any number of ratings reaches the shuffle as one row per task.
+Each half-step costs a join of the ratings, hence Spark ML's own training is
+preferred wherever its blocks are small enough.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cinerank.operators.skew import lookup_join
+from cinerank.session import materialise
+
+_FACTORS = "id int, features array<float>"
+
+
+@dataclass(frozen=True)
+class FactorModel:
+    """The parts of a trained model that scoring needs, under Spark ML's names."""
+
+    rank: int
+    userFactors: DataFrame
+    itemFactors: DataFrame
+
+
+def _first_factors(pairs: DataFrame, key: str, rank: int, seed: int) -> DataFrame:
+    """Unit vectors drawn by hashing the id, so a retried task draws the same."""
+    steps = 1 << 20
+    draws = [
+        F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(i)), F.lit(steps)) / (steps / 2) - 1
+        for i in range(rank)
+    ]
+    drawn = pairs.select(F.col(key).alias("id")).distinct().select("id", *[
+        draw.alias(f"x{i}") for i, draw in enumerate(draws)
+    ])
+    length = F.sqrt(sum((F.col(f"x{i}") * F.col(f"x{i}") for i in range(rank)), F.lit(1e-12)))
+    return drawn.select(
+        "id", F.array(*[(F.col(f"x{i}") / length).cast("float") for i in range(rank)]).alias("features")
+    )
+
+
+def solve_side(
+    pairs: DataFrame, fixed: DataFrame, key: str, other: str, rank: int, reg_param: float
+) -> DataFrame:
+    """Factors of ``key`` that fit ``pairs`` best with the factors of ``other`` fixed.
+
+    The penalty is ``reg_param`` times the number of ratings of the key.
+    """
+    known = fixed.select(F.col("id").alias(other), "features")
+    joined = lookup_join(pairs, known, other)
+    v = [F.col("features")[i].cast("double") for i in range(rank)]
+    upper = [(i, j) for i in range(rank) for j in range(i, rank)]
+    sums = [F.sum(v[i] * v[j]).alias(f"a{i}_{j}") for i, j in upper]
+    sums += [F.sum(F.col("rating") * v[i]).alias(f"b{i}") for i in range(rank)]
+    sums.append(F.count("*").cast("double").alias("n"))
+    totals = joined.groupBy(key).agg(*sums)
+    packed = totals.select(
+        F.col(key).alias("id"), F.array(*[c for c in totals.columns if c != key]).alias("sums")
+    )
+    rows, cols = np.array([i for i, _ in upper]), np.array([j for _, j in upper])
+
+    def solve(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat = batch.column("sums").flatten().to_numpy(zero_copy_only=False)
+            values = flat.reshape(batch.num_rows, -1)
+            matrix = np.zeros((batch.num_rows, rank, rank))
+            matrix[:, rows, cols] = values[:, : len(rows)]
+            matrix[:, cols, rows] = values[:, : len(rows)]
+            right = values[:, len(rows) : len(rows) + rank]
+            diagonal = np.arange(rank)
+            matrix[:, diagonal, diagonal] += (reg_param * values[:, -1])[:, None]
+            solved = np.linalg.solve(matrix, right[:, :, None])[:, :, 0]
+            offsets = np.arange(0, solved.size + 1, rank, dtype=np.int32)
+            features = pa.ListArray.from_arrays(
+                pa.array(offsets), pa.array(solved.astype(np.float32).ravel())
+            )
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").cast(pa.int32()), features], names=["id", "features"]
+            )
+
+    return packed.mapInArrow(solve, _FACTORS)
+
+
+def fit_by_sums(
+    pairs: DataFrame, seed: int, rank: int, max_iter: int, reg_param: float
+) -> FactorModel:
+    """Train on distinct (user_id, movie_id, rating).  Every half-step is written."""
+    users = materialise(_first_factors(pairs, "user_id", rank, seed), "user-factors")
+    items = None
+    for _ in range(max_iter):
+        items = materialise(
+            solve_side(pairs, users, "movie_id", "user_id", rank, reg_param), "item-factors"
+        )
+        users = materialise(
+            solve_side(pairs, items, "user_id", "movie_id", rank, reg_param), "user-factors"
+        )
+    return FactorModel(rank, users, items)
