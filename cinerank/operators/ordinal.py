@@ -67,7 +67,7 @@ def largest_group(df: DataFrame, group: Sequence[str]) -> int:
 def group_ordinal(
     df: DataFrame,
     group: str | Sequence[str],
-    order_by: str | Sequence[str],
+    order_by: str | Sequence[str | Column],
     name: str = "ordinal",
     window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:

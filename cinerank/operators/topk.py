@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cinerank.operators.ordinal import group_ordinal
+
 
 def _columns(names: str | Sequence[str]) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
@@ -23,13 +25,12 @@ def first_k(
 
     In this form Spark cuts each group to ``k`` rows before the shuffle, so a
     hot group sends ``k`` rows per map task and not all its rows.  Spark does
-    this only up to a threshold, hence the check.
+    this only up to a threshold; for a larger ``k`` groups are numbered in a
+    way that bounds each task (``order_by`` should then be unique in a group).
     """
     threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
-    if not 0 < k <= threshold:
-        raise ValueError(
-            f"k must be 1..{threshold} (spark.sql.optimizer.windowGroupLimitThreshold)"
-        )
+    if k > threshold:
+        return group_ordinal(df, group, order_by, rank).filter(F.col(rank) <= k)
     window = Window.partitionBy(*_columns(group)).orderBy(*order_by)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 

@@ -67,8 +67,8 @@ def test_epoch_is_utc_in_any_session_zone(spark):
     try:
         for name in ("UTC", "America/New_York"):
             spark.conf.set("spark.sql.session.timeZone", name)
-            df = spark.range(1).select(epoch_to_utc(F.lit(874724710)).alias("at"))
-            assert df.first()["at"] == datetime.datetime(1997, 9, 20, 3, 5, 10)
+            df = spark.range(1).select(epoch_to_utc(F.lit(900000000)).alias("at"))
+            assert df.first()["at"] == datetime.datetime(1998, 7, 9, 16, 0, 0)
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
 
@@ -83,8 +83,8 @@ def test_files_are_cleaned_end_to_end(spark, tmp_path):
     movies = "|".join(["1", "Été (1999)", "4-Feb-1971", "", "http://x"] + ["0", "1"] + ["0"] * (FLAGS - 2))
     blank = "|".join(["2", "Blank", "", "", ""] + ["1"] + ["0"] * (FLAGS - 1))
     (tmp_path / "items").write_text(movies + "\n" + blank + "\n", encoding="iso-8859-1")
-    (tmp_path / "ratings").write_text("1\t1\t3\t881250949\n2\t1\t5\t881250950\n")
-    (tmp_path / "users").write_text("1|24|M|technician|05711\n2|53|F|other|T8H1N\n")
+    (tmp_path / "ratings").write_text("1\t1\t3\t900000001\n2\t1\t5\t900000002\n")
+    (tmp_path / "users").write_text("1|30|M|baker|05711\n2|41|F|painter|K1A0B\n")
     out = str(tmp_path / "out")
     clean_files(spark, *[str(tmp_path / n) for n in ("items", "ratings", "users")], out)
     films = sources.read_table(spark, f"{out}/movies_cleaned.parquet")
@@ -93,9 +93,9 @@ def test_files_are_cleaned_end_to_end(spark, tmp_path):
         (2, "Blank", "", None),
     ]
     users = sources.read_csv_table(spark, f"{out}/users_cleaned.csv", schemas.USERS)
-    assert [row[4] for row in rows(users)] == ["05711", "T8H1N"]
+    assert [row[4] for row in rows(users)] == ["05711", "K1A0B"]
     ratings = sources.read_csv_table(spark, f"{out}/ratings_cleaned.csv", schemas.RATINGS)
-    assert rows(ratings) == [(1, 1, 3, 881250949), (2, 1, 5, 881250950)]
+    assert rows(ratings) == [(1, 1, 3, 900000001), (2, 1, 5, 900000002)]
     assert catalogue_table(films).schema == schemas.CATALOGUE
 
 

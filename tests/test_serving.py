@@ -12,8 +12,8 @@ from tests.conftest import rows
 def films(spark):
     return spark.createDataFrame(
         [
-            (1, "Toy Story", "Animation,Comedy", None, 3.5),
-            (2, "Story of Us", "Drama", None, None),
+            (1, "Paper Story", "Animation,Comedy", None, 3.5),
+            (2, "Story by Us", "Drama", None, None),
             (3, "Heat", "Action,Drama", None, 4.0),
         ],
         schemas.CATALOGUE,
@@ -35,7 +35,7 @@ def by_title(spark, films, lists, titles, k=10):
 
 
 def test_title_statuses(spark, films, lists):
-    got = by_title(spark, films, lists, ["Toy Story", "", None, "NonExistentMovie", "us", "Toy Story"])
+    got = by_title(spark, films, lists, ["Paper Story", "", None, "Unheard Of", "us", "Paper Story"])
     assert [got[i]["status"] for i in range(6)] == [200, 400, 400, 404, 404, 200]
     assert got[0]["movie_id"] == 1 and got[0]["error"] is None
     assert [u["user_id"] for u in got[0]["recommendations"]] == [10, 30]
@@ -57,7 +57,7 @@ def test_user_lookup(spark, films, lists):
     )
     got = {r["request_id"]: r for r in recommend_for_user(requests, ratings, lists, films).collect()}
     assert [got[i]["status"] for i in range(5)] == [200, 200, 404, 500, 200]
-    assert [e["title"] for e in got[0]["recommendations"]] == ["Toy Story", "Heat"]
+    assert [e["title"] for e in got[0]["recommendations"]] == ["Paper Story", "Heat"]
     assert [tuple(e) for e in got[1]["recommendations"]] == [(3, "Heat", 5.0), (77, "Unknown", 2.0)]
     assert got[2]["recommendations"] is None and got[0]["recommendations"] == got[4]["recommendations"]
 

@@ -8,6 +8,7 @@ from cinerank.operators.skew import (
     measured_bytes,
     salted_join,
 )
+from cinerank.session import scratch_root, spread
 from tests.conftest import rows
 
 
@@ -69,3 +70,27 @@ def test_sizes_grow_with_text_and_agree(spark):
     assert measured_bytes(long) - measured_bytes(short) == 999
     assert materialise_measured(long, "sizes")[1] == measured_bytes(long)
     assert measured_bytes(short.filter("t = 'b'")) == 0
+
+
+class _Cluster:
+    """A session that is not local and names no shared folder."""
+
+    class conf:
+        @staticmethod
+        def get(name, default):
+            return default
+
+    class sparkContext:
+        master = "yarn"
+
+
+def test_no_machine_local_scratch_on_a_cluster():
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_root(_Cluster)
+
+
+def test_small_inputs_are_spread_over_the_cores(spark):
+    one = spark.range(100).coalesce(1)
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(one, "id").rdd.getNumPartitions() == cores
+    assert rows(spread(one, "id")) == rows(one)

@@ -83,8 +83,22 @@ def test_first_k_cuts_groups_before_the_shuffle(spark):
     plan = first_k(frame(spark, [1] * 9), 3, "user", [F.col("seq")])
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in text and "Partial" in text
-    with pytest.raises(ValueError):
-        first_k(frame(spark, [1]), 100_000, "user", [F.col("seq")])
+
+
+@pytest.mark.parametrize("window_rows", [5, 1000])
+def test_top_k_beyond_sparks_threshold(spark, monkeypatch, window_rows):
+    """A k that Spark would not cut early gives the same rows, also for large groups."""
+    df = frame(spark, [1] * 60 + [2] * 8)
+    expected = rows(first_k(df, 20, "user", [F.desc("seq")]), "user", "seq", "rank")
+    name = "spark.sql.optimizer.windowGroupLimitThreshold"
+    before = spark.conf.get(name)
+    monkeypatch.setattr(group_ordinal, "__defaults__", ("ordinal", window_rows))
+    try:
+        spark.conf.set(name, "10")
+        found = first_k(df, 20, "user", [F.desc("seq")])
+        assert rows(found, "user", "seq", "rank") == expected
+    finally:
+        spark.conf.set(name, before)
 
 
 def test_slices_do_not_overlap(spark):
