@@ -208,69 +208,118 @@ def query_term_rows(requests: DataFrame, query: str) -> DataFrame:
     )
 
 
+def _count_from(counts: Column, weight: Column, ceiling: Column) -> Column:
+    """Postings of a term at or above the level of ``weight``; none beyond the ceiling."""
+    upper = F.slice(counts, level_of(weight, ceiling) + 1, LEVELS)
+    number = F.aggregate(upper, F.lit(0).cast("long"), lambda total, n: total + n)
+    return F.when(weight <= ceiling, number).otherwise(0)
+
+
 def _requirements(
-    query_terms: DataFrame, postings: DataFrame, terms: DataFrame, k: int
+    query_terms: DataFrame, postings: DataFrame, terms: DataFrame, k: int, favour: float
 ) -> DataFrame:
     """For each query, field and term: the least weight a useful posting has.
 
     A term with ``k`` postings of weight w or more proves that ``k`` documents
     score at least w, so the best such w over the query's terms is a floor for
-    the result.  A document that reaches the floor has no posting weaker than
-    the floor less the ceilings of all other terms.
+    the result.  There are two ways to use it, and each query takes, per field,
+    the one that touches fewer rows:
+
+    ``direct``: all terms are added up.  A document that reaches the floor has
+    no posting weaker than the floor less the ceilings of all other terms.
+
+    Otherwise: terms are taken by falling ceiling, and a document is proposed
+    by the first term it has.  It reaches the floor only if that posting is no
+    weaker than the floor less the ceilings of the later terms.  Frequent terms
+    come last and propose next to nothing; proposals are scored one by one.
     """
     best = first_k(postings, k, ["field", "term"], [F.desc("weight"), "text_id"], "_place")
     kth = best.groupBy("field", "term").agg(
         F.when(F.count("*") >= k, F.min("weight")).alias("kth")
     )
-    figures = terms.select("field", "term", "ceiling").join(kth, ["field", "term"])
+    at_level = [F.count(F.when(F.col("level") == i, 1)) for i in range(LEVELS)]
+    levels = postings.groupBy("field", "term").agg(F.array(*at_level).alias("counts"))
+    figures = (
+        terms.select("field", "term", "ceiling")
+        .join(kth, ["field", "term"])
+        .join(levels, ["field", "term"])
+    )
     # A query is one text, so these windows hold the terms of one text.
     per_query = Window.partitionBy("query_id")
     per_field = Window.partitionBy("query_id", "field")
-    highest = F.col("qtf") * F.col("ceiling")
-    others = F.col("reach") - highest
-    need = (F.coalesce("floor", F.lit(0.0)) - others - SLACK) / F.col("qtf")
+    later = per_field.orderBy(F.desc("highest"), "term").rowsBetween(1, Window.unboundedFollowing)
+    floor = F.coalesce("floor", F.lit(0.0)) - SLACK
+    ceiling, counts = F.col("ceiling"), F.col("counts")
     return (
         query_terms.join(figures, "term")
+        .withColumn("highest", F.col("qtf") * ceiling)
         .withColumn("floor", F.max(F.col("qtf") * F.col("kth")).over(per_query))
-        .withColumn("reach", F.sum(highest).over(per_field))
+        .withColumn("others", F.sum("highest").over(per_field) - F.col("highest"))
+        .withColumn("later", F.coalesce(F.sum("highest").over(later), F.lit(0.0)))
+        .withColumn("need", F.greatest((floor - F.col("others")) / F.col("qtf"), F.lit(0.0)))
+        .withColumn("need_first", F.greatest((floor - F.col("later")) / F.col("qtf"), F.lit(0.0)))
+        .withColumn("added", F.sum(_count_from(counts, F.col("need"), ceiling)).over(per_field))
+        .withColumn(
+            "proposed", F.sum(_count_from(counts, F.col("need_first"), ceiling)).over(per_field)
+        )
+        .withColumn("n_terms", F.count("*").over(per_field))
+        .withColumn(
+            "direct", F.col("added") <= F.lit(favour) * F.col("proposed") * (F.col("n_terms") + 1)
+        )
         .select(
             "query_id",
             "field",
             "term",
             "qtf",
             "ceiling",
-            F.greatest(need, F.lit(0.0)).alias("need"),
+            "direct",
+            F.when(F.col("direct"), F.col("need")).otherwise(F.col("need_first")).alias("need"),
         )
-        .filter(F.col("need") <= F.col("ceiling"))
     )
 
 
-def _best_documents(requests: DataFrame, query: str, index: TextIndex, k: int) -> DataFrame:
+def _best_documents(
+    requests: DataFrame, query: str, index: TextIndex, k: int, favour: float = 1.0
+) -> DataFrame:
     """Best ``k`` documents of each distinct query text: query_id, doc_id, score, rank.
 
     Queries meet postings on (field, term, level) and ask only for the levels
     that can matter to them, so a term found everywhere is not paired with
     every query that holds it.  The best ``k`` texts of each field then stand
     for their documents: a document outside them has ``k`` others before it.
+    ``favour`` weighs the two ways of ``_requirements``: below 1 prefers proposals.
     """
     query_terms, size = materialise_measured(query_term_rows(requests, query), "query-terms")
     wanted = query_terms.select("term").distinct()
     postings = sized_join(index.postings, wanted, "term", size, "left_semi")
-    needs = _requirements(query_terms, postings, index.terms, k)
+    needs, size = materialise_measured(
+        _requirements(query_terms, postings, index.terms, k, favour), "requirements"
+    )
     lowest = level_of(F.col("need"), F.col("ceiling"))
-    asked = needs.select(
+    asked = needs.filter(F.col("need") <= F.col("ceiling")).select(
         "query_id",
         "field",
         "term",
         "qtf",
         "need",
+        "direct",
         F.explode(F.sequence(lowest, F.lit(LEVELS - 1))).alias("level"),
     )
-    matched = lookup_join(postings, asked, ["field", "term", "level"], computed=True).filter(
+    matched = sized_join(postings, asked, ["field", "term", "level"], size * LEVELS).filter(
         F.col("weight") >= F.col("need")
     )
-    scored = matched.groupBy("query_id", "field", "text_id").agg(
-        F.round(F.sum(F.col("qtf") * F.col("weight")), DECIMALS).alias("score")
+    entry = ["query_id", "field", "text_id"]
+    added = matched.filter("direct").select(*entry, "qtf", "weight")
+    proposals = matched.filter(~F.col("direct")).select(*entry).distinct()
+    looked_up = (
+        proposals.join(needs.select("query_id", "field", "term", "qtf"), ["query_id", "field"])
+        .join(postings.select("field", "term", "text_id", "weight"), ["field", "term", "text_id"])
+        .select(*entry, "qtf", "weight")
+    )
+    scored = (
+        added.unionByName(looked_up)
+        .groupBy(*entry)
+        .agg(F.round(F.sum(F.col("qtf") * F.col("weight")), DECIMALS).alias("score"))
     )
     texts, size = materialise_measured(
         top_k(scored, k, ["query_id", "field"], "score", "text_id"), "best-texts"
@@ -278,9 +327,11 @@ def _best_documents(requests: DataFrame, query: str, index: TextIndex, k: int) -
     hit = texts.select("field", "text_id").distinct()
     holders = sized_join(index.members, hit, ["field", "text_id"], size, "left_semi")
     # Of each text the k smallest document ids can be needed, and no more.
-    first = first_k(holders, k, ["field", "text_id"], ["doc_id"], "_place").groupBy(
-        "field", "text_id"
-    ).agg(F.collect_list("doc_id").alias("_docs"))
+    first = (
+        first_k(holders, k, ["field", "text_id"], ["doc_id"], "_place")
+        .groupBy("field", "text_id")
+        .agg(F.collect_list("doc_id").alias("_docs"))
+    )
     documents = (
         texts.join(first, ["field", "text_id"])
         .select("query_id", "score", F.explode("_docs").alias("doc_id"))
@@ -290,9 +341,11 @@ def _best_documents(requests: DataFrame, query: str, index: TextIndex, k: int) -
     return top_k(documents, k, "query_id", "score", "doc_id")
 
 
-def search_texts(requests: DataFrame, query: str, index: TextIndex, k: int = PAGE) -> DataFrame:
+def search_texts(
+    requests: DataFrame, query: str, index: TextIndex, k: int = PAGE, favour: float = 1.0
+) -> DataFrame:
     """Best ``k`` documents of each distinct query text: query, doc_id, score, rank."""
-    hits = _best_documents(requests, query, index, k)
+    hits = _best_documents(requests, query, index, k, favour)
     return hits.join(_keyed_texts(requests, query), "query_id").select(
         "query", "doc_id", "score", "rank"
     )

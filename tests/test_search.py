@@ -5,7 +5,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from cinerank.operators import extras
-from cinerank.operators.search import build_index, read_index, search, search_texts, write_index
+from cinerank.operators.search import (
+    _requirements,
+    build_index,
+    read_index,
+    search,
+    search_texts,
+    write_index,
+)
 from cinerank.session import scratch_path
 from tests.conftest import rows
 
@@ -82,6 +89,42 @@ def test_search_equals_brute_force(spark, catalogue, k):
         assert ours == brute_force(docs, text, k), text
 
 
+@pytest.mark.parametrize("k", [1, 4, 10])
+@pytest.mark.parametrize("favour", [0.0, 1e12])
+def test_both_ways_of_scoring_are_exact(spark, catalogue, k, favour):
+    docs, frame = catalogue
+    index = build_index(frame, "movie_id", ["title", "genres"])
+    requests = spark.createDataFrame([(q,) for q in QUERIES], "query string")
+    found = {}
+    hits = search_texts(requests, "query", index, k, favour)
+    for text, doc, rank in rows(hits, "query", "doc_id", "rank"):
+        found.setdefault(text, []).append((doc, rank))
+    for text in QUERIES:
+        ours = sorted(found.get(text, []), key=lambda hit: hit[1])
+        assert ours == brute_force(docs, text, k), text
+
+
+def test_frequent_terms_propose_next_to_nothing(spark):
+    """'the' is in every title; only the rare term's documents and a page of others are met."""
+    films = spark.range(3000).select(
+        F.col("id").cast("int").alias("movie_id"),
+        F.concat(
+            F.lit("the film number "),
+            "id",
+            F.when(F.col("id") % 1000 == 7, " zebra").otherwise(""),
+            F.when(F.col("id") % 3 == 0, " long long title").otherwise(""),
+        ).alias("title"),
+    )
+    index = build_index(films, "movie_id", ["title"])
+    terms = spark.createDataFrame(
+        [(b"q", "the", 1), (b"q", "zebra", 1)], "query_id binary, term string, qtf long"
+    )
+    needs = _requirements(terms, index.postings, index.terms, 2, 1.0)
+    assert {row["direct"] for row in needs.collect()} == {False}
+    met = index.postings.join(needs, ["field", "term"]).filter("weight >= need")
+    assert met.count() <= 10
+
+
 def test_popular_requests_and_null(spark, catalogue):
     """Every request gets its own rows; a missing text matches nothing."""
     docs, frame = catalogue
