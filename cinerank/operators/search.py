@@ -151,14 +151,18 @@ def build_index(
         "terms",
     )
     weight = F.col("idf") * F.col("saturated")
-    postings = sized_join(
-        counts, terms.select("field", "term", "idf", "ceiling"), ["field", "term"], size
-    ).select(
-        "field",
-        "term",
-        "text_id",
-        weight.alias("weight"),
-        level_of(weight, F.col("ceiling")).alias("level"),
+    # A search reads the postings several times, so they are written too.
+    postings = materialise(
+        sized_join(
+            counts, terms.select("field", "term", "idf", "ceiling"), ["field", "term"], size
+        ).select(
+            "field",
+            "term",
+            "text_id",
+            weight.alias("weight"),
+            level_of(weight, F.col("ceiling")).alias("level"),
+        ),
+        "postings",
     )
     return TextIndex(postings, terms, members)
 
