@@ -6,10 +6,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, queries
+from entry_queries import ORACLES, QUERIES
 from tests.conftest import DATA
 
-ORACLES = oracle_sql()
+
 # Random or learned numbers: nothing exact to compare with.
 WITHOUT_SQL = {"als_rmse", "cv_mean_rmse"}
 
@@ -35,7 +36,7 @@ def database():
 
 
 def test_only_learned_queries_lack_sql():
-    assert set(queries()) - set(ORACLES) == WITHOUT_SQL
+    assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
