@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cinerank.llm.common import read_table
 from cinerank.llm.exact_dedup import exact_duplicates
+from cinerank.llm.fingerprints import fingerprints
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,5 +28,12 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM d WINDOW g AS (PARTITION BY norm)
 """
 
-QUERIES: dict[str, Query] = {"op5_exact_dedup": op5_exact_dedup}
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    "op5_exact_dedup": op5_exact_dedup,
+    "op10_fingerprints": op10_fingerprints,
+}
 ORACLES: dict[str, str] = {"op5_exact_dedup": EXACT_SQL}
