@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cinerank.llm.common import read_table
 from cinerank.llm.exact_dedup import exact_duplicates
 from cinerank.llm.fingerprints import fingerprints
+from cinerank.llm.mixing import mix_sources
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,7 +33,12 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op6_mixing": op6_mixing,
     "op5_exact_dedup": op5_exact_dedup,
     "op10_fingerprints": op10_fingerprints,
 }
