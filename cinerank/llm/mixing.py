@@ -5,8 +5,9 @@ and each once more with probability r - floor(r).  Which documents those are is
 drawn by the cube method: three undecided documents at a time, probabilities
 move along the null space of the constraints (total words and total documents)
 until one of them is 0 or 1.  At most two documents of a group stay undecided;
-those of all groups of a source fly again together, and the few left at the end
-are landed on the choice that comes closest to the target.
+those of all groups of a source fly again together.  The few left at the end, and
+ten documents of spread sizes that were held back, are landed on a choice that
+comes close to the target in words and documents.
 
 A source of any size is cut into groups of about ``GROUP`` documents by a hash,
 so no task sees a whole source, and each level leaves at most 2 / ``GROUP`` of
@@ -16,7 +17,6 @@ its documents to the next.  All draws come from hashes: reruns agree.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,10 @@ from cinerank.session import materialise
 
 GROUP = 2000
 MOST_COPIES = 3
+# Documents of a source that stay out of its last flight, to be landed with what it leaves.
+HELD = 10
+# Share of the target within which landing prefers the right number of documents.
+CLOSE = 0.001
 WORD = r"[^\x20\x09-\x0D]+"
 _EDGE = 1e-9
 
@@ -112,24 +116,36 @@ def fly(probabilities: np.ndarray, sizes: np.ndarray, random: np.random.Generato
 
 
 def land(probabilities: np.ndarray, sizes: np.ndarray, need: float) -> np.ndarray:
-    """Decides the last units: the total nearest to ``need``, then the fewest documents."""
+    """Decides the last units, of which there are few, among all their choices.
+
+    First the total is to be within ``CLOSE`` of the best possible, then the number
+    of documents near its expectation, then the total as near as can be.
+    """
     out = probabilities.copy()
     left = np.flatnonzero((out > 0) & (out < 1))
     if not len(left):
         return out
-    fixed = float((out * sizes)[(out == 0) | (out == 1)].sum())
-    best = min(
-        product((0.0, 1.0), repeat=len(left)),
-        key=lambda choice: (
-            abs(fixed + float(np.dot(choice, sizes[left])) - need),
-            sum(choice),
-            choice,
-        ),
-    )
-    out[left] = best
+    choices = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
+    settled = (out == 0) | (out == 1)
+    apart = np.abs(float((out * sizes)[settled].sum()) + choices @ sizes[left] - need)
+    docs = np.abs(choices.sum(axis=1) - out[left].sum())
+    near = apart <= apart.min() + CLOSE * abs(need)
+    best = np.lexsort((apart, docs, ~near))[0]
+    out[left] = choices[best]
     return out
 
 
+def fly_and_land(
+    probabilities: np.ndarray, sizes: np.ndarray, need: float, random: np.random.Generator
+) -> np.ndarray:
+    """Last flight of a source, without ``HELD`` documents of spread sizes that land with the rest."""
+    held = np.unique(np.linspace(0, len(sizes) - 1, HELD).astype(int))
+    flying = np.setdiff1d(np.arange(len(sizes)), held)
+    out = probabilities.astype(float).copy()
+    out[flying] = fly(out[flying], sizes[flying], random)
+    return land(out, sizes, need)
+
+
 def _flight(last: bool):
     schema = pa.schema(
         [
@@ -148,9 +164,11 @@ def _flight(last: bool):
         prob = rows.column("prob").to_numpy()
         size = rows.column("size").to_numpy()
         seed = int(rows.column("mark").to_numpy().view(np.uint64)[0])
-        after = fly(prob, size, np.random.default_rng(seed))
+        random = np.random.default_rng(seed)
         if last:
-            after = land(after, size, rows.column("need")[0].as_py())
+            after = fly_and_land(prob, size, rows.column("need")[0].as_py(), random)
+        else:
+            after = fly(prob, size, random)
         settled = (after == 0) | (after == 1)
         once = pa.array(after.astype(np.int32), mask=~settled)
         kept = [rows.column(name).combine_chunks() for name in schema.names[:5]]
