@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from cinerank.llm.common import read_table
 from cinerank.llm.exact_dedup import exact_duplicates
 from cinerank.llm.fingerprints import fingerprints
+from cinerank.llm.language import languages
 from cinerank.llm.mixing import mix_sources
+from cinerank.llm.quality import quality_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,7 +39,18 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read_table(spark, sf_dir, "labels")
+    return quality_scores(read_table(spark, sf_dir, "documents"), labels)
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op3_quality": op3_quality,
+    "op9_language": op9_language,
     "op6_mixing": op6_mixing,
     "op5_exact_dedup": op5_exact_dedup,
     "op10_fingerprints": op10_fingerprints,
