@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cinerank.llm.bpe import bpe_round_trip
 from cinerank.llm.common import read_table
 from cinerank.llm.exact_dedup import exact_duplicates
 from cinerank.llm.fingerprints import fingerprints
@@ -48,7 +49,18 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(read_table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES: dict[str, Query] = {
+    "op1_bpe": op1_bpe,
     "op3_quality": op3_quality,
     "op9_language": op9_language,
     "op6_mixing": op6_mixing,
