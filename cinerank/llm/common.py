@@ -31,7 +31,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"),
-        F.xxhash64(text).alias("tk"),
+        F.pmod(F.xxhash64(text), F.lit(1 << 15)).cast("int").alias("tk"),
         text.alias("text"),
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cinerank.llm.bpe import bpe_round_trip
 from cinerank.llm.common import read_table
@@ -13,6 +14,7 @@ from cinerank.llm.fingerprints import fingerprints
 from cinerank.llm.language import languages
 from cinerank.llm.mixing import mix_sources
 from cinerank.llm.quality import quality_scores
+from cinerank.llm.substrings import dedup_substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,7 +61,43 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate(
+        "intervals", F.lit(0).cast("long"), lambda total, run: total + run[1] - run[0]
+    )
+    return dedup_substrings(read_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_words",
+        removed.alias("n_removed"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+# Windows are compared as their words joined by one blank.
+SUBSTRING_SQL = r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+    FROM documents),
+w AS (
+    SELECT doc_id, i, sha256(array_to_string(words[i:i + 49], ' ')) AS h
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM d)),
+f AS (SELECT h, min(doc_id) AS first FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+gone AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i
+    FROM w JOIN f USING (h) WHERE doc_id > first),
+o AS (
+    SELECT doc_id, i, words[i] AS word
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM d)),
+k AS (
+    SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY i) AS kept
+    FROM o ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n_kept, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
 QUERIES: dict[str, Query] = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op1_bpe": op1_bpe,
     "op3_quality": op3_quality,
     "op9_language": op9_language,
@@ -67,4 +105,7 @@ QUERIES: dict[str, Query] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op10_fingerprints": op10_fingerprints,
 }
-ORACLES: dict[str, str] = {"op5_exact_dedup": EXACT_SQL}
+ORACLES: dict[str, str] = {
+    "op2_substring_dedup": SUBSTRING_SQL,
+    "op5_exact_dedup": EXACT_SQL,
+}
