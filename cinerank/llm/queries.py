@@ -15,6 +15,7 @@ from cinerank.llm.language import languages
 from cinerank.llm.mixing import mix_sources
 from cinerank.llm.quality import quality_scores
 from cinerank.llm.substrings import dedup_substrings
+from cinerank.llm.suffixes import dedup_suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -96,7 +97,19 @@ SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n_kept, 0) AS n_remo
 FROM d LEFT JOIN k USING (doc_id)
 """
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, run: total + run[1] - run[0])
+    return dedup_suffixes(read_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op1_bpe": op1_bpe,
     "op3_quality": op3_quality,

@@ -45,7 +45,7 @@ def word_hashes(text: bytes) -> np.ndarray:
 
 
 SHAPE = Shape(word_hashes, WINDOW, GRAM, within=False)
-_WINDOWS = "kind int, h1 long, h2 long, did long, tk int, start long, end long"
+WINDOWS = "kind int, h1 long, h2 long, did long, tk int, start long, end long"
 _WINDOW_SCHEMA = pa.schema(
     [
         ("kind", pa.int32()),
@@ -76,7 +76,7 @@ def _rows(kind: int, h1, h2, did, tk, start, end) -> pa.RecordBatch:
     )
 
 
-def _open_windows(shape: Shape):
+def open_windows(shape: Shape):
     """Windows whose anchor is open, each hash once per batch; later ones are runs at once."""
 
     def settle(held: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +89,7 @@ def _open_windows(shape: Shape):
         doc, h1, h2, start = doc[order], h1[order], h2[order], start[order]
         new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
         first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        later = doc != doc[first]
+        later = ~new if shape.within else doc != doc[first]
         yield _rows(OPEN, h1[new], h2[new], did[doc[new]], tk[doc[new]], start[new], start[new])
         if later.any():
             doc, start = doc[later], start[later]
@@ -128,18 +128,11 @@ def _open_windows(shape: Shape):
     return run
 
 
-def repeated_windows(docs: DataFrame, texts: DataFrame, shape: Shape = SHAPE) -> DataFrame:
-    """did, tk, start, end of stretches whose windows an earlier document has."""
-    settled = materialise(settle_anchors(docs, shape), "anchors")
-    opened = by_document(settled.filter(F.col("kind") == OPEN), "start")
-    windows = (
-        texts.join(opened, ["did", "tk"], "left")
-        .filter(F.col("marks").isNotNull())
-        .mapInArrow(_open_windows(shape), _WINDOWS)
-    )
+def later_windows(windows: DataFrame, shape: Shape) -> DataFrame:
+    """did, tk, start, end of windows that are not the first with their hash."""
     same = Window.partitionBy("h1", "h2")
-    here = F.struct("did", "tk")
-    later = (
+    here = F.struct("did", "tk", "start") if shape.within else F.struct("did", "tk")
+    return (
         windows.withColumn("first", F.min(here).over(same))
         .filter((F.col("kind") == RUN) | (here > F.col("first")))
         .select(
@@ -151,7 +144,22 @@ def repeated_windows(docs: DataFrame, texts: DataFrame, shape: Shape = SHAPE) ->
             .alias("end"),
         )
     )
-    return settled.filter(F.col("kind") == RUN).select("did", "tk", "start", "end").unionByName(later)
+
+
+def repeated_windows(docs: DataFrame, texts: DataFrame, shape: Shape = SHAPE) -> DataFrame:
+    """did, tk, start, end of stretches whose windows an earlier document has."""
+    settled = materialise(settle_anchors(docs, shape), "anchors")
+    opened = by_document(settled.filter(F.col("kind") == OPEN), "start")
+    windows = (
+        texts.join(opened, ["did", "tk"], "left")
+        .filter(F.col("marks").isNotNull())
+        .mapInArrow(open_windows(shape), WINDOWS)
+    )
+    return (
+        settled.filter(F.col("kind") == RUN)
+        .select("did", "tk", "start", "end")
+        .unionByName(later_windows(windows, shape))
+    )
 
 
 def removal(tokens: np.ndarray, marks: list[dict], shape: Shape) -> np.ndarray:
