@@ -13,6 +13,7 @@ from cinerank.llm.exact_dedup import exact_duplicates
 from cinerank.llm.fingerprints import fingerprints
 from cinerank.llm.language import languages
 from cinerank.llm.mixing import mix_sources
+from cinerank.llm.near_dedup import near_duplicates
 from cinerank.llm.quality import quality_scores
 from cinerank.llm.substrings import dedup_substrings
 from cinerank.llm.suffixes import dedup_suffixes
@@ -108,7 +109,36 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), words=2)
+
+
+NEAR_SQL = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+s AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + 1], ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (
+    SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common
+    FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (
+    SELECT u, v FROM c JOIN n x ON u = x.doc_id JOIN n y ON v = y.doc_id
+    WHERE 100 * common >= 80 * (x.n + y.n - common)),
+r AS (
+    SELECT doc_id AS u, doc_id AS v FROM documents
+    UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u),
+k AS (SELECT u AS doc_id, min(v) AS component_id FROM r GROUP BY u)
+SELECT k.doc_id, coalesce(n, 0) AS n_shingles, component_id, k.doc_id = component_id AS kept
+FROM k LEFT JOIN n USING (doc_id)
+"""
+
 QUERIES: dict[str, Query] = {
+    "op7_near_dedup": op7_near_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op1_bpe": op1_bpe,
@@ -121,4 +151,5 @@ QUERIES: dict[str, Query] = {
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": SUBSTRING_SQL,
     "op5_exact_dedup": EXACT_SQL,
+    "op7_near_dedup": NEAR_SQL,
 }
