@@ -29,14 +29,14 @@ from cinerank.llm.blocks import (
     texts,
     unsqueeze,
 )
+from cinerank.llm.common import batch
 
 # Words are encoded in slices of this many.
 SLICE = 20_000
 _RUN = regex.compile(r"\s\s")
 _SINGLE = regex.compile(r"(?<=\S) (?=\S)")
-_ENCODED = pa.schema(
-    [("doc_id", pa.int64()), ("tag", pa.int32()), ("ids", pa.list_(pa.int32()))]
-)
+# Ids of the documents that return from a block together.
+GIVE_IDS = 1 << 19
 
 
 def words(text: str) -> list[str]:
@@ -134,48 +134,55 @@ def _ids_of(answers: bytes) -> list[bytes]:
     return [flat[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
-def _give(shards: int):
+def _give(shards: int, path: str, decoded: bool):
+    fields = [("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]
+    schema = pa.schema(fields + [("decoded", pa.string())] * decoded)
+
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         by_shard = _by_shard(table, shards)
         ids: dict[str, bytes] = {}
         for row in range(answers.num_rows):
             held = by_shard.pop(answers.column("shard")[row].as_py())
             ids.update(zip(held, _ids_of(answers.column("answers")[row].as_py()), strict=True))
-        offsets, parts = [0], []
+        done, held, size = [], [], 0
+
+        def finish(names: pa.Array) -> pa.RecordBatch:
+            offsets = np.cumsum([0, *(len(h) for h in held)])
+            flat = pa.array(np.concatenate(held).view(np.int32))
+            columns = [names, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)]
+            if decoded:
+                columns.append([joined(path, h).decode("utf-8", "replace") for h in held])
+            return batch(schema, *columns)
+
+        names = table.column("doc_id").combine_chunks()
+        begin = 0
         for text in texts(table):
-            part = b"".join(map(ids.__getitem__, words(text)))
-            parts.append(part)
-            offsets.append(offsets[-1] + len(part) // 4)
-        values = pa.array(np.frombuffer(b"".join(parts), np.uint32).view(np.int32))
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-        return pa.Table.from_arrays(
-            [
-                table.column("doc_id").combine_chunks(),
-                table.column("tag").combine_chunks(),
-                lists.cast(_ENCODED.field("ids").type),
-            ],
-            schema=_ENCODED,
-        )
+            held.append(np.frombuffer(b"".join(map(ids.__getitem__, words(text))), np.uint32))
+            size += len(held[-1])
+            if size >= GIVE_IDS:
+                done.append(finish(names[begin : begin + len(held)]))
+                begin += len(held)
+                held, size = [], 0
+        if held:
+            done.append(finish(names[begin:]))
+        return pa.Table.from_batches(done, schema)
 
     return run
 
 
-def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id and the array ``ids`` of each document's token ids.
+def encode(docs: DataFrame, tokenizer: str, decoded: bool = False) -> DataFrame:
+    """doc_id and the array ``ids`` of each document's token ids; with ``decoded``, the
+    text that ``decode`` makes of them, in the same pass.
 
     ``tokenizer`` is the path of a tokenizers file with byte-level words that start
     at a blank, readable on every machine.  Nothing is truncated, padded or added.
-    A null text is empty and has no ids.  Null ids and repeated rows keep their rows.
+    A null text is empty and has no ids.  Null doc_ids and repeated rows keep their rows.
     """
     packed, count = blocks(docs)
-    rows = ask_and_answer(
-        packed,
-        _ask(count),
-        _answer(tokenizer),
-        _give(count),
-        "doc_id long, tag int, ids array<int>",
+    schema = "doc_id long, ids array<int>" + ", decoded string" * decoded
+    return ask_and_answer(
+        packed, _ask(count), _answer(tokenizer), _give(count, tokenizer, decoded), schema
     )
-    return rows.drop("tag")
 
 
 @lru_cache(maxsize=2)
@@ -195,21 +202,24 @@ def pieces(path: str) -> pa.Array:
     return pa.array(table, pa.binary())
 
 
+def joined(path: str, ids: np.ndarray) -> bytes:
+    """The pieces of ids, one after another."""
+    found = pieces(path).take(pa.array(ids))
+    if not len(found):
+        return b""
+    ends = np.frombuffer(found.buffers()[1], np.int32)
+    return found.buffers()[2].slice(0, int(ends[len(found)])).to_pybytes()
+
+
 def _decoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            ids = rows.column("ids")
-            flat = pieces(path).take(ids.values.slice(ids.offsets[0].as_py(), len(ids.flatten())))
-            # Pieces lie one after another, so a text is one slice of their bytes.
-            raw = flat.buffers()[2].to_pybytes() if flat.buffers()[2] else b""
-            ends = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset :]
-            cuts = ends[ids.offsets.to_numpy() - ids.offsets[0].as_py()].tolist()
-            decoded = [
-                raw[a:b].decode("utf-8", "replace")
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True)
+            texts_ = [
+                joined(path, ids.values.to_numpy()).decode("utf-8", "replace")
+                for ids in rows.column("ids")
             ]
             names = [*rows.schema.names, "decoded"]
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(decoded)], names)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts_, pa.string())], names)
 
     return run
 
@@ -232,7 +242,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     The hashes are of the decimal ids joined by commas and of the decoded text.
     """
-    return decode(encode(docs, tokenizer), tokenizer).select(
+    return encode(docs, tokenizer, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias(
