@@ -14,6 +14,7 @@ from cinerank.llm.fingerprints import fingerprints
 from cinerank.llm.language import languages
 from cinerank.llm.mixing import mix_sources
 from cinerank.llm.near_dedup import near_duplicates
+from cinerank.llm.ngrams import language_model_scores
 from cinerank.llm.quality import quality_scores
 from cinerank.llm.substrings import dedup_substrings
 from cinerank.llm.suffixes import dedup_suffixes
@@ -137,7 +138,12 @@ SELECT k.doc_id, coalesce(n, 0) AS n_shingles, component_id, k.doc_id = componen
 FROM k LEFT JOIN n USING (doc_id)
 """
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op8_lm_scoring": op8_lm_scoring,
     "op7_near_dedup": op7_near_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op2_substring_dedup": op2_substring_dedup,
