@@ -22,17 +22,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_key() -> Column:
+    """A short hash that tells texts with one doc_id apart."""
+    return F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 15)).cast("int")
+
+
+def id_key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """``did`` and ``tk`` name a document inside a job, ``text`` is never null.
 
     A row that repeats both doc_id and text is the same document; a row that
     repeats only the doc_id is another one.
     """
-    text = F.coalesce("text", F.lit(""))
     return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"),
-        F.pmod(F.xxhash64(text), F.lit(1 << 15)).cast("int").alias("tk"),
-        text.alias("text"),
+        id_key().alias("did"), text_key().alias("tk"), F.coalesce("text", F.lit("")).alias("text")
     )
 
 

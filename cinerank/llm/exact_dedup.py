@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinerank.llm.common import batch, texts_of
+from cinerank.llm.common import batch, text_key, texts_of
 from cinerank.session import materialise
 
 # Distinct fingerprints that one merging step holds.
@@ -33,12 +33,14 @@ BUCKET_ROWS = 1 << 16
 HOT_SHARE = 1000
 _RUN_BITS = 16
 
+_ROWS = "doc_id long, tk int, fp long, text_sha256 string"
 _FILTER = "bucket int, quotients binary, remainders binary, counts binary"
 _COUNTS = pa.schema([("fp", pa.int64()), ("n", pa.int64())])
 
 
 def _fingerprints(with_text: bool):
-    fields = [("doc_id", pa.int64()), ("fp", pa.int64()), ("text_sha256", pa.string())]
+    fields = [("doc_id", pa.int64()), ("tk", pa.int32()), ("fp", pa.int64())]
+    fields.append(("text_sha256", pa.string()))
     schema = pa.schema(fields + [("norm", pa.large_binary())] * with_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,6 +49,7 @@ def _fingerprints(with_text: bool):
             texts = [text.lower() for text in texts_of(rows.column("text"))]
             columns = [
                 rows.column("doc_id"),
+                rows.column("tk"),
                 np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64).view(np.int64),
                 [hashlib.sha256(t).hexdigest() for t in texts],
             ]
@@ -147,25 +150,24 @@ def repeated_fingerprints(fingerprints: DataFrame, rows: int) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, tk.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty.
     Of equal texts the largest doc_id stays.  A null doc_id stays only where no
     equal text has an id.  Rows that repeat doc_id and text are marked alike and
-    all count in ``group_size``.  An empty table gives an empty result.
+    all count in ``group_size``.  An empty table gives an empty result.  ``tk`` is the
+    hash by which rows are joined to their documents again (see ``common.keyed``).
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("tk"))
     rows = materialise(
-        source.mapInArrow(_fingerprints(False), "doc_id long, fp long, text_sha256 string"),
+        source.mapInArrow(_fingerprints(False), _ROWS),
         "fingerprints",
     )
     total = rows.count()
     repeated = materialise(repeated_fingerprints(rows, total), "repeated")
     hot = repeated.filter(F.col("n") > total / HOT_SHARE).select("fp")
     usual = repeated.filter(F.col("n") <= total / HOT_SHARE).select("fp")
-    texts = source.mapInArrow(
-        _fingerprints(True), "doc_id long, fp long, text_sha256 string, norm binary"
-    )
+    texts = source.mapInArrow(_fingerprints(True), f"{_ROWS}, norm binary")
     suspects = texts.join(F.broadcast(hot), "fp", "left_semi").unionByName(
         texts.join(usual, "fp", "left_semi")
     )
@@ -187,4 +189,5 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(keep).alias("kept"),
         "text_sha256",
+        "tk",
     )

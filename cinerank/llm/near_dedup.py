@@ -351,7 +351,7 @@ def _all(frames: list[DataFrame]) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, most_hubs: int = MOST_HUBS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+    """One row per document: doc_id, n_shingles, component_id, kept, tk.
 
     Documents are linked if their sets of ``words``-word shingles have a Jaccard
     similarity of 0.8 or more; a component is what links connect, and its smallest
@@ -423,6 +423,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, most_hubs: int = MOST_HUBS)
         F.when(F.col("n") > 0, real_id().eqNullSafe(F.col("component")))
         .otherwise(F.lit(True))
         .alias("kept"),
+        "tk",
     )
 
 

@@ -23,7 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_duplicates(read_table(spark, sf_dir, "documents"))
+    return exact_duplicates(read_table(spark, sf_dir, "documents")).drop("tk")
 
 
 # translate() rather than lower(): only A-Z change.
@@ -111,7 +111,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"), words=2)
+    return near_duplicates(read_table(spark, sf_dir, "documents"), words=2).drop("tk")
 
 
 NEAR_SQL = r"""

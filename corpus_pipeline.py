@@ -1,24 +1,89 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again."""
+"""The corpus pipeline: stages over ``documents``, each written and read again.
+
+A row is joined to what was decided about it by its doc_id and a hash of its text,
+so null and repeated ids go through like any other; other columns stay as they are.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cinerank.llm.common import read_table
+from cinerank.llm.bpe import encode
+from cinerank.llm.common import id_key, read_table, text_key
 from cinerank.llm.exact_dedup import exact_duplicates
+from cinerank.llm.mixing import doc_mark, mix_sources
+from cinerank.llm.near_dedup import near_duplicates
+from cinerank.llm.quality import ACCEPT, fit
+from cinerank.llm.queries import tokenizer_path
 from cinerank.session import materialise
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _only_kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose decision is ``kept``; of rows alike in id and text, one."""
+    kept = decided.filter("kept").select(id_key().alias("_did"), F.col("tk").alias("_tk")).distinct()
+    marked = docs.withColumns({"_did": id_key(), "_tk": text_key(), "_mark": doc_mark()})
+    return (
+        marked.join(kept, ["_did", "_tk"], "left_semi")
+        .dropDuplicates(["_did", "_tk", "_mark"])
+        .select(*docs.columns)
+    )
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts."""
+    model = fit(docs, read_table(spark, sf_dir, "labels"))
+    return docs.filter(model.scorer(F.col("text")) >= ACCEPT)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = exact_duplicates(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """One of each group of equal texts, the one with the largest doc_id."""
+    return _only_kept(docs, exact_duplicates(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One of each group of near duplicates, the one with the smallest doc_id."""
+    return _only_kept(docs, near_duplicates(docs))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: not at all, or up to three times."""
+    copies = (
+        mix_sources(docs)
+        .groupBy(id_key().alias("_did"), F.col("mark").alias("_mark"))
+        .agg(F.max("copies").alias("_copies"))
+        .filter("_copies > 0")
+    )
+    return (
+        docs.withColumns({"_did": id_key(), "_mark": doc_mark()})
+        .join(copies, ["_did", "_mark"])
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        .select(*docs.columns)
+    )
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the hash of the text they decode to."""
+    return encode(docs, tokenizer_path(), decoded=True).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        "ids",
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
 
 
-STAGES: list[tuple[str, Stage]] = [("exact_dedup", exact_dedup)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mixing", mixing),
+    ("bpe", bpe),
+]
+# Neither a learned classifier nor a tokenizer can be put in SQL.
 ORACLE_SQL: str | None = None
 
 
