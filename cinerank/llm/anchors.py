@@ -340,9 +340,13 @@ def _press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def pressed(docs: DataFrame) -> DataFrame:
-    """did, tk and the compressed text.  Joined twice on (did, tk) in one plan, it is
-    shuffled once: both joins are left joins, so that their plans are equal."""
-    return keyed(docs).mapInArrow(_press, "did long, tk int, body binary")
+    """did, tk and the compressed text.
+
+    Joined twice on (did, tk) in one plan, it is shuffled once: with its keys known to
+    be there, the plans of an inner and an outer join read the same exchange.
+    """
+    packed = keyed(docs).mapInArrow(_press, "did long, tk int, body binary")
+    return packed.filter(F.col("did").isNotNull() & F.col("tk").isNotNull())
 
 
 def bodies_of(column: pa.Array) -> Iterator[bytes]:

@@ -16,7 +16,7 @@ components are read again for every match across components, so that no link is
 missed that could join two of them; links inside a component would change nothing.
 
 A list that needs more than ``MOST_HUBS`` hubs holds mostly strangers.  It is posted
-again under a second coordinate, and so on, by the same rule of prefixes.
+again under a second coordinate, by the same rule of prefixes.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ from cinerank.session import materialise
 COORDINATES, MATCHES = 48, 24
 PREFIX = COORDINATES - MATCHES + 1
 MOST_HUBS = 512
+LEVELS = 2
 SIMILAR = 80  # percent
 _ROWS = 1024  # rows of a posting list compared at once
 _random = np.random.default_rng(7)
@@ -321,13 +322,13 @@ def _candidates(entries: DataFrame, most: int) -> tuple[list[DataFrame], list[Da
     posting = entries.select(
         F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("used"), "did", "tk", "signature"
     )
-    # A list is posted again under one more coordinate, at most until none is to spare.
-    for level in range(MATCHES):
+    # Posting again multiplies entries by PREFIX, so the last level takes lists as they are.
+    for level in range(LEVELS):
         found = materialise(
             posting.mapInArrow(_post, "key long, used long, did long, tk int, brief binary")
             .repartition("key")
             .sortWithinPartitions("key", "did", "tk")
-            .mapInArrow(_stars(most if level < MATCHES - 1 else 1 << 62), _FOUND),
+            .mapInArrow(_stars(most if level < LEVELS - 1 else 1 << 62), _FOUND),
             "candidates",
         )
         pairs.append(found.filter(F.col("kind") == PAIR))
