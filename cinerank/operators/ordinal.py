@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinerank.operators.skew import lookup_join
 from cinerank.session import materialise
 
 # A single window partition above this many rows is numbered by range instead.
@@ -83,9 +84,13 @@ def group_ordinal(
         window = Window.partitionBy(*group).orderBy(*order_by)
         return df.withColumn(name, F.row_number().over(window).cast("long"))
     numbered = global_ordinal(df, [*group, *order_by], "_overall")
-    starts = numbered.groupBy(*group).agg(F.min("_overall").alias("_start"))
+    starts = numbered.groupBy(*[F.col(c).alias(f"_of_{c}") for c in group]).agg(
+        F.min("_overall").alias("_start")
+    )
+    # A missing key is a group like any other.
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group])
     return (
-        lookup_join(numbered, starts, group, computed=True)
+        numbered.join(starts, same)
         .withColumn(name, F.col("_overall") - F.col("_start") + 1)
-        .drop("_overall", "_start")
+        .drop("_overall", "_start", *[f"_of_{c}" for c in group])
     )

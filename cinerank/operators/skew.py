@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -13,8 +14,6 @@ from cinerank.session import materialise
 
 BROADCAST_LIMIT = 64 * 1024 * 1024
 HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 10_000
-SALTS = 64
 
 
 def _keys(on: str | Sequence[str]) -> list[str]:
@@ -57,23 +56,14 @@ def materialise_measured(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     return stored, seen.get.get("bytes") or 0
 
 
-def hot_keys(
-    df: DataFrame, on: str | Sequence[str], hot_rows: int = HOT_ROWS, max_keys: int = MAX_HOT_KEYS
-) -> DataFrame:
-    """The largest keys with at least ``hot_rows`` rows, at most ``max_keys`` of them.
+def hot_keys(df: DataFrame, on: str | Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The keys with at least ``hot_rows`` rows, and their number as ``_rows``.
 
-    Rows are counted on the map side first.  A key beyond ``max_keys`` holds
-    less than one ``max_keys``-th of the rows and needs no special treatment.
+    Rows are counted on the map side first.  There are at most as many such keys
+    as ``hot_rows`` goes into the number of rows.
     """
-    keys = _keys(on)
-    return (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("_rows"))
-        .filter(F.col("_rows") >= hot_rows)
-        .orderBy(F.desc("_rows"))
-        .limit(max_keys)
-        .select(*keys)
-    )
+    counts = df.groupBy(*_keys(on)).agg(F.count("*").alias("_rows"))
+    return counts.filter(F.col("_rows") >= hot_rows)
 
 
 def salted_join(
@@ -82,29 +72,43 @@ def salted_join(
     on: str | Sequence[str],
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
 ) -> DataFrame:
-    """Shuffle join with the hot keys of ``left`` spread over ``salts`` partitions.
+    """Shuffle join with each hot key of ``left`` spread over tasks of ``hot_rows`` rows.
 
-    Only the ``right`` rows of hot keys are repeated, once per salt.  The salt
-    is a hash of the row, so a retried task sends each row to the same place.
-    ``how`` is inner, left, left_semi or left_anti.
+    Only the ``right`` rows of hot keys are repeated, once per salt.  Where there
+    are hot keys, ``left`` is stored with a number for each row, which the salt
+    is taken from: rows that are equal in all columns spread too, and a retried
+    task sends each row to the same place.  Rows with a missing key match
+    nothing and are not shuffled.  ``how`` is inner, left, left_semi or left_anti.
     """
     keys = _keys(on)
-    hot = F.broadcast(hot_keys(left, keys, hot_rows).withColumn("_hot", F.lit(True)))
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts))
-    salted_left = (
-        left.join(hot, keys, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), spread.cast("int")).otherwise(0))
-        .drop("_hot")
-    )
-    repeats = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    salted_right = (
-        right.join(hot, keys, "left").withColumn("_salt", F.explode(repeats)).drop("_hot")
-    )
-    return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
+    missing = reduce(or_, [F.col(f"`{c}`").isNull() for c in keys])
+    whole = left.filter(~missing)
+    hot, size = materialise_measured(hot_keys(whole, keys, hot_rows), "hot-keys")
+    if hot.isEmpty():
+        joined = whole.join(right, keys, how)
+    else:
+        hot = hot.select(*keys, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_salts"))
+        if size <= BROADCAST_LIMIT:
+            hot = F.broadcast(hot)
+        numbered = materialise(
+            whole.withColumn("_row", F.monotonically_increasing_id()), "salted"
+        )
+        salts = F.coalesce("_salts", F.lit(1))
+        left_salted = (
+            numbered.join(hot, keys, "left")
+            .withColumn("_salt", F.pmod(F.xxhash64("_row"), salts).cast("int"))
+            .drop("_salts", "_row")
+        )
+        right_salted = (
+            right.join(hot, keys, "left")
+            .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+            .drop("_salts")
+        )
+        joined = left_salted.join(right_salted, [*keys, "_salt"], how).drop("_salt")
+    if how in ("inner", "left_semi"):
+        return joined
+    return joined.unionByName(left.filter(missing), allowMissingColumns=True)
 
 
 def lookup_join(

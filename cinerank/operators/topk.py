@@ -30,7 +30,8 @@ def first_k(
     """
     threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
     if k > threshold:
-        return group_ordinal(df, group, order_by, rank).filter(F.col(rank) <= k)
+        numbered = group_ordinal(df, group, order_by, rank).filter(F.col(rank) <= k)
+        return numbered.withColumn(rank, F.col(rank).cast("int"))
     window = Window.partitionBy(*_columns(group)).orderBy(*order_by)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 

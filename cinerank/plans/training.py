@@ -17,14 +17,14 @@ def train(ratings: DataFrame, model_path: str, run_id: str, seed: int = 0, **par
     training, test = random_split(ratings, 0.8, seed)
     model = als.fit(training, seed=seed, **params)
     als.save(model, model_path)
-    stored = als.load_factors(ratings.sparkSession, model_path)
+    stored = als.load(model_path)
     scored = rmse(als.predict(stored, test))
     return metric_row(scored, run_id, seed=seed, rank=stored.rank)
 
 
 def publish_pipeline(spark: SparkSession, model_path: str, table_path: str) -> DataFrame:
     """Score every user of a stored model and publish the lists, by user and by film."""
-    lists = materialise(als.recommendations(als.load_factors(spark, model_path)), "lists")
+    lists = materialise(als.recommendations(als.load(model_path)), "lists")
     publish(lists, f"{table_path}/by_user")
     publish_by_film(lists, f"{table_path}/by_film")
     return spark.read.schema(RECOMMENDATIONS).parquet(f"{table_path}/by_user")

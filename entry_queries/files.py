@@ -55,8 +55,10 @@ def scan_csv_header(spark, d):
 def scan_multi_file(spark, d):
     ratings = views.ratings(spark, d)
     path = scratch_path(spark, "by-rating")
-    ratings.withColumn("part", F.col("rating")).write.partitionBy("part").csv(path, sep="\t")
-    return sources.read_ratings(spark, [f"{path}/part={stars}" for stars in range(1, 6)])
+    parts = ratings.withColumn("part", F.coalesce(F.col("rating").cast("string"), F.lit("none")))
+    parts.write.partitionBy("part").csv(path, sep="\t")
+    written = [row["part"] for row in parts.select("part").distinct().collect()]
+    return sources.read_ratings(spark, [f"{path}/part={part}" for part in written])
 
 
 @query("rows_from_request", "SELECT CAST(c_custkey AS INT) AS user_id FROM customer")

@@ -30,18 +30,18 @@ def names(spark):
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_salted_join_equals_plain_join(hot, names, how):
-    salted = salted_join(hot, names, "key", how, hot_rows=50, salts=5)
+    salted = salted_join(hot, names, "key", how, hot_rows=50)
     assert rows(salted) == rows(hot.join(names, "key", how), *salted.columns)
 
 
 def test_salted_join_keeps_repeats_on_the_right(hot, names):
     twice = names.unionByName(names)
-    salted = salted_join(hot, twice, "key", hot_rows=50, salts=5)
+    salted = salted_join(hot, twice, "key", hot_rows=50)
     assert rows(salted) == rows(hot.join(twice, "key"), *salted.columns)
 
 
 def test_hot_keys_finds_the_large_key(hot):
-    assert rows(hot_keys(hot, "key", hot_rows=200)) == [(0,)]
+    assert rows(hot_keys(hot, "key", hot_rows=200)) == [(0, 300)]
 
 
 def test_lookup_join_has_a_way_beyond_the_limit(hot, names):
@@ -58,10 +58,35 @@ def test_broadcast_only_within_the_limit(hot, names):
         return joined._jdf.queryExecution().optimizedPlan().toString()
 
     assert "strategy=broadcast" in plan(1 << 30)
-    beyond = plan(0)
-    assert "_salt" in beyond
-    # Only the list of hot keys is broadcast then, once for each side.
-    assert beyond.count("strategy=broadcast") == 2
+    assert "strategy=broadcast" not in plan(0)
+
+
+def parts_of(frame, condition):
+    """Tasks of the join that hold rows of ``condition``."""
+    placed = frame.withColumn("_part", F.spark_partition_id()).filter(condition)
+    return placed.select("_part").distinct().count()
+
+
+def test_rows_that_are_all_alike_spread(spark, names):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        keys = spark.range(9000).select((F.col("id") % 10 * 0).cast("int").alias("key"))
+        joined = salted_join(keys, names.hint("merge"), "key", "left_semi", hot_rows=100)
+        assert joined.count() == 9000
+        assert parts_of(joined, "key = 0") > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("hot_rows", [50, 10_000])
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_missing_keys_match_nothing_and_stay_where_they_are(spark, names, how, hot_rows):
+    key = F.when(F.col("id") % 2 == 0, F.col("id") % 3).cast("int")
+    left = spark.range(0, 900, 1, 6).select(key.alias("key"), F.col("id").alias("value"))
+    joined = salted_join(left, names, "key", how, hot_rows=hot_rows)
+    assert rows(joined) == rows(left.join(names, "key", how), *joined.columns)
+    if how in ("left", "left_anti"):
+        assert parts_of(joined, "key IS NULL") > 1
 
 
 def test_sizes_grow_with_text_and_agree(spark):

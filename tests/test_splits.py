@@ -113,3 +113,22 @@ def test_random_split_repeats_with_its_seed(spark):
     first, second = splits.random_split(df, 0.8, 3), splits.random_split(df, 0.8, 3)
     assert [rows(part) for part in first] == [rows(part) for part in second]
     assert rows(first[0].unionByName(first[1])) == rows(df)
+
+
+@pytest.mark.parametrize("window_rows", [5, 1000])
+def test_group_ordinal_keeps_missing_groups(spark, window_rows):
+    data = [(None if i % 3 == 0 else i % 3, i) for i in range(60)]
+    frame = spark.createDataFrame(data, "g int, v int")
+    numbered = group_ordinal(frame, "g", "v", window_rows=window_rows)
+    expected = []
+    for group in (None, 1, 2):
+        members = sorted(v for g, v in data if g == group)
+        expected += [(group, v, n) for n, v in enumerate(members, 1)]
+    assert rows(numbered, "g", "v", "ordinal") == sorted(expected, key=repr)
+
+
+def test_rank_has_one_type(spark):
+    frame = spark.range(20).select((F.col("id") % 2).alias("g"), "id")
+    small, large = (first_k(frame, k, "g", ["id"]) for k in (1000, 1001))
+    assert small.schema == large.schema
+    assert rows(small) == rows(large, *small.columns)
