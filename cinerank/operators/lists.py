@@ -35,3 +35,16 @@ def users_by_film(recommendations: DataFrame, films: DataFrame) -> DataFrame:
 def first_users_by_film(recommendations: DataFrame, films: DataFrame, k: int) -> DataFrame:
     """At most ``k`` users per film, lowest ids first, plus ``user_rank``."""
     return first_k(users_by_film(recommendations, films), k, "movie_id", ["user_id"], "user_rank")
+
+
+def first_users_listed(by_film: DataFrame, films: DataFrame, k: int) -> DataFrame:
+    """The same from the published table by film, which is ordered by film.
+
+    The wanted films are few beside the table: their range is pushed to the scan, so
+    that row groups of other films are not read.
+    """
+    wanted = films.select("movie_id").distinct()
+    low, high = wanted.agg(F.min("movie_id"), F.max("movie_id")).first()
+    listed = by_film.select("movie_id", "user_id").filter(F.col("movie_id").between(low, high))
+    found = lookup_join(listed, wanted, "movie_id", "left_semi")
+    return first_k(found, k, "movie_id", ["user_id"], "user_rank")

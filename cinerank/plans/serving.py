@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinerank.operators.catalogue import parameter_missing, with_titles
-from cinerank.operators.lists import first_users_by_film
+from cinerank.operators.lists import first_users_by_film, first_users_listed
 from cinerank.operators.search import PAGE, TextIndex, build_index, first_hit, search
 from cinerank.operators.skew import lookup_join, materialise_measured, sized_join
 from cinerank.operators.topk import as_ranked_list, explode_list
@@ -44,16 +44,20 @@ def recommend_by_title(
     recommendations: DataFrame,
     k: int = PAGE,
     index: TextIndex | None = None,
+    by_film: DataFrame | None = None,
 ) -> DataFrame:
     """request_id, title -> plus status, error, movie_id, recommendations.
 
     The film is the best title match; ``recommendations`` holds up to ``k``
     users (lowest ids) whose published list contains it, each with that list.
+    ``by_film`` is the published table by film; with it, lists are read by user only.
     """
     films = materialise(best_films(requests, catalogue, index), "best-films")
-    users, size = materialise_measured(
-        first_users_by_film(recommendations, films, k), "film-users"
-    )
+    if by_film is None:
+        listed = first_users_by_film(recommendations, films, k)
+    else:
+        listed = first_users_listed(by_film, films, k)
+    users, size = materialise_measured(listed, "film-users")
     wanted = users.select("user_id").distinct()
     lists = sized_join(
         recommendations.select("user_id", "recommendations"), wanted, "user_id", size, "left_semi"
@@ -64,8 +68,13 @@ def recommend_by_title(
         ["user_id", "recommendations"],
     )
     by_title = films.join(answers, "movie_id", "left")
-    joined = requests.join(by_title, "title", "left")
     missing = parameter_missing(F.col("title"))
+    # Requests without a title are answered where they are.
+    joined = (
+        requests.filter(~missing)
+        .join(by_title, "title", "left")
+        .unionByName(requests.filter(missing), allowMissingColumns=True)
+    )
     error = (
         F.when(missing, "title is required")
         .when(F.col("movie_id").isNull(), "no film has this title")
@@ -121,12 +130,17 @@ def recommend_for_user(
 def search_catalogue(
     requests: DataFrame, catalogue: DataFrame, k: int = PAGE, index: TextIndex | None = None
 ) -> DataFrame:
-    """request_id, query -> hits with movie_id, title, genres, avg_rating, score, rank.
+    """request_id, query -> status and hits: movie_id, title, genres, avg_rating, score, rank.
 
     Title and genres are searched, the better field counts.  A query without a
-    match has no rows; unlike the title lookup that is not an error.
+    match has no rows; unlike the title lookup that is not an error.  A request
+    without a query has one row with status 400 and no hit.
     """
     index = index or build_index(catalogue, "movie_id", ["title", "genres"])
     hits = search(_text_lookup(requests, "query"), "request_id", "query", index, k)
     details = catalogue.select("movie_id", "title", "genres", "avg_rating")
-    return lookup_join(hits.withColumnRenamed("doc_id", "movie_id"), details, "movie_id")
+    found = lookup_join(hits.withColumnRenamed("doc_id", "movie_id"), details, "movie_id")
+    refused = requests.filter(parameter_missing(F.col("query"))).select("request_id", "query")
+    return found.withColumn("status", F.lit(200)).unionByName(
+        refused.withColumn("status", F.lit(400)), allowMissingColumns=True
+    )

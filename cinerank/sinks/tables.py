@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cinerank.operators.skew import lookup_join
-from cinerank.operators.topk import explode_list
+from cinerank.operators.topk import explode_list, first_k
+from cinerank.session import materialise
 from cinerank.sources.schemas import RECOMMENDATIONS
 
 
@@ -37,7 +38,8 @@ def rebuild_table(df: DataFrame, path: str, schema: T.StructType) -> None:
 
 def publish(recommendations: DataFrame, path: str) -> None:
     """One row per user, ordered by user so that a user lookup reads few row groups."""
-    typed = conform(recommendations, RECOMMENDATIONS)
+    # Stored first: range partitioning reads its input twice.
+    typed = materialise(conform(recommendations, RECOMMENDATIONS), "publish")
     write_table(typed.repartitionByRange("user_id").sortWithinPartitions("user_id"), path)
 
 
@@ -46,15 +48,22 @@ def publish_by_film(recommendations: DataFrame, path: str) -> None:
 
     The range key includes the user, so a film in most lists fills many files.
     """
-    rows = explode_list(recommendations).select("movie_id", "user_id", "rank", "rating")
+    entries = explode_list(recommendations).select("movie_id", "user_id", "rank", "rating")
+    rows = materialise(entries, "publish")
     keys = ["movie_id", "user_id"]
     write_table(rows.repartitionByRange(*keys).sortWithinPartitions(*keys), path)
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """``new`` plus the rows of ``old`` whose key it does not replace.
 
-    Write the result to a fresh path: ``old`` may be the table being replaced.
+    The last write wins: of rows of ``new`` with one key the one with the largest
+    ``order`` stays; without ``order`` keys must not repeat.  ``order`` is not part of
+    the result.  Write the result to a fresh path: ``old`` may be the table being replaced.
     """
+    if order is not None:
+        ties = [F.col(c) for c in sorted(set(new.columns) - {key, order})]
+        latest = first_k(new, 1, key, [F.desc(order), *ties], "_place")
+        new = latest.drop("_place", order)
     kept = lookup_join(old, new.select(key).distinct(), key, "left_anti", computed=True)
     return kept.unionByName(new)

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cinerank.sources import schemas
@@ -41,8 +42,15 @@ def rename_by_position(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.toDF(*names)
 
 
-def requests_frame(spark: SparkSession, keys: Iterable, name: str, dtype: T.DataType) -> DataFrame:
-    """Request keys as a one-column DataFrame, one row per key."""
+def requests_frame(
+    spark: SparkSession, keys: Iterable | DataFrame, name: str, dtype: T.DataType
+) -> DataFrame:
+    """Request keys as a one-column DataFrame, one row per key.
+
+    Few keys may come from the caller as values, many as a table of one column.
+    """
+    if isinstance(keys, DataFrame):
+        return rename_by_position(keys, [name]).select(F.col(name).cast(dtype))
     schema = T.StructType([T.StructField(name, dtype)])
     return spark.createDataFrame([(key,) for key in keys], schema)
 

@@ -63,8 +63,8 @@ def scan_multi_file(spark, d):
 
 @query("rows_from_request", "SELECT CAST(c_custkey AS INT) AS user_id FROM customer")
 def rows_from_request(spark, d):
-    keys = views.table(spark, d, "customer").select(F.col("c_custkey").cast("int"))
-    return sources.rename_by_position(keys, ["user_id"])
+    keys = views.table(spark, d, "customer").select("c_custkey")
+    return sources.requests_frame(spark, keys, "user_id", T.IntegerType())
 
 
 @query(
@@ -157,8 +157,11 @@ def upsert_by_key(spark, d):
     new = orders.groupBy(F.col("o_custkey").alias("user_id")).agg(
         F.round(F.sum("o_totalprice"), 2).alias("amount")
     )
+    # Each key is written twice in one batch; the second write is the one that holds.
+    first = new.withColumn("amount", F.lit(-1.0)).withColumn("written", F.lit(1))
+    batch = first.unionByName(new.withColumn("written", F.lit(2)))
     path = scratch_path(spark, "upserted")
-    sinks.write_table(sinks.upsert(old, new, "user_id"), path)
+    sinks.write_table(sinks.upsert(old, batch, "user_id", "written"), path)
     return sources.read_table(spark, path)
 
 

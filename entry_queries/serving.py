@@ -39,6 +39,13 @@ _STATUS = (
 )
 
 
+def _title_lookup(spark, d):
+    lists, by_film = views.published(spark, d)
+    return recommend_by_title(
+        title_requests(spark, d), views.movies(spark, d), lists, by_film=by_film
+    )
+
+
 def _answer(lookup):
     users = F.transform(
         "recommendations",
@@ -63,9 +70,7 @@ def _answer(lookup):
     ),
 )
 def recommend_by_title_query(spark, d):
-    return _answer(
-        recommend_by_title(title_requests(spark, d), views.movies(spark, d), views.lists(spark, d))
-    )
+    return _answer(_title_lookup(spark, d))
 
 
 @query(
@@ -76,9 +81,7 @@ def recommend_by_title_query(spark, d):
     ),
 )
 def join_two_hop(spark, d):
-    looked_up = recommend_by_title(
-        title_requests(spark, d), views.movies(spark, d), views.lists(spark, d)
-    )
+    looked_up = _title_lookup(spark, d)
     found = looked_up.filter(F.col("status") == 200)
     return _answer(found).select("request_id", "movie_id", "answer")
 
@@ -91,9 +94,7 @@ def join_two_hop(spark, d):
     ),
 )
 def no_match_status(spark, d):
-    looked_up = recommend_by_title(
-        title_requests(spark, d), views.movies(spark, d), views.lists(spark, d)
-    )
+    looked_up = _title_lookup(spark, d)
     return looked_up.groupBy("status").agg(F.count("*").alias("n_requests"))
 
 
@@ -118,7 +119,7 @@ def recommend_for_user_query(spark, d):
         "request_id", F.concat(F.lit("user-"), F.col("user_id").cast("string"))
     )
     looked_up = recommend_for_user(
-        requests, views.ratings(spark, d), views.lists(spark, d), views.movies(spark, d)
+        requests, views.ratings(spark, d), views.published(spark, d)[0], views.movies(spark, d)
     )
     films = F.transform(
         "recommendations",
@@ -127,19 +128,35 @@ def recommend_for_user_query(spark, d):
     return looked_up.withColumn("films", F.array_join(films, ",")).drop("recommendations")
 
 
+# Films without a release date stand for requests without a query.
+SEARCH_REQUESTS = (
+    CATALOGUE_REQUESTS
+    + " UNION ALL SELECT -movie_id, release_date FROM movies_d WHERE release_date = ''"
+)
+
+
+def search_requests(spark, d):
+    blank = views.movies(spark, d).filter("release_date = ''")
+    return catalogue_requests(spark, d).unionByName(
+        blank.select((-F.col("movie_id")).alias("request_id"), F.col("release_date").alias("query"))
+    )
+
+
 @query(
     "search_catalogue",
     with_views(
-        "catalogue_d",
+        "catalogue_d movies_d",
         "SELECT request_id, query, movie_id, title, genres, round(avg_rating, 9) AS avg_rating,"
-        " score, rank FROM requests JOIN ranked_hits USING (query)"
-        " JOIN catalogue_d ON movie_id = doc_id",
-        requests=CATALOGUE_REQUESTS,
+        " score, rank, 200 AS status FROM requests JOIN ranked_hits USING (query)"
+        " JOIN catalogue_d ON movie_id = doc_id"
+        " UNION ALL SELECT request_id, query, NULL, NULL, NULL, NULL, NULL, NULL, 400"
+        " FROM requests WHERE query IS NULL OR query = ''",
+        requests=SEARCH_REQUESTS,
         **ranking_views(
             "catalogue_d", "movie_id", ["title", "genres"], "SELECT query FROM requests"
         ),
     ),
 )
 def search_catalogue_query(spark, d):
-    hits = search_catalogue(catalogue_requests(spark, d), views.catalogue(spark, d))
+    hits = search_catalogue(search_requests(spark, d), views.catalogue(spark, d))
     return hits.withColumn("avg_rating", F.round("avg_rating", 9))

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 from cinerank.operators.factors import recommendation_lists, top_k_items
 from cinerank.plans.clean import clean_catalogue
+from cinerank.session import materialise, scratch_path
+from cinerank.sinks.tables import publish, publish_by_film
 from cinerank.sources import read_table
 from cinerank.sources.schemas import FLAG_COLUMNS, GENRE_COLUMNS
 
@@ -104,6 +106,22 @@ def lists(spark: SparkSession, folder: str) -> DataFrame:
     return recommendation_lists(ranked(spark, folder))
 
 
+_published: dict[tuple[str, str], str] = {}
+
+
+def published(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The lists as published: by user and by film, scored and written once a session."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _published:
+        path = scratch_path(spark, "published")
+        stored = materialise(lists(spark, folder), "lists")
+        publish(stored, f"{path}/by_user")
+        publish_by_film(stored, f"{path}/by_film")
+        _published[key] = path
+    path = _published[key]
+    return spark.read.parquet(f"{path}/by_user"), spark.read.parquet(f"{path}/by_film")
+
+
 _FLAGS_SQL = ", ".join(
     f"""CASE WHEN p_size % {i + 2} = 0 THEN 1 ELSE 0 END AS "{name}\""""
     for i, name in enumerate(FLAG_COLUMNS)

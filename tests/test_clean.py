@@ -140,6 +140,14 @@ def test_publishing_again_replaces_a_users_list(spark):
     ]
 
 
+def test_the_last_write_of_a_key_holds(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    batch = spark.createDataFrame(
+        [(1, "x", 1), (1, "y", 2), (3, "p", 5), (3, "q", 4)], "k int, v string, at int"
+    )
+    assert rows(sinks.upsert(old, batch, "k", "at")) == [(1, "y"), (2, "b"), (3, "p")]
+
+
 def test_presence_activity_and_profile(spark):
     ratings = spark.createDataFrame([(1, 1, 3, 0), (1, 2, 4, 0), (2, 1, 5, 0)], schemas.RATINGS)
     asked = spark.createDataFrame([(1,), (1,), (3,)], "user_id int")

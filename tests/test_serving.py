@@ -4,6 +4,7 @@ from cinerank.operators import als
 from cinerank.operators.lists import first_users_by_film, users_by_film, users_recommended
 from cinerank.plans.serving import recommend_by_title, recommend_for_user, search_catalogue
 from cinerank.session import scratch_path
+from cinerank.sinks.tables import publish_by_film
 from cinerank.sources import schemas
 from tests.conftest import rows
 
@@ -45,6 +46,19 @@ def test_title_statuses(spark, films, lists):
     assert got[3]["recommendations"] is None and got[4]["recommendations"] is None
 
 
+def test_title_lookup_reads_the_table_by_film(spark, films, lists):
+    path = scratch_path(spark, "by-film")
+    publish_by_film(lists, path)
+    requests = spark.createDataFrame(
+        list(enumerate(["Paper Story", "", None, "Unheard Of", "us"])), "request_id int, title string"
+    )
+    by_film = spark.read.parquet(path)
+    served = recommend_by_title(requests, films, lists, by_film=by_film)
+    assert rows(served) == rows(recommend_by_title(requests, films, lists))
+    none = recommend_by_title(requests.filter("request_id > 0"), films, lists, by_film=by_film)
+    assert none.count() == 4
+
+
 def test_title_users_are_a_page(spark, films, lists):
     got = by_title(spark, films, lists, ["heat"], k=1)
     assert [u["user_id"] for u in got[0]["recommendations"]] == [10]
@@ -66,8 +80,12 @@ def test_search_covers_genres_and_may_be_empty(spark, films):
     requests = spark.createDataFrame(
         [(0, "drama"), (1, "story"), (2, "zzz"), (3, "")], "request_id int, query string"
     )
-    got = rows(search_catalogue(requests, films), "request_id", "rank", "movie_id", "avg_rating")
+    found = search_catalogue(requests, films)
+    got = rows(found.filter("status = 200"), "request_id", "rank", "movie_id", "avg_rating")
     assert got == [(0, 1, 2, None), (0, 2, 3, 4.0), (1, 1, 1, 3.5), (1, 2, 2, None)]
+    # A missing query is refused; one without hits is not.
+    refused = found.filter("status = 400")
+    assert rows(refused, "request_id", "query", "movie_id") == [(3, "", None)]
 
 
 def test_list_lookups(spark, lists):
