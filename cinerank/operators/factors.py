@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cinerank.functions.vectors import dot, norm
 from cinerank.operators.ordinal import global_ordinal
 from cinerank.operators.skew import BROADCAST_LIMIT, lookup_join, measured_bytes
-from cinerank.operators.topk import as_ranked_list, top_k
+from cinerank.operators.topk import as_ranked_list, first_k, top_k
 from cinerank.session import materialise
 
 USER_BATCH = 512
@@ -299,13 +299,29 @@ def nearest_vectors(
             F.array(norm(features) * norm(features)),
         ).alias("features"),
     )
-    # The transformed scores only rank; distances come from the vectors themselves.
-    ranked = top_k_items(doubled, extended, k, decimals=12).drop("score")
+    # The transformed scores only propose; distances come from the vectors themselves.
+    # They are rounded, so candidates beyond the k-th score may tie with the k-th
+    # distance: more are asked for until the last one is farther than that.
     left = queries.select(F.col("id").alias("user_id"), features.alias("_u"))
     right = vectors.select(F.col("id").alias("movie_id"), features.alias("_v"))
     apart = F.zip_with("_u", "_v", lambda a, b: a.cast("double") - b.cast("double"))
-    return (
-        lookup_join(lookup_join(ranked, left, "user_id"), right, "movie_id")
-        .withColumn("distance", F.round(norm(apart), DECIMALS))
-        .drop("_u", "_v")
-    )
+    wanted = 2 * k
+    while True:
+        proposed = top_k_items(doubled, extended, wanted, decimals=12)
+        proposed = proposed.drop("score").withColumnRenamed("rank", "_proposed")
+        measured = materialise(
+            lookup_join(lookup_join(proposed, left, "user_id"), right, "movie_id")
+            .withColumn("distance", F.round(norm(apart), DECIMALS))
+            .drop("_u", "_v"),
+            "distances",
+        )
+        nearest = first_k(measured, k, "user_id", ["distance", "movie_id"])
+        open_ends = (
+            measured.filter(F.col("_proposed") == wanted)
+            .select("user_id", F.col("distance").alias("_last"))
+            .join(nearest.filter(F.col("rank") == k), "user_id")
+            .filter(F.col("_last") <= F.col("distance"))
+        )
+        if open_ends.isEmpty():
+            return nearest.drop("_proposed")
+        wanted *= 2

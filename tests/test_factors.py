@@ -95,6 +95,18 @@ def test_identical_vectors_are_at_distance_zero(spark, matrices):
     assert rows(found, "user_id", "movie_id", "distance") == [(i, i, 0.0) for i in range(5)]
 
 
+def test_equal_distances_go_by_id(spark):
+    """Twelve vectors at distance 1, closer by less than the rounding in reverse order."""
+    around = [
+        [float(np.cos(a)) * (1 + 1e-9 * i), float(np.sin(a)) * (1 + 1e-9 * i)]
+        for i, a in enumerate(np.linspace(0, 6, 12))
+    ][::-1]
+    frame = spark.createDataFrame(list(enumerate(around, 1)), "id int, features array<double>")
+    query = spark.createDataFrame([(100, [0.0, 0.0])], "id int, features array<double>")
+    found = nearest_vectors(query, frame, 3, "l2")
+    assert rows(found, "rank", "movie_id", "distance") == [(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0)]
+
+
 def test_cold_pairs_are_dropped(spark, matrices):
     users, items = matrices
     pairs = spark.createDataFrame([(1, 2, 3), (1, 9999, 3), (9999, 2, 3)], "user_id int, movie_id int, rating int")
