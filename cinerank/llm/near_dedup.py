@@ -10,10 +10,14 @@ skipped: they are counted where the posting is read, from a byte each.
 
 Equal sets are one entry.  A posting list is not paired out: its first document is a
 hub for those that match it, the first of the rest is the next hub, and so on, which
-gives fewer candidates than the list has entries.  Candidates are confirmed on full
-sets, and components are formed.  Then lists that still hold documents of different
-components are read again for every match across components, so that no link is
-missed that could join two of them; links inside a component would change nothing.
+gives fewer candidates than the list has entries.  What candidates connect is a
+family; lists that hold documents of several families are read again for matches
+across them, so that every candidate pair ends up inside one family.
+
+The texts of a family meet once, in blocks of ``BLOCK`` documents, every two blocks
+in a task of their own.  There the full sets are compared by counting common elements
+in matrix products, and of the confirmed links only those that join something not yet
+joined are given.  Components of these links are the result.
 
 A list that needs more than ``MOST_HUBS`` hubs holds mostly strangers.  It is posted
 again under a second coordinate, by the same rule of prefixes.
@@ -36,8 +40,12 @@ from cinerank.session import materialise
 
 COORDINATES, MATCHES = 48, 24
 PREFIX = COORDINATES - MATCHES + 1
-MOST_HUBS = 512
+MOST_HUBS = 4096
 LEVELS = 2
+# Documents of a family that are compared together; two blocks meet in one task.
+BLOCK = 1024
+# Elements per matrix product.
+_COLUMNS = 2048
 SIMILAR = 80  # percent
 _ROWS = 1024  # rows of a posting list compared at once
 _random = np.random.default_rng(7)
@@ -231,21 +239,26 @@ def _stars(most: int):
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches between different components within lists that come sorted by key."""
+    """Matches that join different families within lists that come sorted by key."""
     schema = pa.schema(_FOUND_SCHEMA.field(i) for i in (3, 4, 5, 6))
     key, parts = None, []
 
     def pairs() -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(parts)
         did, tk, root = (rows.column(n).to_numpy() for n in ("did", "tk", "root"))
+        root = np.unique(root, return_inverse=True)[1]
         briefs = _briefs(rows.column("brief").combine_chunks())
+        found = []
         for i in range(len(did) - 1):
             near = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
-            near = near[_agree(briefs[i], briefs[near])]
-            if len(near):
-                yield batch(
-                    schema, np.full(len(near), did[i]), np.full(len(near), tk[i]), did[near], tk[near]
-                )
+            for j in near[_agree(briefs[i], briefs[near])].tolist():
+                if root[j] != root[i]:
+                    found.append((i, j))
+                    # From here on they are one family.
+                    root[root == root[j]] = root[i]
+        if found:
+            i, j = np.array(found).T
+            yield batch(schema, did[i], tk[i], did[j], tk[j])
 
     for rows in batches:
         for _, part in _slices(rows) if rows.num_rows else ():
@@ -259,52 +272,120 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs()
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps pairs with 100 * intersection >= SIMILAR * union."""
-    for rows in batches:
-        keep = []
-        ours, theirs = rows.column("members"), rows.column("to_members")
-        for a, b in zip(ours, theirs, strict=True):
-            one, two = (np.frombuffer(x.as_py(), np.uint64) for x in (a, b))
-            both = np.sort(np.concatenate([one, two]))
-            common = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * common >= SIMILAR * (len(one) + len(two) - common))
-        yield rows.select(["did", "tk", "to_did", "to_tk"]).filter(pa.array(keep, pa.bool_()))
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets.
 
+    Elements of many sets are counted by matrix products, the others pair by pair,
+    and those of a single set not at all.
+    """
+    n = len(sets)
+    common = np.zeros((n, n), np.float32)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    order = np.argsort(np.concatenate(sets), kind="stable")
+    values, owner = np.concatenate(sets)[order], owner[order]
+    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]][: len(values)])
+    sizes = np.diff(np.r_[starts, len(values)])
+    many = sizes > max(2, n // 16)
+    for begin in range(0, int(many.sum()), _COLUMNS):
+        chosen = np.flatnonzero(many)[begin : begin + _COLUMNS]
+        column = np.repeat(np.arange(len(chosen)), sizes[chosen])
+        place = np.concatenate([np.arange(starts[c], starts[c] + sizes[c]) for c in chosen])
+        held = np.zeros((n, len(chosen)), np.float32)
+        held[owner[place], column] = 1
+        common += held @ held.T
+    few = np.flatnonzero(~many & (sizes > 1))
+    for size in np.unique(sizes[few]):
+        at = starts[few[sizes[few] == size]]
+        for i in range(size):
+            for j in range(size):
+                if i != j:
+                    np.add.at(common, (owner[at + i], owner[at + j]), 1)
+    return common
+
+
+def spanning_links(sets: list[np.ndarray], side: np.ndarray, across: bool) -> list[tuple[int, int]]:
+    """Links that join what similar sets connect; ``across``: of different sides only."""
+    size = np.array([len(x) for x in sets], np.float64)
+    near = (100 + SIMILAR) * common_counts(sets) >= SIMILAR * (size[:, None] + size[None, :])
+    np.fill_diagonal(near, False)
+    if across:
+        near &= side[:, None] != side[None, :]
+    found = []
+    fresh = np.ones(len(sets), bool)
+    for root in range(len(sets)):
+        if not fresh[root]:
+            continue
+        fresh[root] = False
+        frontier = [root]
+        while frontier:
+            one = frontier.pop()
+            reached = np.flatnonzero(near[one] & fresh)
+            fresh[reached] = False
+            found.extend((one, other) for other in reached.tolist())
+            frontier.extend(reached.tolist())
+    return found
+
+
+def _link(words: int):
+    """Links within families that come sorted by family and pair of blocks."""
+    schema = pa.schema(_FOUND_SCHEMA.field(i) for i in (3, 4, 5, 6))
 
-def _sets(words: int):
-    schema = pa.schema([("did", pa.int64()), ("tk", pa.int32()), ("members", pa.binary())])
+    def linked(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(parts)
+        did, tk, side = (rows.column(n).to_numpy() for n in ("did", "tk", "block"))
+        # A row that is repeated as it is counts once.
+        _, once = np.unique(np.stack([did, tk.astype(np.int64)]), axis=1, return_index=True)
+        rows, did, tk, side = rows.take(pa.array(once)), did[once], tk[once], side[once]
+        sets = [shingles(b, words) for b in bodies_of(rows.column("body"))]
+        across = rows.column("low")[0] != rows.column("high")[0]
+        found = spanning_links(sets, side, across)
+        if found:
+            u, v = np.array(found).T
+            yield batch(schema, did[u], tk[u], did[v], tk[v])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, parts = None, []
         for rows in batches:
-            for begin in range(0, rows.num_rows, _ROWS):
-                part = rows.slice(begin, _ROWS)
-                sets = [shingles(b, words).tobytes() for b in bodies_of(part.column("body"))]
-                yield batch(schema, part.column("did"), part.column("tk"), sets)
+            if not rows.num_rows:
+                continue
+            key = np.stack([rows.column(n).to_numpy() for n in ("family", "low", "high")])
+            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            edges = [0, *cuts.tolist(), rows.num_rows]
+            for begin, end in zip(edges[:-1], edges[1:], strict=True):
+                name = tuple(key[:, begin].tolist())
+                if parts and name != current:
+                    yield from linked(parts)
+                    parts = []
+                current = name
+                parts.append(rows.slice(begin, end - begin))
+        if parts:
+            yield from linked(parts)
 
     return run
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """Those of ``pairs`` (did, tk, to_did, to_tk) whose full sets are similar."""
-    ends = pairs.select("did", "tk").unionByName(
-        pairs.select(F.col("to_did").alias("did"), F.col("to_tk").alias("tk"))
+def _links(docs: DataFrame, families: DataFrame, words: int) -> DataFrame:
+    """Confirmed links (did, tk, to_did, to_tk) within families (did, tk, family)."""
+    sizes = families.groupBy("family").agg(
+        F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")
     )
-    wanted = ends.distinct().withColumn("wanted", F.lit(True))
-    sets = (
-        pressed(docs)
-        .dropDuplicates(["did", "tk"])
-        .join(wanted, ["did", "tk"], "left")
-        .filter("wanted")
-        .mapInArrow(_sets(words), "did long, tk int, members binary")
-    )
-    others = sets.select(
-        F.col("did").alias("to_did"), F.col("tk").alias("to_tk"), F.col("members").alias("to_members")
+    placed = families.join(sizes, "family").select(
+        "did",
+        "tk",
+        "family",
+        F.pmod(F.xxhash64("did", "tk"), F.col("blocks")).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
     )
     return (
-        pairs.join(others, ["to_did", "to_tk"])
-        .join(sets, ["did", "tk"])
-        .mapInArrow(_confirm, "did long, tk int, to_did long, to_tk int")
+        pressed(docs)
+        .join(placed, ["did", "tk"], "left")
+        .filter(F.col("family").isNotNull())
+        .withColumn("low", F.least("block", "other"))
+        .withColumn("high", F.greatest("block", "other"))
+        .drop("other")
+        .repartition("family", "low", "high")
+        .sortWithinPartitions("family", "low", "high", "did", "tk")
+        .mapInArrow(_link(words), "did long, tk int, to_did long, to_tk int")
     )
 
 
@@ -376,17 +457,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, most_hubs: int = MOST_HUBS)
         "groups",
     )
     pairs, members = _candidates(groups, most_hubs)
-    tried = materialise(
-        _all(pairs).select("did", "tk", "to_did", "to_tk").distinct(), "tried"
-    )
-    links = materialise(_verified(docs, tried, words), "links")
-    roots = components(_edges(links))
+    tried = _edges(_all(pairs).select("did", "tk", "to_did", "to_tk").distinct())
+    families = components(tried)
 
     labelled = _all(members).join(
-        roots.select("node.did", "node.tk", F.col("root")), ["did", "tk"], "left"
+        families.select("node.did", "node.tk", "root"), ["did", "tk"], "left"
     )
     labelled = labelled.withColumn("root", F.xxhash64(F.coalesce("root", _node())))
-    mixed_lists = (
+    several = (
         labelled.groupBy("key")
         .agg(F.min("root").alias("a"), F.max("root").alias("b"))
         .filter(F.col("a") != F.col("b"))
@@ -395,22 +473,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, most_hubs: int = MOST_HUBS)
     brief = groups.select("did", "tk", "signature").mapInArrow(
         _shorten, "did long, tk int, brief binary"
     )
-    more = materialise(
-        labelled.join(mixed_lists, "key", "left_semi")
+    across = materialise(
+        labelled.join(several, "key", "left_semi")
         .join(brief, ["did", "tk"])
         .select("key", "did", "tk", "root", "brief")
         .repartition("key")
         .sortWithinPartitions("key", "did", "tk")
         .mapInArrow(_across, "did long, tk int, to_did long, to_tk int")
-        .distinct()
-        .join(tried, ["did", "tk", "to_did", "to_tk"], "left_anti"),
+        .distinct(),
         "across",
     )
-    if not more.isEmpty():
-        found = materialise(_verified(docs, more, words), "links")
-        if not found.isEmpty():
-            roots = components(_edges(links.unionByName(found)))
-    roots = materialise(roots, "roots")
+    if not across.isEmpty():
+        trees = families.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        families = components(trees.unionByName(_edges(across)))
+    named = families.select("node.did", "node.tk", F.xxhash64("root").alias("family"))
+    links = _links(docs, named, words)
+    roots = materialise(components(_edges(links)), "roots")
 
     # The smallest real id of each component, over all of its groups.
     named = groups.join(roots.select("node.did", "node.tk", "root"), ["did", "tk"], "left")
