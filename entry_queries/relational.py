@@ -104,18 +104,32 @@ def param_required(spark, d):
     return views.movies(spark, d).select("movie_id", status.alias("status"))
 
 
+# Ratings of films that the catalogue lacks: one by each supplier.
+_STRANGE_FILMS = "SELECT CAST(-1 - s_suppkey AS INT) AS movie_id, s_name AS title FROM supplier"
+
+
+def strange_films(spark, d):
+    suppliers = views.table(spark, d, "supplier")
+    return suppliers.select(
+        (-1 - F.col("s_suppkey")).cast("int").alias("movie_id"), F.col("s_name").alias("title")
+    )
+
+
 @query(
     "source_projection",
     with_views(
         "ratings_d catalogue_d",
-        "SELECT r.user_id, r.movie_id, coalesce(title, 'Unknown') AS title,"
-        " round(avg_rating, 9) AS avg_rating FROM ratings_d r LEFT JOIN known USING (movie_id)",
-        known="SELECT movie_id, title, avg_rating FROM catalogue_d WHERE release_date IS NOT NULL",
+        "SELECT user_id, movie_id, coalesce(title, 'Unknown') AS title,"
+        " round(avg_rating, 9) AS avg_rating FROM asked LEFT JOIN catalogue_d USING (movie_id)",
+        strange=_STRANGE_FILMS,
+        asked="SELECT user_id, movie_id FROM ratings_d"
+        " UNION ALL SELECT -movie_id, movie_id FROM strange",
     ),
 )
 def source_projection(spark, d):
-    known = views.catalogue(spark, d).filter(F.col("release_date").isNotNull())
-    joined = views.ratings(spark, d).select("user_id", "movie_id").join(known, "movie_id", "left")
+    strange = strange_films(spark, d).select((-F.col("movie_id")).alias("user_id"), "movie_id")
+    asked = views.ratings(spark, d).select("user_id", "movie_id").unionByName(strange)
+    joined = asked.join(views.catalogue(spark, d), "movie_id", "left")
     return joined.select(
         "user_id",
         "movie_id",
@@ -136,25 +150,19 @@ def agg_avg_rating(spark, d):
     return means.select("movie_id", F.round("avg_rating", 9).alias("avg_rating"))
 
 
-# Late five-star ratings: about half of the films have none, so both cases of the join occur.
-_LATE = 978307200  # 2001-01-01
-
-
 @query(
     "join_left_avg",
     with_views(
         "movies_d ratings_d",
-        "SELECT movie_id, title, round(avg(\"timestamp\"), 3) AS mean_time FROM movies_d"
-        " LEFT JOIN late USING (movie_id) GROUP BY movie_id, title",
-        late='SELECT movie_id, "timestamp" FROM ratings_d WHERE rating = 5'
-        f' AND "timestamp" >= {_LATE}',
+        "SELECT movie_id, title, round(avg(rating), 9) AS avg_rating FROM films"
+        " LEFT JOIN ratings_d USING (movie_id) GROUP BY movie_id, title",
+        films="SELECT movie_id, title FROM movies_d UNION ALL " + _STRANGE_FILMS,
     ),
 )
 def join_left_avg(spark, d):
-    late = views.ratings(spark, d).filter((F.col("rating") == 5) & (F.col("timestamp") >= _LATE))
-    means = late.select("movie_id", F.col("timestamp").alias("rating"))
-    joined = cat.with_average_rating(views.movies(spark, d), means)
-    return joined.select("movie_id", "title", F.round("avg_rating", 3).alias("mean_time"))
+    films = views.movies(spark, d).select("movie_id", "title").unionByName(strange_films(spark, d))
+    joined = cat.with_average_rating(films, views.ratings(spark, d))
+    return joined.select("movie_id", "title", F.round("avg_rating", 9).alias("avg_rating"))
 
 
 @query(
@@ -455,17 +463,26 @@ def fn_epoch_ts(spark, d):
 
 @query(
     "fn_default",
-    "SELECT l_orderkey, l_linenumber, l_partkey, coalesce(p_name, 'Unknown') AS title FROM lineitem"
-    " LEFT JOIN (SELECT p_partkey, p_name FROM part WHERE p_type <> 'PROMO')"
-    " ON l_partkey = p_partkey",
+    "SELECT l_orderkey, l_linenumber, l_partkey, coalesce(p_name, 'Unknown') AS title FROM"
+    " (SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem"
+    " UNION ALL SELECT s_suppkey, 0, -1 - s_suppkey FROM supplier)"
+    " LEFT JOIN part ON l_partkey = p_partkey",
 )
 def fn_default(spark, d):
+    """Line items, and one line of each supplier for a part that there is not."""
     lines = views.table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", F.col("l_partkey").alias("movie_id")
     )
-    parts = views.table(spark, d, "part").filter(F.col("p_type") != "PROMO")
-    titles = parts.select(F.col("p_partkey").alias("movie_id"), F.col("p_name").alias("title"))
-    return cat.with_titles(lines, titles).withColumnRenamed("movie_id", "l_partkey")
+    strange = views.table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("l_orderkey"),
+        F.lit(0).alias("l_linenumber"),
+        (-1 - F.col("s_suppkey")).alias("movie_id"),
+    )
+    titles = views.table(spark, d, "part").select(
+        F.col("p_partkey").alias("movie_id"), F.col("p_name").alias("title")
+    )
+    titled = cat.with_titles(lines.unionByName(strange), titles)
+    return titled.withColumnRenamed("movie_id", "l_partkey")
 
 
 @query("fn_explode_recs", with_views("listed_d", "SELECT user_id, rank, movie_id, rating FROM listed_d"))

@@ -132,14 +132,21 @@ def topk_user_subset(spark, d):
     with_views(
         "listed_d movies_d",
         "SELECT user_id, rank, movie_id, rating, coalesce(title, 'Unknown') AS title"
-        " FROM listed_d LEFT JOIN known USING (movie_id)",
-        known="SELECT movie_id, title FROM movies_d WHERE release_date <> ''",
+        " FROM listed LEFT JOIN movies_d USING (movie_id)",
+        listed="SELECT user_id, rank, movie_id, rating FROM listed_d UNION ALL"
+        " SELECT CAST(s_suppkey AS INT), 1, CAST(-1 - s_suppkey AS INT), 0 FROM supplier",
     ),
 )
 def join_lookup_title(spark, d):
-    known = views.movies(spark, d).filter(F.col("release_date") != "")
+    """List entries, and one of each supplier for a film that there is not."""
     rows = explode_list(views.lists(spark, d)).withColumn("rating", F.col("rating").cast("double"))
-    return with_titles(rows, known)
+    strange = views.table(spark, d, "supplier").select(
+        F.col("s_suppkey").cast("int").alias("user_id"),
+        F.lit(1).alias("rank"),
+        (-1 - F.col("s_suppkey")).cast("int").alias("movie_id"),
+        F.lit(0.0).alias("rating"),
+    )
+    return with_titles(rows.unionByName(strange), views.movies(spark, d))
 
 
 @query(
@@ -147,7 +154,7 @@ def join_lookup_title(spark, d):
     with_views(
         "listed_d movies_d",
         "SELECT user_id, string_agg(concat(movie_id, ':', coalesce(title, 'Unknown')), ','"
-        " ORDER BY rank) AS titled, sum(rating) >= -1000 AS scored"
+        " ORDER BY rank) AS titled, max(rating) AS best, min(rating) AS least"
         " FROM listed_d LEFT JOIN movies_d USING (movie_id) GROUP BY user_id",
     ),
 )
@@ -162,5 +169,6 @@ def rename_nested(spark, d):
         F.array_join(
             F.transform("films", lambda f: F.concat_ws(":", f["movie_id"], f["title"])), ","
         ).alias("titled"),
-        F.forall("films", lambda f: f["predicted_rating"] >= -1000).alias("scored"),
+        F.col("films")[0]["predicted_rating"].cast("double").alias("best"),
+        F.element_at("films", -1)["predicted_rating"].cast("double").alias("least"),
     )
