@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinerank.llm.common import batch, parts_for, text_bytes
@@ -66,13 +66,15 @@ def texts(table: pa.Table) -> Iterator[str]:
         yield open_.decompress(body.as_py()).decode()
 
 
-def blocks(docs: DataFrame, tag=None) -> tuple[DataFrame, int]:
+def blocks(
+    docs: DataFrame, tag: Column | None = None, block_bytes: int = BLOCK_BYTES
+) -> tuple[DataFrame, int]:
     """Compressed documents with their block, and the number of blocks.
 
     ``tag`` is an int column that goes with each document.
     """
     _, size = text_bytes(docs)
-    count = parts_for(size, BLOCK_BYTES)
+    count = parts_for(size, block_bytes)
     packed = docs.select(
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).cast("int").alias("block"),
         F.col("doc_id").cast("long").alias("doc_id"),

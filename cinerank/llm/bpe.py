@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from cinerank.llm.blocks import (
     ANSWERED_SCHEMA,
     ASKED_SCHEMA,
+    BLOCK_BYTES,
     ask_and_answer,
     blocks,
     squeeze,
@@ -170,7 +171,9 @@ def _give(shards: int, path: str, decoded: bool):
     return run
 
 
-def encode(docs: DataFrame, tokenizer: str, decoded: bool = False) -> DataFrame:
+def encode(
+    docs: DataFrame, tokenizer: str, decoded: bool = False, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """doc_id and the array ``ids`` of each document's token ids; with ``decoded``, the
     text that ``decode`` makes of them, in the same pass.
 
@@ -178,7 +181,7 @@ def encode(docs: DataFrame, tokenizer: str, decoded: bool = False) -> DataFrame:
     at a blank, readable on every machine.  Nothing is truncated, padded or added.
     A null text is empty and has no ids.  Null doc_ids and repeated rows keep their rows.
     """
-    packed, count = blocks(docs)
+    packed, count = blocks(docs, block_bytes=block_bytes)
     schema = "doc_id long, ids array<int>" + ", decoded string" * decoded
     return ask_and_answer(
         packed, _ask(count), _answer(tokenizer), _give(count, tokenizer, decoded), schema

@@ -33,6 +33,7 @@ from cinerank.llm.anchors import mixed
 from cinerank.llm.blocks import (
     ANSWERED_SCHEMA,
     ASKED_SCHEMA,
+    BLOCK_BYTES,
     ask_and_answer,
     blocks,
     squeeze,
@@ -44,6 +45,8 @@ from cinerank.session import materialise
 
 FOLDS, HELD_FOLD = 5, 1
 DISCOUNT = 0.75
+# Pairs take more room than words, so blocks are half as large as usual.
+LM_BLOCK_BYTES = BLOCK_BYTES // 2
 HOT_SHARE = 1000
 END, BEGIN = np.uint64(1), np.uint64(2)
 # Weights are powers of ten from -9 to 0 in 255 steps; 0 stands for none.
@@ -360,7 +363,7 @@ def _give(shards: int, model: Totals):
     return run
 
 
-def language_model_scores(docs: DataFrame) -> DataFrame:
+def language_model_scores(docs: DataFrame, block_bytes: int = LM_BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score.
 
@@ -371,7 +374,7 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
     """
     model = totals(docs)
     train = (crc_slot(FOLDS) != HELD_FOLD).cast("int")
-    packed, count = blocks(docs, train)
+    packed, count = blocks(docs, train, block_bytes)
     scored = ask_and_answer(
         packed,
         _ask(count, model),

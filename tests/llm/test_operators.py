@@ -102,12 +102,13 @@ def test_exact_duplicates(odd):
     assert got == expected(want)
 
 
-def test_bpe_equals_the_library(odd):
+@pytest.mark.parametrize("block_bytes", [1 << 24, 5000])
+def test_bpe_equals_the_library(odd, block_bytes):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokenizer_path())
     want = [(i, library.encode(t or "", add_special_tokens=False).ids) for i, t, *_ in odd_rows()]
-    found = encode(odd, tokenizer_path(), decoded=True).cache()
+    found = encode(odd, tokenizer_path(), True, block_bytes).cache()
     assert by_text(found.select("doc_id", "ids"), odd, "ids") == expected(
         [(i, (ids,)) for i, ids in want]
     )
@@ -292,7 +293,7 @@ def test_mixing_comes_near_its_targets(spark):
         sums[2] = r["target"]
         sums[3] += r["copies"]
     for source, (taken, docs_, target, copies) in found.items():
-        assert abs(taken - target) <= 0.002 * target, source
+        assert abs(taken - target) <= 0.005 * target, source
         size = sum(len(t.split()) for _, t, s in rows if s == source)
         # The number of documents is balanced too.
         assert abs(copies - docs_ * target / size) <= 6, source
@@ -313,7 +314,8 @@ def test_flight_keeps_totals():
     assert math.isclose(after @ sizes, before @ sizes, rel_tol=1e-6)
 
 
-def test_language_model_base(odd):
+@pytest.mark.parametrize("block_bytes", [1 << 24, 5000])
+def test_language_model_base(odd, block_bytes):
     def tokens(text):
         return [*lower(text).split(), None]
 
@@ -332,7 +334,7 @@ def test_language_model_base(odd):
         )
         known = sum(counts[w] > 0 for w in tokens(t))
         want.append((i, (slot(i) == 1, len(tokens(t)), known, total, f"{base:.6f}")))
-    rows = language_model_scores(odd).collect()
+    rows = language_model_scores(odd, block_bytes).collect()
     got = [
         (r["doc_id"], (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], f"{r['base_score']:.6f}"))
         for r in rows
@@ -353,7 +355,11 @@ def test_language_model_learns_pairs(spark):
             w = rng.choice(after[w])
         rows.append((i, " ".join(text)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    held = [r for r in language_model_scores(docs).collect() if r["held_out"]]
+    whole = {r["doc_id"]: r["score"] for r in language_model_scores(docs).collect()}
+    rows = language_model_scores(docs, 5000).collect()
+    # Blocks and shards change nothing but the estimate for the commonest words.
+    assert all(math.isclose(r["score"], whole[r["doc_id"]], rel_tol=0.1) for r in rows)
+    held = [r for r in rows if r["held_out"]]
     tokens = sum(r["n_tokens"] for r in held)
     assert held and sum(r["score"] for r in held) / tokens > -0.9
     assert sum(r["base_score"] for r in held) / tokens < -2.0
