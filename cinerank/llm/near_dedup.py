@@ -40,10 +40,13 @@ from cinerank.session import materialise
 
 COORDINATES, MATCHES = 48, 24
 PREFIX = COORDINATES - MATCHES + 1
-MOST_HUBS = 4096
+# Posting a list again takes as long as comparing about twice as many hubs as this.
+MOST_HUBS = 24_000
 LEVELS = 2
 # Documents of a family that are compared together; two blocks meet in one task.
 BLOCK = 1024
+# Lists of up to so many rows are compared together, in portions of about so many rows.
+SHORT_LIST, LISTED_ROWS = 64, 1 << 16
 # Elements per matrix product.
 _COLUMNS = 2048
 SIMILAR = 80  # percent
@@ -238,38 +241,63 @@ def _stars(most: int):
     return run
 
 
+def _joining(root: np.ndarray, briefs: np.ndarray) -> list[tuple[int, int]]:
+    """Matches within one list that join families not joined by an earlier match."""
+    root = np.unique(root, return_inverse=True)[1]
+    found = []
+    for i in range(len(root) - 1):
+        near = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+        for j in near[_agree(briefs[i], briefs[near])].tolist():
+            if root[j] != root[i]:
+                found.append((i, j))
+                # From here on they are one family.
+                root[root == root[j]] = root[i]
+    return found
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches that join different families within lists that come sorted by key."""
+    """Matches that join different families within lists that come sorted by key.
+
+    Short lists are compared all at once, each row with the first, second, ... after
+    it; long ones one by one.
+    """
     schema = pa.schema(_FOUND_SCHEMA.field(i) for i in (3, 4, 5, 6))
-    key, parts = None, []
 
-    def pairs() -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(parts)
-        did, tk, root = (rows.column(n).to_numpy() for n in ("did", "tk", "root"))
-        root = np.unique(root, return_inverse=True)[1]
+    def matches(rows: pa.Table) -> pa.RecordBatch:
+        key, did, tk, root = (rows.column(n).to_numpy() for n in ("key", "did", "tk", "root"))
         briefs = _briefs(rows.column("brief").combine_chunks())
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[starts, len(key)])
+        left = np.repeat(starts + sizes, sizes) - np.arange(len(key)) - 1
+        short = np.repeat(sizes <= SHORT_LIST, sizes)
         found = []
-        for i in range(len(did) - 1):
-            near = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
-            for j in near[_agree(briefs[i], briefs[near])].tolist():
-                if root[j] != root[i]:
-                    found.append((i, j))
-                    # From here on they are one family.
-                    root[root == root[j]] = root[i]
-        if found:
-            i, j = np.array(found).T
-            yield batch(schema, did[i], tk[i], did[j], tk[j])
-
+        for step in range(1, int(sizes[sizes <= SHORT_LIST].max(initial=1))):
+            i = np.flatnonzero(short & (left >= step))
+            i = i[root[i] != root[i + step]]
+            near = (briefs[i] == briefs[i + step]).sum(axis=1) >= MATCHES
+            found.append(np.c_[i[near], i[near] + step])
+        for begin, size in zip(starts[sizes > SHORT_LIST], sizes[sizes > SHORT_LIST], strict=True):
+            joined = _joining(root[begin : begin + size], briefs[begin : begin + size])
+            found.append(np.array(joined, np.int64).reshape(-1, 2) + begin)
+        i, j = np.concatenate([np.zeros((0, 2), np.int64), *found]).T
+        return batch(schema, did[i], tk[i], did[j], tk[j])
+
+    held: list[pa.RecordBatch] = []
     for rows in batches:
-        for _, part in _slices(rows) if rows.num_rows else ():
-            name = part.column("key")[0].as_py()
-            if name != key and parts:
-                yield from pairs()
-                parts = []
-            key = name
-            parts.append(part)
-    if parts:
-        yield from pairs()
+        if not rows.num_rows:
+            continue
+        held.append(rows)
+        if sum(h.num_rows for h in held) < LISTED_ROWS:
+            continue
+        table = pa.Table.from_batches(held)
+        key = table.column("key").to_numpy()
+        # The last list may go on.
+        cut = int(np.argmax(key == key[-1]))
+        if cut:
+            yield matches(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+    if held:
+        yield matches(pa.Table.from_batches(held))
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
