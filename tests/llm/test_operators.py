@@ -236,6 +236,63 @@ def test_near_duplicates(odd, size, hubs):
     assert got == expected(want)
 
 
+def joined_by(pairs, names, families):
+    """What pairs and families connect, as sets of names."""
+    root = {n: n for n in names}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    firsts = {}
+    for name, family in zip(names, families):
+        root[find(name)] = find(firsts.setdefault(family, name))
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    groups = defaultdict(set)
+    for n in names:
+        groups[find(n)].add(n)
+    return sorted(map(sorted, groups.values()))
+
+
+@pytest.mark.parametrize("short,portion", [(64, 1 << 16), (2, 7), (64, 7)])
+def test_matches_across_families(monkeypatch, short, portion):
+    """Long and short lists, whole or cut into portions, join the same families."""
+    import pyarrow as pa
+
+    from cinerank.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "SHORT_LIST", short)
+    monkeypatch.setattr(near_dedup, "LISTED_ROWS", portion)
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 256, (3, 48)).astype(np.uint8)
+    kind = rng.integers(0, 3, 30)
+    briefs = base[kind]
+    briefs[:, :20] = rng.integers(0, 256, (30, 20))
+    key, family = np.sort(rng.integers(0, 4, 30)), rng.integers(0, 20, 30)
+    table = pa.table(
+        {
+            "key": key, "did": np.arange(30), "tk": np.zeros(30, np.int32), "root": family,
+            "brief": [b.tobytes() for b in briefs],
+        }
+    )
+    found = [
+        pair
+        for part in near_dedup._across(iter(table.to_batches(max_chunksize=4)))
+        for pair in zip(part.column("did").to_pylist(), part.column("to_did").to_pylist())
+    ]
+    want = [
+        (i, j)
+        for i in range(30)
+        for j in range(i)
+        if key[i] == key[j] and family[i] != family[j] and (briefs[i] == briefs[j]).sum() >= 24
+    ]
+    assert want and set(map(frozenset, found)) <= set(map(frozenset, want))
+    names = range(30)
+    assert joined_by(found, names, family.tolist()) == joined_by(want, names, family.tolist())
+
+
 def test_near_duplicates_of_families(spark):
     """Chains and families of copies with some words changed, no common original."""
     rng = random.Random(9)
