@@ -39,14 +39,14 @@ _PLACE = np.uint64((1 << 22) - 1)
 # Anchors of a batch that are compared before they are sent.
 FLUSH = 1 << 20
 
-ROWS = "kind int, key long, ctx long, did long, tk int, start long, end long"
+ROWS = "kind int, key long, ctx long, did long, tk long, start long, end long"
 ROW_SCHEMA = pa.schema(
     [
         ("kind", pa.int32()),
         ("key", pa.int64()),
         ("ctx", pa.int64()),
         ("did", pa.int64()),
-        ("tk", pa.int32()),
+        ("tk", pa.int64()),
         ("start", pa.int64()),
         ("end", pa.int64()),
     ]
@@ -176,7 +176,7 @@ def _settle_batch(shape: Shape, held: list[tuple]) -> Iterator[pa.RecordBatch]:
     doc = np.repeat(np.arange(len(held)), sizes)
     place, key, ctx = (np.concatenate([h[i] for h in held]) for i in (2, 3, 4))
     did = np.array([h[0] for h in held], np.int64)
-    tk = np.array([h[1] for h in held], np.int32)
+    tk = np.array([h[1] for h in held], np.int64)
     order = np.lexsort((place, doc, ctx, key))
     doc, place, key, ctx = doc[order], place[order], key[order], ctx[order]
     new = np.r_[True, (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1])]
@@ -332,7 +332,7 @@ def settle_anchors(docs: DataFrame, shape: Shape) -> DataFrame:
 
 
 def _press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("did", pa.int64()), ("tk", pa.int32()), ("body", pa.binary())])
+    schema = pa.schema([("did", pa.int64()), ("tk", pa.int64()), ("body", pa.binary())])
     press = zstandard.ZstdCompressor(level=1)
     for rows in batches:
         bodies = [press.compress(t) for t in texts_of(rows.column("text"))]
@@ -345,7 +345,7 @@ def pressed(docs: DataFrame) -> DataFrame:
     Joined twice on (did, tk) in one plan, it is shuffled once: with its keys known to
     be there, the plans of an inner and an outer join read the same exchange.
     """
-    packed = keyed(docs).mapInArrow(_press, "did long, tk int, body binary")
+    packed = keyed(docs).mapInArrow(_press, "did long, tk long, body binary")
     return packed.filter(F.col("did").isNotNull() & F.col("tk").isNotNull())
 
 

@@ -23,8 +23,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_key() -> Column:
-    """A short hash that tells texts with one doc_id apart."""
-    return F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 15)).cast("int")
+    """64 bits of hash that tell texts with one doc_id, or with none, apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def id_key() -> Column:

@@ -33,13 +33,13 @@ BUCKET_ROWS = 1 << 16
 HOT_SHARE = 1000
 _RUN_BITS = 16
 
-_ROWS = "doc_id long, tk int, fp long, text_sha256 string"
+_ROWS = "doc_id long, tk long, fp long, text_sha256 string"
 _FILTER = "bucket int, quotients binary, remainders binary, counts binary"
 _COUNTS = pa.schema([("fp", pa.int64()), ("n", pa.int64())])
 
 
 def _fingerprints(with_text: bool):
-    fields = [("doc_id", pa.int64()), ("tk", pa.int32()), ("fp", pa.int64())]
+    fields = [("doc_id", pa.int64()), ("tk", pa.int64()), ("fp", pa.int64())]
     fields.append(("text_sha256", pa.string()))
     schema = pa.schema(fields + [("norm", pa.large_binary())] * with_text)
 

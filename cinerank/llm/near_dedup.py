@@ -56,16 +56,16 @@ _FACTORS = _random.integers(0, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) +
 _MASKS = _random.integers(0, 1 << 63, COORDINATES, np.uint64)
 
 PAIR, MEMBER, CROWDED = 0, 1, 2
-_FOUND = "kind int, key long, used long, did long, tk int, to_did long, to_tk int"
+_FOUND = "kind int, key long, used long, did long, tk long, to_did long, to_tk long"
 _FOUND_SCHEMA = pa.schema(
     [
         ("kind", pa.int32()),
         ("key", pa.int64()),
         ("used", pa.int64()),
         ("did", pa.int64()),
-        ("tk", pa.int32()),
+        ("tk", pa.int64()),
         ("to_did", pa.int64()),
-        ("to_tk", pa.int32()),
+        ("to_tk", pa.int64()),
     ]
 )
 
@@ -97,7 +97,7 @@ def signature(members: np.ndarray) -> np.ndarray:
 
 def _entries(words: int):
     schema = pa.schema(
-        [("did", pa.int64()), ("tk", pa.int32()), ("n", pa.int64())]
+        [("did", pa.int64()), ("tk", pa.int64()), ("n", pa.int64())]
         + [("g1", pa.int64()), ("g2", pa.int64()), ("signature", pa.binary())]
     )
 
@@ -126,7 +126,7 @@ def _entries(words: int):
 def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per posting.  ``used`` has a bit for each coordinate that led to ``key``."""
     schema = pa.schema(
-        [("key", pa.int64()), ("used", pa.int64()), ("did", pa.int64()), ("tk", pa.int32())]
+        [("key", pa.int64()), ("used", pa.int64()), ("did", pa.int64()), ("tk", pa.int64())]
         + [("brief", pa.binary())]
     )
     for rows in batches:
@@ -362,7 +362,7 @@ def _link(words: int):
         rows = pa.Table.from_batches(parts)
         did, tk, side = (rows.column(n).to_numpy() for n in ("did", "tk", "block"))
         # A row that is repeated as it is counts once.
-        _, once = np.unique(np.stack([did, tk.astype(np.int64)]), axis=1, return_index=True)
+        _, once = np.unique(np.stack([did, tk]), axis=1, return_index=True)
         rows, did, tk, side = rows.take(pa.array(once)), did[once], tk[once], side[once]
         sets = [shingles(b, words) for b in bodies_of(rows.column("body"))]
         across = rows.column("low")[0] != rows.column("high")[0]
@@ -413,7 +413,7 @@ def _links(docs: DataFrame, families: DataFrame, words: int) -> DataFrame:
         .drop("other")
         .repartition("family", "low", "high")
         .sortWithinPartitions("family", "low", "high", "did", "tk")
-        .mapInArrow(_link(words), "did long, tk int, to_did long, to_tk int")
+        .mapInArrow(_link(words), "did long, tk long, to_did long, to_tk long")
     )
 
 
@@ -434,7 +434,7 @@ def _candidates(entries: DataFrame, most: int) -> tuple[list[DataFrame], list[Da
     # Posting again multiplies entries by PREFIX, so the last level takes lists as they are.
     for level in range(LEVELS):
         found = materialise(
-            posting.mapInArrow(_post, "key long, used long, did long, tk int, brief binary")
+            posting.mapInArrow(_post, "key long, used long, did long, tk long, brief binary")
             .repartition("key")
             .sortWithinPartitions("key", "did", "tk")
             .mapInArrow(_stars(most if level < LEVELS - 1 else 1 << 62), _FOUND),
@@ -473,7 +473,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, most_hubs: int = MOST_HUBS)
     rows = materialise(
         keyed(docs).mapInArrow(
             _entries(words),
-            "did long, tk int, n long, g1 long, g2 long, signature binary",
+            "did long, tk long, n long, g1 long, g2 long, signature binary",
         ),
         "entries",
     )
@@ -499,7 +499,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, most_hubs: int = MOST_HUBS)
         .select("key")
     )
     brief = groups.select("did", "tk", "signature").mapInArrow(
-        _shorten, "did long, tk int, brief binary"
+        _shorten, "did long, tk long, brief binary"
     )
     across = materialise(
         labelled.join(several, "key", "left_semi")
@@ -507,7 +507,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, most_hubs: int = MOST_HUBS)
         .select("key", "did", "tk", "root", "brief")
         .repartition("key")
         .sortWithinPartitions("key", "did", "tk")
-        .mapInArrow(_across, "did long, tk int, to_did long, to_tk int")
+        .mapInArrow(_across, "did long, tk long, to_did long, to_tk long")
         .distinct(),
         "across",
     )
@@ -539,7 +539,7 @@ def _least_id() -> Column:
 
 
 def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("did", pa.int64()), ("tk", pa.int32()), ("brief", pa.binary())])
+    schema = pa.schema([("did", pa.int64()), ("tk", pa.int64()), ("brief", pa.binary())])
     for rows in batches:
         briefs = [
             np.frombuffer(s.as_py(), np.uint64).astype(np.uint8).tobytes()

@@ -45,14 +45,14 @@ def word_hashes(text: bytes) -> np.ndarray:
 
 
 SHAPE = Shape(word_hashes, WINDOW, GRAM, within=False)
-WINDOWS = "kind int, h1 long, h2 long, did long, tk int, start long, end long"
+WINDOWS = "kind int, h1 long, h2 long, did long, tk long, start long, end long"
 _WINDOW_SCHEMA = pa.schema(
     [
         ("kind", pa.int32()),
         ("h1", pa.int64()),
         ("h2", pa.int64()),
         ("did", pa.int64()),
-        ("tk", pa.int32()),
+        ("tk", pa.int64()),
         ("start", pa.int64()),
         ("end", pa.int64()),
     ]
@@ -84,7 +84,7 @@ def open_windows(shape: Shape):
         doc = np.repeat(np.arange(len(held)), sizes)
         h1, h2, start = (np.concatenate([h[i] for h in held]) for i in (2, 3, 4))
         did = np.array([h[0] for h in held], np.int64)
-        tk = np.array([h[1] for h in held], np.int32)
+        tk = np.array([h[1] for h in held], np.int64)
         order = np.lexsort((start, doc, h2, h1))
         doc, h1, h2, start = doc[order], h1[order], h2[order], start[order]
         new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]

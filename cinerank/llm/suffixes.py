@@ -53,20 +53,20 @@ def byte_tokens(text: bytes) -> np.ndarray:
 
 
 SHAPE = Shape(byte_tokens, WIDTH, GRAM, within=True)
-_CONTEXTS = "key long, did long, tk int, place long, lead int, bytes binary"
+_CONTEXTS = "key long, did long, tk long, place long, lead int, bytes binary"
 _CONTEXT_SCHEMA = pa.schema(
     [
         ("key", pa.int64()),
         ("did", pa.int64()),
-        ("tk", pa.int32()),
+        ("tk", pa.int64()),
         ("place", pa.int64()),
         ("lead", pa.int32()),
         ("bytes", pa.binary()),
     ]
 )
-_RUNS = "did long, tk int, start long, end long"
+_RUNS = "did long, tk long, start long, end long"
 _RUN_SCHEMA = pa.schema(
-    [("did", pa.int64()), ("tk", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]
+    [("did", pa.int64()), ("tk", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]
 )
 
 
