@@ -110,7 +110,21 @@ class Rolling:
 
 
 def smallest(hashes: np.ndarray, count: int) -> np.ndarray:
-    """Place of the first smallest of every ``count`` consecutive hashes."""
+    """Place of the first smallest of every ``count`` consecutive hashes.
+
+    Hashes are compared by the bits that a place leaves free, so they are taken by
+    stretches, with overlaps, of no more places than those bits can number.
+    """
+    found = [
+        begin + _smallest(hashes[begin : begin + STRETCH + count - 1], count)
+        for begin in range(0, max(len(hashes) - count + 1, 1), STRETCH)
+    ]
+    return np.concatenate(found)
+
+
+def _smallest(hashes: np.ndarray, count: int) -> np.ndarray:
+    if len(hashes) > int(_PLACE) + 1:
+        raise ValueError(f"{len(hashes)} hashes do not fit the bits of a place")
     key = (hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)
     step = 1
     while 2 * step <= count:
