@@ -10,7 +10,9 @@ as its task.  A pair is looked up by searching its successor relative to the ran
 of its context.
 
 Successors of the commonest words (more than one in ``HOT_SHARE`` tokens, so at most
-``HOT_SHARE`` words) and of the beginning of a text are dealt over all shards.
+``HOT_SHARE`` words) and of the beginning of a text are dealt over all shards.  How
+many distinct ones such a word has is the sum over the shards: every block asks
+every shard, and adds up.
 
 Smoothing is absolute discounting, interpolated with word probabilities whose unknown
 word has the share of words seen once.  Words are known by 64 bits of hash, and by 40
@@ -217,9 +219,9 @@ class _Tally:
         for shard in range(self.shards):
             words = self.by_word[w[shard] : w[shard + 1]]
             pairs = self.by_pair[p[shard] : p[shard + 1]]
-            if len(words) or len(pairs):
-                hot = self.is_hot[pairs]
-                yield shard, words, pairs[~hot], pairs[hot]
+            # Every shard is asked: each has a part of the hot words' successors to tell.
+            hot = self.is_hot[pairs]
+            yield shard, words, pairs[~hot], pairs[hot]
 
 
 def _planes(values: np.ndarray, width: int) -> bytes:
@@ -267,7 +269,12 @@ def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[starts], np.add.reduceat(counts, starts) if len(starts) else counts
 
 
-def _answer(shards: int, model: Totals):
+def unseen(kinds: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Code of what discounting leaves to the successors that a context has not had."""
+    return quantise(np.where(kinds > 0, np.minimum(DISCOUNT * kinds / total, 1.0), 1.0))
+
+
+def _answer(model: Totals):
     hot_counts = np.array(list(model.hot.values()), np.int64)
 
     def run(table: pa.Table) -> pa.Table:
@@ -292,19 +299,18 @@ def _answer(shards: int, model: Totals):
         context = pairs >> 40
         contexts = n + len(hot_counts)
         total = np.bincount(context, pair_counts, contexts)
-        kinds = np.bincount(context, minlength=contexts).astype(float)
-        # A shard has its share of a hot word's successors.
+        kinds = np.bincount(context, minlength=contexts)
         total[n:] = hot_counts
-        kinds[n:] *= shards
         total = np.maximum(total, 1)
         trie = Trie(contexts, pairs, quantise((pair_counts - DISCOUNT) / total[context]))
-        left = np.where(kinds > 0, np.minimum(DISCOUNT * kinds / total, 1.0), 1.0)
-        left = quantise(left)
+        left = unseen(kinds[:n], total[:n])
+        # No pair is in two shards, so a block adds up what they have of a hot word.
+        hot_kinds = _planes(kinds[n:], 5)
         rows = []
         for block, (word, *_), query in zip(table.column("block"), asked, queries, strict=True):
             at = np.searchsorted(words, word)
             answers = squeeze(
-                _planes(counts[at], 6), left[at], left[n:], trie.weights(query)
+                _planes(counts[at], 6), left[at], hot_kinds, trie.weights(query)
             )
             shard = table.column("shard")[0].as_py()
             rows.append({"block": block.as_py(), "shard": shard, "answers": answers})
@@ -326,6 +332,8 @@ _SCORES = pa.schema(
 
 
 def _give(shards: int, model: Totals):
+    hot_counts = np.array(list(model.hot.values()), np.int64)
+
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         tally = _Tally(table, shards, model)
         counts = np.zeros(len(tally.vocabulary), np.int64)
@@ -335,15 +343,18 @@ def _give(shards: int, model: Totals):
         by_shard = dict(
             zip(answers.column("shard").to_pylist(), answers.column("answers"), strict=True)
         )
+        hot_kinds = np.zeros(len(hot_counts), np.int64)
         usual_pairs = []
         for shard, words, usual, hot in tally.parts():
-            number, mine, hot_left, codes = unsqueeze(by_shard[shard].as_py())
+            number, mine, kinds, codes = unsqueeze(by_shard[shard].as_py())
             counts[words] = _numbers(number, 6)
             left[words] = WEIGHT[np.frombuffer(mine, np.uint8)]
             seen[np.r_[usual, hot]] = WEIGHT[np.frombuffer(codes, np.uint8)]
-            pair_left[hot] = WEIGHT[np.frombuffer(hot_left, np.uint8)][tally.hot[tally.context[hot]]]
+            hot_kinds += _numbers(kinds, 5)
             usual_pairs.append(usual)
         usual = np.concatenate(usual_pairs)
+        hot_left = WEIGHT[unseen(hot_kinds, np.maximum(hot_counts, 1))]
+        pair_left[tally.is_hot] = hot_left[tally.hot[tally.context[tally.is_hot]]]
         pair_left[usual] = left[tally.context[usual]]
         unknown = model.unknown
         alone = np.where(counts > 0, (1 - unknown) * counts / max(model.tokens, 1), unknown)
@@ -378,7 +389,7 @@ def language_model_scores(docs: DataFrame, block_bytes: int = LM_BLOCK_BYTES) ->
     scored = ask_and_answer(
         packed,
         _ask(count, model),
-        _answer(count, model),
+        _answer(model),
         _give(count, model),
         "doc_id long, tag int, n_tokens long, n_known long, base_score double, score double",
     )
