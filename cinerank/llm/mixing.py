@@ -9,9 +9,15 @@ those of all groups of a source fly again together.  The few left at the end, an
 ten documents of spread sizes that were held back, are landed on a choice that
 comes close to the target in words and documents.
 
+A flight moves a large document little, so one that outweighs what could make up for
+it would be landed on any side.  Such documents, at most 1 / ``LARGE_SHARE`` of a
+source, are drawn before the flights, and what their draw adds or lacks is taken
+off the probability of all others.
+
 A source of any size is cut into groups of about ``GROUP`` documents by a hash,
-so no task sees a whole source, and each level leaves at most 2 / ``GROUP`` of
-its documents to the next.  All draws come from hashes: reruns agree.
+so no task sees a whole source, and each level leaves about ``HELD`` + 2 documents
+of a group to the next.  A source that is one group lands there and then.  All draws
+come from hashes: reruns agree.
 """
 
 from __future__ import annotations
@@ -28,8 +34,12 @@ from cinerank.session import materialise
 
 GROUP = 2000
 MOST_COPIES = 3
-# Documents of a source that stay out of its last flight, to be landed with what it leaves.
+# Documents of a group that stay out of its flight, to be landed with what flights leave.
 HELD = 10
+# A document is large with more than this share of its source, and so many average sizes.
+LARGE_SHARE, LARGE_SIZES = 0.01, 3
+# Draws of a source's large documents, until the others can make up for one.
+DRAWS = 64
 # Share of the target within which landing prefers the right number of documents.
 CLOSE = 0.001
 WORD = r"[^\x20\x09-\x0D]+"
@@ -115,6 +125,34 @@ def fly(probabilities: np.ndarray, sizes: np.ndarray, random: np.random.Generato
     return out
 
 
+def draw_large(
+    sizes: np.ndarray, share: float, rest: float, random: np.random.Generator
+) -> np.ndarray:
+    """Which large documents, in falling order, to take of a source with ``rest`` words besides.
+
+    Each is drawn with the probability that all undecided words have, which keeps the
+    expected words.  Of several draws the first counts after which the rest can fill
+    the target, or else the one that misses it least.
+    """
+    left = rest + sizes.sum() - np.cumsum(sizes)
+    whole = share * (rest + sizes.sum())
+    best, least = np.zeros(len(sizes), bool), np.inf
+    for _ in range(DRAWS):
+        need, now = whole, share
+        taken = np.zeros(len(sizes), bool)
+        for i, (size, draw) in enumerate(zip(sizes, random.random(len(sizes)), strict=True)):
+            missed = [max(n - left[i], -n, 0.0) for n in (need, need - size)]
+            taken[i] = missed[1] < missed[0] if max(missed) > 0 else draw < now
+            need -= size * taken[i]
+            now = min(max(need / left[i], 0.0), 1.0) if left[i] > 0 else now
+        missed = max(need - rest, -need, 0.0)
+        if missed < least:
+            best, least = taken, missed
+        if least == 0:
+            break
+    return best
+
+
 def land(probabilities: np.ndarray, sizes: np.ndarray, need: float) -> np.ndarray:
     """Decides the last units, of which there are few, among all their choices.
 
@@ -135,18 +173,47 @@ def land(probabilities: np.ndarray, sizes: np.ndarray, need: float) -> np.ndarra
     return out
 
 
-def fly_and_land(
-    probabilities: np.ndarray, sizes: np.ndarray, need: float, random: np.random.Generator
+def fly_without_held(
+    probabilities: np.ndarray, sizes: np.ndarray, random: np.random.Generator
 ) -> np.ndarray:
-    """Last flight of a source, without ``HELD`` documents of spread sizes that land with the rest."""
+    """Flight of all but ``HELD`` documents of spread sizes, which stay as they are."""
     held = np.unique(np.linspace(0, len(sizes) - 1, HELD).astype(int))
     flying = np.setdiff1d(np.arange(len(sizes)), held)
     out = probabilities.astype(float).copy()
     out[flying] = fly(out[flying], sizes[flying], random)
-    return land(out, sizes, need)
+    return out
 
 
-def _flight(last: bool):
+def fly_and_land(
+    probabilities: np.ndarray, sizes: np.ndarray, need: float, random: np.random.Generator
+) -> np.ndarray:
+    """Last flight of a source, whose held documents land with what it leaves."""
+    return land(fly_without_held(probabilities, sizes, random), sizes, need)
+
+
+def _settle_large(table: pa.Table) -> pa.Table:
+    """A source's large documents, decided, with the share and need of its others."""
+    order = [("size", "descending"), ("mark", "ascending"), ("doc_id", "ascending")]
+    table = table.sort_by(order)
+    size = table.column("size").to_numpy().astype(float)
+    share, need = table.column("prob")[0].as_py(), table.column("need")[0].as_py()
+    rest = table.column("source_size")[0].as_py() - size.sum()
+    random = np.random.default_rng(int(table.column("mark").to_numpy().view(np.uint64)[0]))
+    taken = draw_large(size, share, rest, random)
+    need -= float(size[taken].sum())
+    share = min(max(need / rest, 0.0), 1.0) if rest > 0 else share
+    # As exactly decided as a flight leaves it.
+    share = 0.0 if share <= _EDGE else 1.0 if share >= 1 - _EDGE else share
+    n = table.num_rows
+    kept = table.select(["doc_id", "source", "size", "mark", "base"])
+    return (
+        kept.append_column("prob", pa.array(np.full(n, share)))
+        .append_column("need", pa.array(np.full(n, need)))
+        .append_column("once", pa.array(taken.astype(np.int32)))
+    )
+
+
+def _flight():
     schema = pa.schema(
         [
             ("doc_id", pa.int64()),
@@ -165,10 +232,10 @@ def _flight(last: bool):
         size = rows.column("size").to_numpy()
         seed = int(rows.column("mark").to_numpy().view(np.uint64)[0])
         random = np.random.default_rng(seed)
-        if last:
+        if rows.column("chunks")[0].as_py() == 1:
             after = fly_and_land(prob, size, rows.column("need")[0].as_py(), random)
         else:
-            after = fly(prob, size, random)
+            after = fly_without_held(prob, size, random)
         settled = (after == 0) | (after == 1)
         once = pa.array(after.astype(np.int32), mask=~settled)
         kept = [rows.column(name).combine_chunks() for name in schema.names[:5]]
@@ -194,15 +261,15 @@ def _flight(last: bool):
     return run
 
 
-def _fly_level(units: DataFrame, last: bool) -> DataFrame:
-    """One flight over groups of each source; large documents first, so small ones are left."""
-    chunk = F.lit(0) if last else F.pmod("mark", "chunks")
+def _fly_level(units: DataFrame) -> DataFrame:
+    """One flight over groups of each source, and the landing of sources of one group."""
+    chunk = F.pmod("mark", "chunks")
     placed = units.withColumn("chunk", chunk).withColumn("place", F.xxhash64("source", "chunk"))
     return (
         placed.repartition("source", "chunk")
         .sortWithinPartitions("place", "source", "chunk", F.desc("size"), "mark", "doc_id")
-        .drop("chunk", "chunks")
-        .mapInArrow(_flight(last), _UNITS)
+        .drop("chunk")
+        .mapInArrow(_flight(), _UNITS)
     )
 
 
@@ -232,6 +299,7 @@ def mix_sources(docs: DataFrame) -> DataFrame:
         F.col("source").alias("_source"),
         "source_size",
         "target",
+        "docs",
         whole.alias("base"),
         F.greatest(F.lit(0.0), ratio - whole).alias("share"),
         F.greatest(F.lit(1), F.ceil(F.col("docs") / GROUP)).cast("long").alias("chunks"),
@@ -249,17 +317,45 @@ def mix_sources(docs: DataFrame) -> DataFrame:
         F.col("share").alias("prob"),
         (F.col("target") - F.col("base") * F.col("source_size")).alias("need"),
         "chunks",
+        "source_size",
+        (
+            (F.col("size") > F.col("source_size") * LARGE_SHARE)
+            & (F.col("size") * F.col("docs") > F.col("source_size") * LARGE_SIZES)
+        ).alias("large"),
+    )
+    large = materialise(
+        flying.filter("large")
+        .drop("chunks", "large")
+        .groupBy("source")
+        .applyInArrow(_settle_large, _UNITS),
+        "large",
+    )
+    settled.append(
+        large.select(
+            "doc_id", "source", "size", "mark", (F.col("base") + F.col("once")).alias("copies")
+        )
+    )
+    # One row per source with large documents.
+    others = large.groupBy(F.col("source").alias("_source")).agg(
+        F.first("prob").alias("_prob"), F.first("need").alias("_need")
+    )
+    flying = (
+        flying.filter(~F.col("large"))
+        .join(others, F.col("source").eqNullSafe(F.col("_source")), "left")
+        .withColumns(
+            {"prob": F.coalesce("_prob", "prob"), "need": F.coalesce("_need", "need")}
+        )
+        .drop("source_size", "large", "_source", "_prob", "_need")
     )
     most = targets.agg(F.max("docs")).first()[0] or 0
     while True:
-        last = most <= GROUP
-        flown = materialise(_fly_level(flying, last), "flown")
+        flown = materialise(_fly_level(flying), "flown")
         settled.append(
             flown.filter("once IS NOT NULL").select(
                 "doc_id", "source", "size", "mark", (F.col("base") + F.col("once")).alias("copies")
             )
         )
-        if last:
+        if most <= GROUP:
             break
         # What is decided is taken off the need of what is not.
         taken = flown.groupBy("source").agg(
