@@ -12,10 +12,12 @@ from cinerank.llm.common import read_table
 from cinerank.llm.exact_dedup import exact_duplicates
 from cinerank.llm.fingerprints import fingerprints
 from cinerank.llm.language import languages
+from cinerank.llm.licenses import license_spans
 from cinerank.llm.mixing import mix_sources
 from cinerank.llm.near_dedup import near_duplicates
 from cinerank.llm.ngrams import language_model_scores
 from cinerank.llm.quality import quality_scores
+from cinerank.llm.spelling import spelling_variants
 from cinerank.llm.substrings import dedup_substrings
 from cinerank.llm.suffixes import dedup_suffixes
 
@@ -142,7 +144,32 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model_scores(read_table(spark, sf_dir, "documents"))
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.filter("spans", lambda span: span["exact"])
+    found = license_spans(read_table(spark, sf_dir, "documents")).withColumn("base", base)
+
+    def labels(spans: str):
+        return F.array_join(F.array_sort(F.array_distinct(F.col(f"{spans}.label"))), ",")
+
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min("base.start").alias("first_word"),
+        F.array_max("base.start").alias("last_word"),
+        labels("base").alias("base_labels"),
+        labels("spans").alias("labels"),
+        F.coalesce(F.array_max("spans.coverage"), F.lit(0.0)).alias("score"),
+    )
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op12_licenses": op12_licenses,
+    "op13_spelling": op13_spelling,
     "op8_lm_scoring": op8_lm_scoring,
     "op7_near_dedup": op7_near_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,

@@ -25,7 +25,7 @@ def database():
 
 def test_all_are_registered():
     names = {name.split("_")[0] for name in QUERIES}
-    assert names == {f"op{n}" for n in range(1, 11)}
+    assert names == {f"op{n}" for n in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= set(queries())
     assert set(ORACLES) <= set(oracle_sql())
 
