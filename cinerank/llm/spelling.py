@@ -2,12 +2,14 @@
 
 Letters are hashed to a few symbols.  Two words one edit apart have reduced words that
 are equal or one edit apart, so the full one-edit neighbourhood of a reduced word, over
-the few symbols, meets every reduced word that can matter.  Neighbourhoods are
-generated as 64-bit keys, joined to the keys of the reduced vocabulary, and the
-original strings of each meeting are compared.
+the few symbols, meets every reduced word that can matter.  Being neighbours is mutual:
+of the two words of a meeting one generates it, the longer one by a deletion, or the one
+with the smaller symbol by a replacement.  Neighbours are generated as 64-bit keys,
+joined to the keys of the reduced vocabulary, and the original strings of each meeting
+are compared.
 
 Cost: one pass over the texts, in which each task counts before the shuffle; then about
-``2 * length * symbols`` rows of 16 bytes per word of the vocabulary, which grows far
+``length * symbols / 2`` rows of 16 bytes per word of the vocabulary, which grows far
 slower than the text.  No step pairs the members of a group: a word meets the words
 whose reduced form is in its own neighbourhood.  A form has at most as many variants as
 one edit can make, a number that does not depend on the corpus.
@@ -33,7 +35,7 @@ from cinerank.session import materialise
 LEAST_LENGTH = 6
 LEAST_COUNT = 5
 RATIO = 5
-SYMBOLS = 8
+SYMBOLS = 16
 # A run is shortened where this divides its checksum.
 DELETES = 199
 
@@ -44,7 +46,7 @@ RUNS = 1 << 18
 # Letters of the words whose neighbourhoods are made together.
 LETTERS = 1 << 15
 # Neighbours that one task makes.
-NEIGHBOURS = 1 << 22
+NEIGHBOURS = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _COUNTS = pa.schema([("word", pa.string()), ("n", pa.int64())])
@@ -124,9 +126,8 @@ class Reduced:
         self.length = np.fromiter(map(len, words), np.int64, len(words))
         self.end = np.cumsum(self.length)
         self.word = np.repeat(np.arange(len(words)), self.length)
-        longest = int(self.length.max()) + 2
-        self.power = powers(_BASE, max(64, 1 << longest.bit_length()))
-        self.weight = self.power[np.arange(len(flat)) - np.repeat(self.end - self.length, self.length)]
+        power = powers(_BASE, max(64, 1 << int(self.length.max()).bit_length()))
+        self.weight = power[np.arange(len(flat)) - np.repeat(self.end - self.length, self.length)]
         sums = np.r_[np.uint64(0), np.cumsum(self.symbol * self.weight)]
         begin = sums[self.end - self.length]
         self.whole = sums[self.end] - begin
@@ -139,29 +140,23 @@ class Reduced:
         return self._key(self.whole, self.length)
 
     def neighbours(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Number of the word and key of a neighbour, each neighbour once.
+        """Number of the word and key of a neighbour, each of these once: the word itself,
+        the words with one symbol less, and those with one symbol replaced by a larger one.
 
-        Deleting any symbol of a run of equal ones gives the same word, so does
-        inserting a symbol before or after its equal: only the last is deleted, and
-        nothing is inserted before its equal.
+        Deleting any symbol of a run of equal ones gives the same word, so only the last is.
         """
-        one = np.uint64(1)
-        base, back = np.uint64(_BASE | 1), np.uint64(pow(_BASE | 1, -1, 1 << 64))
         word, symbol, weight, before = self.word, self.symbol, self.weight, self.before
         whole, length = self.whole[word], self.length[word]
         yield np.arange(len(self.length)), self.own()
         last = np.ones(len(symbol), bool)
         last[:-1] = (symbol[1:] != symbol[:-1]) | (word[1:] != word[:-1])
+        back = np.uint64(pow(_BASE | 1, -1, 1 << 64))
         rest = whole - before - symbol * weight
         yield word[last], self._key(before + rest * back, length - 1)[last]
-        for c in range(1, self.symbols + 1):
+        for c in range(2, self.symbols + 1):
             value = np.uint64(c)
-            other = symbol != value
-            yield word[other], self._key(whole + (value - symbol) * weight, length)[other]
-            grown = before + value * weight + (whole - before) * base
-            yield word[other], self._key(grown, length + 1)[other]
-            at_end = self.whole + value * self.power[self.length] * one
-            yield np.arange(len(self.length)), self._key(at_end, self.length + 1)
+            less = symbol < value
+            yield word[less], self._key(whole + (value - symbol) * weight, length)[less]
 
 
 def _slices(words: list[str]) -> Iterator[slice]:
@@ -192,27 +187,31 @@ def _keys(symbols: int, neighbours: bool):
 
 
 def near_words(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
-    """Every ordered pair of words one edit apart: word, n, near, near_n.
+    """Pairs of words one edit apart, in both orders: word, near, near_n.
 
     ``words`` has word and n, each word once, of letters up to U+00FF.  A word is named
     by 64 bits of hash between the joins; the comparison of strings settles collisions.
+    Words that are reduced to the same one meet from both sides and have their rows twice.
     """
     named = words.select("word", "n", F.xxhash64("word").alias("wid"))
     letters = named.agg(F.sum(F.length("word"))).first()[0] or 0
-    spread = named.repartition(parts_for(2 * symbols * letters, NEIGHBOURS), "wid")
+    spread = named.repartition(parts_for(symbols * letters // 2, NEIGHBOURS), "wid")
     made = spread.mapInArrow(_keys(symbols, True), "key long, wid long")
     held = named.mapInArrow(_keys(symbols, False), "key long, wid long")
     met = made.join(held.withColumnRenamed("wid", "near_wid"), "key").select("wid", "near_wid")
     near = named.select(
         F.col("word").alias("near"), F.col("n").alias("near_n"), F.col("wid").alias("near_wid")
     )
+    either = [
+        F.struct("word", "near", "near_n"),
+        F.struct(F.col("near").alias("word"), F.col("word").alias("near"), F.col("n").alias("near_n")),
+    ]
     return (
         met.filter("wid <> near_wid")
         .join(named, "wid")
         .join(near, "near_wid")
         .filter(F.levenshtein("word", "near", 1) == 1)
-        .select("word", "n", "near", "near_n")
-        .distinct()
+        .select(F.inline(F.array(*either)))
     )
 
 
@@ -252,8 +251,9 @@ def spelling_variants(
     """
     words = materialise(vocabulary(docs, least_length, least_count), "vocabulary")
     best = F.min(F.struct((-F.col("near_n")).alias("less"), "near"))
+    # A set of near words has as many members as one edit can make, at most.
     around = near_words(words, symbols).groupBy("word").agg(
-        F.count("*").alias("n_near"), best.alias("_best")
+        F.size(F.collect_set("near")).alias("n_near"), best.alias("_best")
     )
     most = -F.col("_best.less")
     enough = most >= ratio * F.col("n")

@@ -100,8 +100,8 @@ def test_no_rows(spark):
 
 
 @pytest.mark.parametrize("symbols", [2, 3, 5])
-def test_neighbours_are_all_and_once(symbols):
-    words = ["abcdefg", "aabbaa", "é", "xyxyxyxyxyx"]
+def test_neighbours_are_generated_once_from_one_side(symbols):
+    words = ["abcdefg", "aabbaa", "xyxyxyxyxyx", "zé"]
     reduced = Reduced(words, symbols)
     table = spelling.symbol_table(symbols)
     keys = {i: [] for i in range(len(words))}
@@ -110,14 +110,12 @@ def test_neighbours_are_all_and_once(symbols):
             keys[i].append(k)
     letter = {int(table[ord(c)]): c for c in "abcdefghijklmnopqrstuvwxyz"}
     for i, word in enumerate(words):
-        own = "".join(letter[int(table[ord(c)])] for c in word)
-        alphabet = [letter[s] for s in range(1, symbols + 1)]
-        around = {own}
-        for place in range(len(own) + 1):
-            around |= {own[:place] + c + own[place:] for c in alphabet}
-            if place < len(own):
-                around |= {own[:place] + c + own[place + 1 :] for c in ["", *alphabet]}
-        assert sorted(keys[i]) == sorted(
-            int(k) for w in around if w for k in Reduced([w], symbols).own()
-        ) if len(own) > 1 else True
-        assert len(set(keys[i])) == len(keys[i]) == len(around)
+        own = [int(table[ord(c)]) for c in word]
+        around = {tuple(own)}
+        for place, symbol in enumerate(own):
+            around.add((*own[:place], *own[place + 1 :]))
+            for larger in range(symbol + 1, symbols + 1):
+                around.add((*own[:place], larger, *own[place + 1 :]))
+        spelled = ["".join(letter[s] for s in symbols_) for symbols_ in around]
+        assert sorted(keys[i]) == sorted(int(k) for w in spelled for k in Reduced([w], symbols).own())
+        assert len(set(keys[i])) == len(keys[i])
