@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinerank.llm.alignment import Paths, aligned_tokens
 from cinerank.llm.bpe import bpe_round_trip
 from cinerank.llm.common import read_table
 from cinerank.llm.exact_dedup import exact_duplicates
@@ -144,6 +145,11 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model_scores(read_table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = Paths(tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+    return aligned_tokens(read_table(spark, sf_dir, "documents"), paths)
+
+
 def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda span: span["exact"])
     found = license_spans(read_table(spark, sf_dir, "documents")).withColumn("base", base)
@@ -168,6 +174,7 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op11_alignment": op11_alignment,
     "op12_licenses": op12_licenses,
     "op13_spelling": op13_spelling,
     "op8_lm_scoring": op8_lm_scoring,
