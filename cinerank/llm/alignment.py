@@ -21,9 +21,11 @@ have it.  A block is the unit of memory.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -39,11 +41,11 @@ from cinerank.session import materialise
 
 # A longer text is cut into ranges of this many bytes, each a row of its own.
 RANGE_BYTES = 1 << 16
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
 # Fragments composed by one step of the tree.
 FAN = 8
 # Pieces that a task remembers, and the length up to which it does.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 PIECE_BYTES = 64
 
 _GAP = re.compile(rb"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])")
@@ -95,6 +97,8 @@ def _sentence_pieces(path: str):
 
 @lru_cache(maxsize=2)
 def _plain_tokenizer(path: str):
+    # Tasks share the cores already.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     loaded = Tokenizer.from_file(path)
@@ -129,95 +133,101 @@ class Encoder:
         table_a = [piece or b"" for piece in byte_pieces(paths.a).to_pylist()]
         self.tables = (table_a, table_b)
         self.sizes = tuple(np.fromiter(map(len, t), np.int64, len(t)) for t in self.tables)
-        self.a: dict[bytes, bytes] = {}
-        self.b: dict[bytes, bytes] = {}
+        self.known: dict[bytes, tuple[bytes, bytes]] = {}
         # Pieces whose tokens do not spell them.
         self.bad: set[bytes] = set()
 
     def _learn(self, pieces: list[bytes]) -> None:
         texts = [piece.decode("utf-8", "replace") for piece in pieces]
         encoded = self.tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)
-        ids_a = [e.ids for e in encoded]
-        ids_b = self.model.encode(texts, num_threads=1)
-        for piece, a, b in zip(pieces, ids_a, ids_b, strict=True):
-            self.a[piece] = np.array(a, np.uint32).tobytes()
-            self.b[piece] = np.array(b, np.uint32).tobytes()
-            whole = b" " + piece
-            for ids, table in ((a, self.tables[0]), (b, self.tables[1])):
-                if b"".join([table[i] for i in ids]) != whole:
-                    self.bad.add(piece)
-
-    def encode(self, pieces: list[bytes]) -> Tokens | None:
-        """Ids of a blank and the text; None where tokens do not spell it."""
-        distinct = set(pieces)
-        new = distinct - self.a.keys()
+        spelled = []
+        for stream, lists in enumerate(([e.ids for e in encoded], self.model.encode(texts, num_threads=1))):
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
+            raw, ends = flat.tobytes(), (4 * np.cumsum(sizes)).tolist()
+            spelled.append([raw[a:b] for a, b in zip([0, *ends], ends)])
+            table = self.tables[stream]
+            if b"".join([table[i] for i in flat.tolist()]) != b" " + b" ".join(pieces):
+                for piece, ids in zip(pieces, lists, strict=True):
+                    if b"".join([table[i] for i in ids]) != b" " + piece:
+                        self.bad.add(piece)
+        self.known.update(zip(pieces, zip(*spelled, strict=True), strict=True))
+
+    def encode(self, texts: list[list[bytes]]) -> list[Tokens | None]:
+        """Ids of a blank and each text; None where tokens do not spell it."""
+        distinct = set().union(*texts)
+        if len(self.known) + len(distinct) > REMEMBERED:
+            self.known, self.bad = {}, set()
+        new = [piece for piece in distinct if piece not in self.known]
         if new:
-            if len(self.a) > REMEMBERED:
-                self.a, self.b, self.bad = {}, {}, set()
-                new = distinct
-            self._learn(sorted(new))
-        if self.bad and not self.bad.isdisjoint(distinct):
-            found = None
-        else:
-            found = Tokens(
-                np.frombuffer(b"".join([self.a[p] for p in pieces]), np.uint32),
-                np.frombuffer(b"".join([self.b[p] for p in pieces]), np.uint32),
-            )
+            self._learn(new)
+        known, found = self.known, []
+        for pieces in texts:
+            if self.bad and not self.bad.isdisjoint(pieces):
+                found.append(None)
+                continue
+            ids = [known[p] for p in pieces]
+            raw = b"".join([a for a, _ in ids]), b"".join([b for _, b in ids])
+            found.append(Tokens(*(np.frombuffer(r, np.uint32) for r in raw)))
         for piece in new:
             if len(piece) > PIECE_BYTES:
-                del self.a[piece], self.b[piece]
+                del known[piece]
                 self.bad.discard(piece)
         return found
 
 
 class Aligned(NamedTuple):
-    """Links and groups of texts side by side, each of which begins and ends with a cut."""
+    """Links and groups of texts side by side, each of which begins and ends with a cut.
+
+    For each stretch between ends, which is a link: the token of either that holds it, and
+    whether it ends with a cut.  For each token: the number of its group.
+    """
 
     ai: np.ndarray
     bi: np.ndarray
-    ends: np.ndarray
     common: np.ndarray
+    group_a: np.ndarray
+    group_b: np.ndarray
 
 
 def align(ends_a: np.ndarray, ends_b: np.ndarray) -> Aligned:
-    """For each stretch between ends: the token of either that holds it, where it ends,
-    and whether that is a cut."""
-    ends = np.concatenate([ends_a, ends_b])
-    ends.sort(kind="stable")
-    if len(ends):
-        ends = ends[np.r_[True, ends[1:] != ends[:-1]]]
-    ai = np.searchsorted(ends_a, ends)
-    bi = np.searchsorted(ends_b, ends)
-    return Aligned(ai, bi, ends, (ends_a[ai] == ends) & (ends_b[bi] == ends))
+    size = int(ends_a[-1]) + 1 if len(ends_a) else 0
+    in_a, in_b = np.zeros(size, bool), np.zeros(size, bool)
+    in_a[ends_a] = True
+    in_b[ends_b] = True
+    ends = np.flatnonzero(in_a | in_b)
+    # Ends before a place number the token that reaches it.
+    before = [(np.cumsum(m, dtype=np.int32) - m)[ends] for m in (in_a, in_b)]
+    both = in_a & in_b
+    groups = np.cumsum(both, dtype=np.int32) - both
+    return Aligned(*before, both[ends], groups[ends_a], groups[ends_b])
 
 
 @lru_cache(maxsize=8)
 def _spelled(count: int, mark: str) -> np.ndarray:
-    """Decimal numbers, each with a mark after it, in cells of equal width."""
-    return np.array([f"{i}{mark}".encode() for i in range(count)])
+    """Decimal numbers, each with a mark after it, in cells of eight bytes."""
+    return np.array([f"{i}{mark}".encode() for i in range(count)], "S8").view(np.uint64)
 
 
-def group_texts(tokens: Tokens, at_a: np.ndarray, at_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Groups as text, ``a1,a2|b1;`` each, and where each group's text ends.
-
-    ``at_a``, ``at_b``: the number of each token's group.
-    """
+def group_texts(tokens: Tokens, found: Aligned) -> tuple[np.ndarray, np.ndarray]:
+    """Groups as text, ``a1,a2|b1;`` each, and where each group's text ends."""
     count = 1 + int(max(tokens.a.max(initial=0), tokens.b.max(initial=0)))
     count = 1 << max(10, (count - 1).bit_length())
-    n = int(at_a[-1]) + 1 if len(at_a) else 0
-    sizes_a, sizes_b = np.bincount(at_a, minlength=n), np.bincount(at_b, minlength=n)
+    if count > 10_000_000:
+        raise ValueError("ids of more than seven digits")
+    at_a, at_b = found.group_a, found.group_b
+    sizes_a, sizes_b = np.bincount(at_a), np.bincount(at_b)
     until_a, until_b = np.cumsum(sizes_a), np.cumsum(sizes_b)
-    cells = np.empty(len(at_a) + len(at_b), _spelled(count, ",").dtype)
+    cells = np.empty(len(at_a) + len(at_b), np.uint64)
     place_a = np.arange(len(at_a)) + (until_b - sizes_b)[at_a]
     place_b = np.arange(len(at_b)) + until_a[at_b]
     cells[place_a] = _spelled(count, ",")[tokens.a]
     cells[place_b] = _spelled(count, ",")[tokens.b]
     cells[place_a[until_a - 1]] = _spelled(count, "|")[tokens.a[until_a - 1]]
     cells[place_b[until_b - 1]] = _spelled(count, ";")[tokens.b[until_b - 1]]
-    width = cells.dtype.itemsize
-    raw = cells.view(np.uint8).reshape(-1, width)
-    used = np.cumsum(np.count_nonzero(raw, axis=1))
-    return raw[raw != 0], used[until_a + until_b - 1]
+    used = cells.view(np.uint8) != 0
+    ends = np.cumsum(np.bitwise_count(np.packbits(used)), dtype=np.int64)
+    return cells.view(np.uint8)[used], ends[until_a + until_b - 1]
 
 
 class Block:
@@ -240,16 +250,14 @@ class Block:
         ends_a, ends_b = (np.cumsum(s[t]) for s, t in zip(self.sizes, tokens, strict=True))
         n_a = np.array([len(t.a) for t in self.held])
         n_b = np.array([len(t.b) for t in self.held])
-        until_a = np.cumsum(n_a)
         found = align(ends_a, ends_b)
-        # Texts end with a cut, so the links of a text are those up to its last token.
-        part = np.searchsorted(until_a, found.ai, side="right")
+        # The links of a text are those with its tokens.
+        part = np.repeat(np.arange(len(n_a)), n_a)[found.ai]
         n_links = np.bincount(part, minlength=len(n_a))
         n_groups = np.bincount(part[found.common], minlength=len(n_a))
         hashes = [""] * len(n_a)
         if hashed and len(ends_a):
-            cuts = found.ends[found.common]
-            raw, ends = group_texts(tokens, np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b))
+            raw, ends = group_texts(tokens, found)
             view, begin, group = memoryview(raw), 0, 0
             for i, groups in enumerate(n_groups.tolist()):
                 if groups:
@@ -276,15 +284,31 @@ def _whole_texts(paths: Paths, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(paths)
         block = Block(encoder.sizes)
+        ids: list[int | None] = []
+        pieces: list[list[bytes]] = []
+        sizes: list[int] = []
+        total = 0
+
+        def finish() -> pa.RecordBatch:
+            for doc_id, size, tokens in zip(ids, sizes, encoder.encode(pieces), strict=True):
+                block.add((doc_id, None, 1), tokens if size and tokens else _NONE, size)
+            for held in (ids, pieces, sizes):
+                held.clear()
+            return block.finish(True)
+
         for rows in batches:
-            ids = rows.column("doc_id").to_pylist()
-            for doc_id, text in zip(ids, texts_of(rows.column("text")), strict=True):
-                tokens = encoder.encode(text_pieces(text)) if text else None
-                block.add((doc_id, None, 1), tokens or _NONE, len(text))
-                if block.bytes >= block_bytes:
-                    yield block.finish(True)
-        if block.names:
-            yield block.finish(True)
+            for doc_id, text in zip(
+                rows.column("doc_id").to_pylist(), texts_of(rows.column("text")), strict=True
+            ):
+                ids.append(doc_id)
+                pieces.append(text_pieces(text) if text else [])
+                sizes.append(len(text))
+                total += len(text)
+                if total >= block_bytes:
+                    yield finish()
+                    total = 0
+        if ids:
+            yield finish()
 
     return run
 
@@ -382,7 +406,7 @@ def _fragments(paths: Paths):
         encoder = Encoder(paths)
         for rows in batches:
             for row in rows.to_pylist():
-                tokens = encoder.encode(text_pieces(row["body"][1:]))
+                (tokens,) = encoder.encode([text_pieces(row["body"][1:])])
                 found = Fragment(True, _NONE, _NONE, _NONE)
                 if tokens is not None:
                     found = fragment(tokens, encoder.sizes, row["low"], row["begin"], row["end"])
@@ -459,14 +483,12 @@ def _hashed(paths: Paths):
                     continue
                 ends_a, ends_b = (np.cumsum(s[t]) for s, t in zip(sizes, tokens, strict=True))
                 found = align(ends_a, ends_b)
-                cuts = found.ends[found.common]
-                raw, _ = group_texts(
-                    tokens, np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
-                )
+                raw, _ = group_texts(tokens, found)
                 if counts[0]:
                     state.update(b";")
                 state.update(memoryview(raw)[:-1])
-                more = (len(tokens.a), len(tokens.b), len(cuts), len(found.ends))
+                n_groups = int(found.common.sum())
+                more = (len(tokens.a), len(tokens.b), n_groups, len(found.ai))
                 counts = [c + m for c, m in zip(counts, more, strict=True)]
         if current is not None:
             yield done()
