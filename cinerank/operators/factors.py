@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,9 @@ from cinerank.session import materialise
 USER_BATCH = 512
 ITEM_CHUNK = 4096
 USERS_PER_GROUP = 50_000
+# Multiplications that one task makes for users against broadcast items.
+PRODUCTS_PER_TASK = 1 << 28
+PIVOTS = 256
 # Scores are compared after rounding, so bounds give way by more than one step.
 DECIMALS = 6
 SLACK = 2e-6
@@ -111,13 +115,7 @@ def _score_against(
             for start in range(0, batch.num_rows, batch_rows):
                 part = batch.slice(start, batch_rows)
                 users_ids = part.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-                matrix = (
-                    part.column("features")
-                    .flatten()
-                    .to_numpy(zero_copy_only=False)
-                    .astype(np.float64)
-                    .reshape(-1, width)
-                )
+                matrix = _vectors(part.column("features"), width)
                 floor = np.full(len(users_ids), -np.inf)
                 row, col, val = kernel(matrix, vectors, ids, floor)
                 yield pa.RecordBatch.from_arrays(
@@ -129,88 +127,206 @@ def _score_against(
                     names=["user_id", "movie_id", "score"],
                 )
 
-    return users.select("id", "features").mapInArrow(score, _PAIRS)
+    # A small file of users is one task, however many items there are.
+    tasks = -(-users.count() * len(rows) * shared.value[0].shape[1] // PRODUCTS_PER_TASK)
+    asking = users.select("id", "features")
+    return (asking.repartition(tasks, "id") if tasks > 1 else asking).mapInArrow(score, _PAIRS)
 
 
-def _score_tail(
-    users: DataFrame,
-    tail: DataFrame,
-    floors: DataFrame,
-    k: int,
-    block_items: int,
-    decimals: int,
-) -> DataFrame:
-    """Candidates from items beyond the broadcast head.
+def _vectors(column: pa.Array, width: int | None = None) -> np.ndarray:
+    """List column as a matrix; vectors of different lengths are an error."""
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    width = int(lengths[0]) if width is None and len(lengths) else width or 0
+    if (lengths != width).any():
+        raise ValueError(f"vectors of {sorted({*lengths.tolist(), width})} numbers in one search")
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(lengths), width)
+
 
-    The tail is cut into blocks of falling norm.  A user visits a block only if
-    ``|u|`` times the block's largest norm reaches the user's k-th head score,
-    and the blocks visited are a prefix.  Users meet blocks through an equi-join
-    on (block, salt), which bounds both sides of every group.
+def _pivots(items: DataFrame) -> np.ndarray:
+    """Directions that items are sorted to: those of ``PIVOTS`` items with the least hashes.
+
+    They decide where items are stored and what is skipped, never what is found.
     """
-    blocks = materialise(
-        global_ordinal(tail, [F.desc("norm"), "id"]).withColumn(
-            "block", F.expr(f"cast((ordinal - 1) div {block_items} as int)")
-        ),
-        "item-blocks",
-    )
-    # One number per block; a histogram of norms stands in for visiting each block.
-    tops = blocks.groupBy("block").agg(F.max("norm").alias("top"))
-    listed = tops.agg(F.sort_array(F.collect_list(F.struct("block", "top"))).alias("tops"))
-    needy = users.join(floors, users.id == floors.user_id, "left").drop("user_id")
-    visits = (
-        needy.withColumn("_one", F.lit(1))
-        .join(F.broadcast(listed.withColumn("_one", F.lit(1))), "_one")
-        .withColumn(
-            "reached",
-            F.filter(
-                "tops",
-                lambda t: F.col("floor").isNull()
-                | (t["top"] * F.col("norm") >= F.col("floor") - SLACK),
-            ),
+    chosen = items.filter("norm > 0").orderBy(F.xxhash64("id"), "id").limit(PIVOTS)
+    rows = chosen.select("features").toPandas()
+    if rows.empty:
+        return np.zeros((1, 1))
+    matrix = _matrix_of(rows["features"])
+    return np.unique(matrix / np.linalg.norm(matrix, axis=1)[:, None], axis=0)
+
+
+def _angles(matrix: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    lengths = np.linalg.norm(matrix, axis=1)
+    cosines = (matrix @ pivots.T) / np.where(lengths > 0, lengths, 1.0)[:, None]
+    return np.arccos(np.clip(cosines, -1.0, 1.0))
+
+
+def _to_cells(pivots: np.ndarray):
+    """Nearest pivot, angle to it, and the tenth of a power of e in which the norm is."""
+
+    def run(batches):
+        for batch in batches:
+            norms = batch.column("norm").to_numpy(zero_copy_only=False)
+            cell = np.full(len(norms), -1)
+            angle = np.zeros(len(norms))
+            some = np.flatnonzero(norms > 0)
+            if len(some):
+                vectors = _vectors(batch.column("features").take(pa.array(some)), pivots.shape[1])
+                angles = _angles(vectors, pivots)
+                cell[some] = angles.argmin(axis=1)
+                angle[some] = angles[np.arange(len(some)), cell[some]]
+            band = np.floor(-10 * np.log(np.where(norms > 0, norms, 1.0)))
+            columns = [pa.array(cell, pa.int32()), pa.array(angle), pa.array(band, pa.int32())]
+            names = [*batch.schema.names, "cell", "angle", "band"]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=names)
+
+    return run
+
+
+def _blocks_of(items: DataFrame, block_items: int) -> tuple[DataFrame, np.ndarray]:
+    """Items with their ``block``, and the pivots.
+
+    A block holds neighbours: items of one pivot, of like norm, in a ring of angles.
+    """
+    pivots = _pivots(items)
+    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in items.schema)}"
+    placed = items.mapInArrow(_to_cells(pivots), f"{schema}, cell int, angle double, band int")
+    numbered = global_ordinal(materialise(placed, "cells"), ["cell", "band", "angle", "id"])
+    # A block that would reach over two pivots is one block for each.
+    block = F.xxhash64("cell", F.expr(f"(ordinal - 1) div {block_items}"))
+    return materialise(numbered.withColumn("block", block).drop("ordinal", "band"), "item-blocks"), pivots
+
+
+def _bounds_of(blocks: DataFrame) -> dict[str, np.ndarray]:
+    """What is known of each block: one short row per ``block_items`` items and pivot."""
+    rows = (
+        blocks.groupBy("block", "cell")
+        .agg(
+            F.min("angle").alias("nearest"),
+            F.max("angle").alias("farthest"),
+            F.min("norm").alias("shortest"),
+            F.max("norm").alias("longest"),
+            F.count("*").alias("n"),
         )
-        .select("id", "features", "floor", F.explode("reached.block").alias("block"))
+        .orderBy("block")
+        .toPandas()
     )
-    n_users = users.count()
-    salts = max(1, -(-n_users // USERS_PER_GROUP))
-    visits = visits.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    spread = blocks.withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    ).select("block", "salt", "id", "features", "norm")
-    kernel = _score_block(k, USER_BATCH, ITEM_CHUNK, decimals, SLACK)
-    batch_rows = USER_BATCH
+    return {name: rows[name].to_numpy() for name in rows.columns}
+
+
+def _ceilings(lengths: np.ndarray, angles: np.ndarray, known: dict[str, np.ndarray]) -> np.ndarray:
+    """The largest product that each vector can have with an item of each block.
+
+    By the triangle inequality of angles an item is at least as far from the vector as
+    the vector's angle to the pivot is from the block's ring.  Angles are rounded by
+    about 2e-8, and give way by more.
+    """
+    to_pivot = angles[:, np.maximum(known["cell"], 0)]
+    gap = np.maximum(to_pivot - known["farthest"], known["nearest"] - to_pivot)
+    cosine = np.cos(np.maximum(gap - 1e-7, 0.0))
+    # An obtuse angle gives the most with the shortest item.
+    reach = np.where(cosine >= 0, known["longest"], known["shortest"]) * cosine
+    return lengths[:, None] * np.where(known["cell"] < 0, 0.0, reach)
 
-    def score(left, right):
-        import pandas as pd
-
-        out = []
-        if len(left) and len(right):
-            right = right.sort_values(["norm", "id"], ascending=[False, True])
-            vectors = np.stack(right["features"].to_numpy()).astype(np.float64)
-            ids = right["id"].to_numpy(np.int64)
-            for start in range(0, len(left), batch_rows):
-                part = left.iloc[start : start + batch_rows]
-                matrix = np.stack(part["features"].to_numpy()).astype(np.float64)
-                floor = part["floor"].fillna(-np.inf).to_numpy(np.float64)
-                row, col, val = kernel(matrix, vectors, ids, floor)
-                user_ids = part["id"].to_numpy(np.int64)[row]
-                out.append(pd.DataFrame({"user_id": user_ids, "movie_id": col, "score": val}))
-        if not out:
-            return pd.DataFrame(
-                {
-                    "user_id": np.empty(0, np.int64),
-                    "movie_id": np.empty(0, np.int64),
-                    "score": np.empty(0, np.float64),
-                }
-            )
-        return pd.concat(out, ignore_index=True)
+
+def _to_visits(pivots: np.ndarray, known: dict[str, np.ndarray], k: int, first: bool):
+    """Blocks that each user visits: at first the most promising ones that hold ``k`` items,
+    then all others that can reach the user's k-th score so far."""
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, USER_BATCH):
+                part = batch.slice(start, USER_BATCH)
+                users = _vectors(part.column("features"), pivots.shape[1])
+                lengths = np.linalg.norm(users, axis=1)
+                ceilings = _ceilings(lengths, _angles(users, pivots), known)
+                order = np.argsort(-ceilings, axis=1, kind="stable")
+                before = np.cumsum(known["n"][order], axis=1) - known["n"][order]
+                begun = np.zeros(ceilings.shape, bool)
+                np.put_along_axis(begun, order, before < k, axis=1)
+                if first:
+                    visited = begun
+                else:
+                    floor = part.column("floor").to_numpy(zero_copy_only=False)
+                    floor = np.where(np.isnan(floor), -np.inf, floor)
+                    visited = ~begun & (ceilings >= floor[:, None] - SLACK)
+                row, block = np.nonzero(visited)
+                yield part.take(pa.array(row)).append_column(
+                    "block", pa.array(known["block"][block], pa.int64())
+                )
+
+    return run
+
+
+def _score_visits(visits: DataFrame, blocks: DataFrame, k: int, decimals: int) -> DataFrame:
+    """The best ``k`` items of each visited block for each visitor.
+
+    Users meet blocks through an equi-join on (block, salt); the salts of a block follow
+    from its number of visitors, which bounds both sides of every group.
+    """
+    crowds = visits.groupBy("block").agg(
+        F.ceil(F.count("*") / USERS_PER_GROUP).cast("int").alias("salts")
+    )
+    crowds = materialise(crowds, "visitors")
+    salted = visits.join(crowds, "block").withColumn(
+        "salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")
+    )
+    spread = (
+        blocks.select("block", "id", "features", "norm")
+        .join(crowds.withColumnRenamed("block", "_of"), F.col("block") == F.col("_of"))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        .select(F.col("_of").alias("item_block"), F.col("salt").alias("item_salt"), "id", "features", "norm")
+    )
+    kernel = _score_block(k, USER_BATCH, ITEM_CHUNK, decimals, SLACK)
+    schema = pa.schema([("user_id", pa.int32()), ("movie_id", pa.int32()), ("score", pa.float64())])
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        if left.num_rows and right.num_rows:
+            right = right.sort_by([("norm", "descending"), ("id", "ascending")]).combine_chunks()
+            vectors = _vectors(right.column("features").combine_chunks())
+            ids = right.column("id").to_numpy().astype(np.int64)
+            for part in left.to_batches(max_chunksize=USER_BATCH):
+                users = _vectors(part.column("features"), vectors.shape[1])
+                floor = part.column("floor").to_numpy(zero_copy_only=False)
+                row, col, val = kernel(users, vectors, ids, np.where(np.isnan(floor), -np.inf, floor))
+                user_ids = part.column("id").to_numpy(zero_copy_only=False)[row]
+                columns = (user_ids, col, val)
+                arrays = [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)]
+                found.append(pa.RecordBatch.from_arrays(arrays, schema=schema))
+        return pa.Table.from_batches(found, schema)
 
     return (
-        visits.groupBy("block", "salt")
-        .cogroup(spread.groupBy("block", "salt"))
-        .applyInPandas(score, _PAIRS)
+        salted.select("id", "features", "floor", "block", "salt")
+        .groupBy("block", "salt")
+        .cogroup(spread.groupBy("item_block", "item_salt"))
+        .applyInArrow(score, _PAIRS)
+    )
+
+
+def pivot_visits(
+    users: DataFrame, blocks: DataFrame, pivots: np.ndarray, k: int, floors: DataFrame | None
+) -> DataFrame:
+    """id, features, floor, block: which users visit which blocks, see ``_to_visits``."""
+    known = _bounds_of(blocks)
+    if floors is None:
+        asking = users.select("id", "features", F.lit(None).cast("double").alias("floor"))
+    else:
+        asking = users.join(floors, users.id == floors.user_id, "left").select("id", "features", "floor")
+    kind = asking.schema["features"].dataType.simpleString()
+    return asking.mapInArrow(
+        _to_visits(pivots, known, k, floors is None), f"id int, features {kind}, floor double, block long"
     )
 
 
+def _floors(scored: DataFrame, k: int) -> DataFrame:
+    """Each user's k-th score so far, where there are as many."""
+    best = top_k(scored, k, "user_id", "score", "movie_id")
+    least = best.groupBy("user_id").agg(F.min("score").alias("_least"), F.count("*").alias("_n"))
+    return least.select("user_id", F.when(F.col("_n") >= k, F.col("_least")).alias("floor"))
+
+
 def top_k_items(
     user_factors: DataFrame,
     item_factors: DataFrame,
@@ -225,31 +341,23 @@ def top_k_items(
     Rows: user_id, movie_id, score, rank.
 
     Item factors whose measured size is within ``limit`` are broadcast and
-    users are scored where they are, without a shuffle.  Beyond it the
-    ``limit`` bytes of largest norm are broadcast, and the rest is visited block by block
-    by the users whose k-th score so far leaves room for a better item.
+    users are scored where they are.  Beyond it items are sorted to blocks of
+    neighbours around pivots.  A user visits the block with the largest bound first, and
+    then only those whose bound of norms and angles reaches the k-th score found there.
     """
     items = _with_norm(item_factors)
     users = _with_norm(user_factors)
-    size = measured_bytes(items)
-    if size <= limit:
+    if measured_bytes(items) <= limit:
         scored = _score_against(users, items, k, decimals)
         return top_k(scored, k, "user_id", "score", "movie_id")
-    numbered = materialise(
-        global_ordinal(items, [F.desc("norm"), "id"]), "items-by-norm"
-    )
-    n_items = numbered.count()
-    head_rows = max(1, int(n_items * (limit / size)))
-    head = numbered.filter(F.col("ordinal") <= head_rows).drop("ordinal")
-    tail = numbered.filter(F.col("ordinal") > head_rows).drop("ordinal")
-    from_head = materialise(_score_against(users, head, k, decimals), "head-scores")
-    floors = (
-        from_head.groupBy("user_id")
-        .agg(F.min("score").alias("_least"), F.count("*").alias("_n"))
-        .select("user_id", F.when(F.col("_n") >= k, F.col("_least")).alias("floor"))
-    )
-    from_tail = _score_tail(users, tail, floors, k, block_items, decimals)
-    return top_k(from_head.unionByName(from_tail), k, "user_id", "score", "movie_id")
+    users = users.withColumn("id", F.col("id").cast("int"))
+    blocks, pivots = _blocks_of(items, block_items)
+    first = pivot_visits(users, blocks, pivots, k, None)
+    begun = materialise(_score_visits(materialise(first, "visits"), blocks, k, decimals), "first-scores")
+    floors = materialise(_floors(begun, k), "floors")
+    others = pivot_visits(users, blocks, pivots, k, floors)
+    rest = _score_visits(materialise(others, "visits"), blocks, k, decimals)
+    return top_k(begun.unionByName(rest), k, "user_id", "score", "movie_id")
 
 
 def recommendation_lists(ranked: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cinerank.operators import factors
 from cinerank.operators.evaluate import rmse
 from cinerank.operators.factors import (
     nearest_vectors,
@@ -46,6 +47,61 @@ def test_top_k_is_exact_with_and_beyond_the_broadcast(spark, matrices, limit, bl
     assert [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in brute_force(users, items, 10)]
 
 
+def clustered(seed, n, width=16, clusters=60, spread=0.08):
+    """Unit vectors around random directions; norms say nothing about them."""
+    random = np.random.default_rng(seed)
+    centres = np.random.default_rng(1).normal(size=(clusters, width))
+    vectors = centres[random.integers(0, clusters, n)] + spread * random.normal(size=(n, width))
+    return vectors / np.linalg.norm(vectors, axis=1)[:, None]
+
+
+def test_most_blocks_of_unit_vectors_are_skipped(spark, monkeypatch):
+    users, items = clustered(2, 150), clustered(3, 3000)
+    seen = []
+    plain = factors.pivot_visits
+
+    def counted(users, blocks, *rest):
+        visits = plain(users, blocks, *rest)
+        seen.append((visits.count(), users.count() * blocks.select("block").distinct().count()))
+        return visits
+
+    monkeypatch.setattr(factors, "pivot_visits", counted)
+    found = top_k_items(factor_frame(spark, users), factor_frame(spark, items), 10, 1, 25)
+    users, items = users.astype(np.float32), items.astype(np.float32)
+    got = rows(found, "user_id", "movie_id", "score", "rank")
+    assert [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in brute_force(users, items, 10)]
+    assert len(seen) == 2 and seen[0][1] >= 150 * 60
+    assert sum(visits for visits, _ in seen) < 0.1 * seen[0][1]
+
+
+def test_bounds_hold_for_obtuse_angles_and_no_length(spark):
+    """All products are negative or zero; the best items are short, far off or of no length."""
+    random = np.random.default_rng(8)
+    users = -np.abs(random.normal(size=(12, 4)))
+    items = np.abs(random.normal(size=(200, 4))) * random.uniform(0.01, 50, (200, 1))
+    items[[17, 90]] = 0.0
+    users[3] = 0.0
+    found = top_k_items(factor_frame(spark, users), factor_frame(spark, items), 5, 1, 13)
+    expected = brute_force(users.astype(np.float32), items.astype(np.float32), 5)
+    got = rows(found, "user_id", "movie_id", "score", "rank")
+    assert [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in expected]
+
+
+def test_vectors_of_different_lengths_are_refused(spark):
+    items = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0])], "id int, features array<float>")
+    users = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [4.0])], "id int, features array<float>")
+    for limit in (1 << 30, 1):
+        with pytest.raises(Exception, match="vectors of"):
+            top_k_items(users.coalesce(1), items, 1, limit).collect()
+
+
+def test_small_tables_are_scored_by_many_tasks(spark, matrices, monkeypatch):
+    monkeypatch.setattr(factors, "PRODUCTS_PER_TASK", 10_000)
+    users, items = factor_frame(spark, matrices[0]).coalesce(1), factor_frame(spark, matrices[1])
+    scored = factors._score_against(factors._with_norm(users), factors._with_norm(items), 3, 6)
+    assert scored.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 3
+
+
 def test_fewer_items_than_k(spark, matrices):
     users, items = matrices
     found = top_k_items(factor_frame(spark, users[:3]), factor_frame(spark, items[:4]), 10)
