@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cinerank.operators.ordinal import WINDOW_ROWS, global_ordinal, group_ordinal
 from cinerank.operators.skew import lookup_join
@@ -52,10 +53,52 @@ def holdout_per_user(df: DataFrame, n: int, user: str, seq: str, block: int = 1)
     return split_nth_per_user(df, (block - 1) * n + 1, block * n, 0, user, seq)
 
 
-def slice_rows(df: DataFrame, i: int, n: int, order_by: Sequence[str]) -> DataFrame:
-    """Rows (i-1)*n+1 to i*n of the table in the order of ``order_by``."""
+def _ranges(df: DataFrame, order_by: Sequence[str], partitions: int) -> list:
+    """First and last key and number of rows of ranges that follow each other."""
+    key = F.struct(*order_by)
+    return sorted(
+        df.select(*order_by)
+        .repartitionByRange(partitions, *order_by)
+        .groupBy(F.spark_partition_id().alias("part"))
+        .agg(F.min(key).alias("first"), F.max(key).alias("last"), F.count("*").alias("n"))
+        .collect(),
+        key=lambda row: row["part"],
+    )
+
+
+def slice_rows(
+    df: DataFrame, i: int, n: int, order_by: Sequence[str], partitions: int | None = None
+) -> DataFrame:
+    """Rows (i-1)*n+1 to i*n of the table in the order of ``order_by``, which is unique.
+
+    The keys alone are counted by range, in ``partitions`` ranges (the session's shuffle
+    partitions unless given), of which the driver sees the bounds.  Only the rows of
+    the ranges that the slice meets are sorted and stored.
+    """
+    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    before, met = 0, []
+    low, high = (i - 1) * n, i * n
+    for part in _ranges(df, order_by, partitions):
+        if before < high and before + part["n"] > low:
+            met.append((before, part))
+        before += part["n"]
+    if not met:
+        return df.withColumn("ordinal", F.lit(None).cast("long")).filter(F.lit(False))
+    key = F.struct(*order_by)
+    kind = df.select(key.alias("key")).schema["key"].dataType
+    spark = df.sparkSession
+    # Bounds as a row of one table: any type of key travels as it is.
+    bounds = spark.createDataFrame(
+        [(met[0][1]["first"], met[-1][1]["last"])],
+        T.StructType([T.StructField("_low", kind), T.StructField("_high", kind)]),
+    )
+    concerned = (
+        df.join(F.broadcast(bounds), (key >= F.col("_low")) & (key <= F.col("_high")))
+        .drop("_low", "_high")
+    )
     ordinal = F.col("ordinal")
-    return global_ordinal(df, order_by).filter((ordinal > (i - 1) * n) & (ordinal <= i * n))
+    numbered = global_ordinal(concerned, order_by).withColumn("ordinal", ordinal + met[0][0])
+    return numbered.filter((ordinal > low) & (ordinal <= high))
 
 
 def assign_folds(df: DataFrame, k: int, order_by: Sequence[str]) -> DataFrame:

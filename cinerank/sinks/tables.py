@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,3 +67,40 @@ def upsert(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -
         new = latest.drop("_place", order)
     kept = lookup_join(old, new.select(key).distinct(), key, "left_anti", computed=True)
     return kept.unionByName(new)
+
+
+PART = "key_part"
+
+
+def _part_of(key: str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias(PART)
+
+
+def create_keyed_table(df: DataFrame, path: str, key: str, parts: int) -> None:
+    """A table in ``parts`` folders by a hash of its key, for ``upsert_into``."""
+    placed = df.withColumn(PART, _part_of(key, parts))
+    placed.repartition(PART).write.partitionBy(PART).parquet(path)
+
+
+def upsert_into(
+    new: DataFrame, path: str, key: str, parts: int, order: str | None = None
+) -> list[int]:
+    """Merge ``new`` into the table at ``path``, rewriting only the folders its keys belong to.
+
+    The table was made by ``create_keyed_table`` with as many ``parts``.  ``key`` and ``order``
+    mean what they mean in ``upsert``.  Gives the numbers of the folders rewritten, at most
+    ``parts`` of them.  The merged rows are stored before any folder is replaced.
+    """
+    spark = new.sparkSession
+    stored = materialise(new.withColumn(PART, _part_of(key, parts)), "new-rows")
+    touched = sorted(row[PART] for row in stored.select(PART).distinct().collect())
+    if not touched:
+        return []
+    columns = [c for c in stored.columns if c != order]
+    schema = T.StructType([f for f in stored.schema if f.name in columns])
+    old = spark.read.schema(schema).parquet(path).filter(F.col(PART).isin(touched))
+    merged = materialise(upsert(old.select(*columns), stored, key, order), "merged")
+    merged.repartition(PART).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy(PART).parquet(path)
+    return touched
