@@ -4,9 +4,13 @@ A document is its set of distinct word shingles, and its signature the minimum o
 the set under ``COORDINATES`` hash functions.  Documents are posted under
 (coordinate, value); two documents are candidates if at least ``MATCHES`` coordinates
 agree.  Sets of similarity 0.8 agree in 38 of 48 on average, and in fewer than 24
-with a chance of about 2 in 10 million.  A pair with that many agreements has one
-among any ``PREFIX`` coordinates, so only those are posted, and the others are
-skipped: they are counted where the posting is read, from a byte each.
+with a chance of about 2 in 10 million.  All documents order their coordinate-value
+pairs alike, rare ones first, and a pair of documents with that many agreements has one
+among the first ``PREFIX`` of each.  Only those are posted, and the others are skipped:
+they are counted where the posting is read, from four bits each, which adds to the count
+and takes nothing off it.  The order decides how
+long lists are and not what is found, so it rests on counts of the ``MOST_COMMON`` most
+frequent pairs only, and on hashes for the rest.
 
 Equal sets are one entry.  A posting list is not paired out: its first document is a
 hub for those that match it, the first of the rest is the next hub, and so on, which
@@ -30,16 +34,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinerank.llm.anchors import bodies_of, mixed, pressed
+from cinerank.llm.anchors import bodies_of, mixed
 from cinerank.llm.common import NO_ID, batch, keyed, real_id, texts_of
 from cinerank.llm.components import components
+from cinerank.operators.skew import lookup_join, materialise_measured, sized_join
 from cinerank.session import materialise
 
 COORDINATES, MATCHES = 48, 24
 PREFIX = COORDINATES - MATCHES + 1
+# Pairs whose counts order the postings, and documents that are counted together.
+MOST_COMMON, COUNTED_ROWS = 100_000, 10_000
 # Posting a list again takes as long as comparing about twice as many hubs as this.
 MOST_HUBS = 24_000
 LEVELS = 2
@@ -123,44 +131,114 @@ def _entries(words: int):
     return run
 
 
-def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs_of(values: np.ndarray) -> np.ndarray:
+    """64 bits of hash of each coordinate with its value."""
+    return mixed(values + np.uint64(1) + np.arange(COORDINATES, dtype=np.uint64))
+
+
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, COORDINATES)
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that occur three times and more among some thousand documents."""
+    schema = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        pairs, counts = np.unique(_pairs_of(np.concatenate(held)), return_counts=True)
+        return batch(schema, pairs[counts > 2].view(np.int64), counts[counts > 2])
+
+    held: list[np.ndarray] = []
+    for rows in batches:
+        held.append(_signatures(rows.column("signature")))
+        if sum(map(len, held)) >= COUNTED_ROWS:
+            yield counted(held)
+            held = []
+    if held:
+        yield counted(held)
+
+
+def common_pairs(entries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Most frequent pairs, sorted, and how often they were seen: a table of bounded size."""
+    rows = (
+        entries.select("signature")
+        .mapInArrow(_count_pairs, "pair long, n long")
+        .groupBy("pair")
+        .agg(F.sum("n").alias("n"))
+        .orderBy(F.desc("n"), "pair")
+        .limit(MOST_COMMON)
+        .toPandas()
+    )
+    pairs = rows["pair"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(pairs)
+    return pairs[order], rows["n"].to_numpy(np.int64)[order]
+
+
+def _ranks(pairs: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Place of each pair in the order of all documents: by count, then by hash."""
+    known, counts = common
+    # Counts in steps of about an eighth leave room for the bits of the hash.
+    step = np.zeros(pairs.shape, np.uint64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, pairs), len(known) - 1)
+        steps = np.floor(8 * np.log2(counts)).astype(np.uint64) + np.uint64(1)
+        step = np.where(known[at] == pairs, steps[at], np.uint64(0))
+    return (step << np.uint64(52)) | (pairs >> np.uint64(12))
+
+
+def _post(shared):
     """A row per posting.  ``used`` has a bit for each coordinate that led to ``key``."""
     schema = pa.schema(
         [("key", pa.int64()), ("used", pa.int64()), ("did", pa.int64()), ("tk", pa.int64())]
         + [("brief", pa.binary())]
     )
-    for rows in batches:
-        for begin in range(0, rows.num_rows, _ROWS):
-            part = rows.slice(begin, _ROWS)
-            n = part.num_rows
-            raw = b"".join(part.column("signature").to_pylist())
-            values = np.frombuffer(raw, np.uint64).reshape(n, COORDINATES)
-            key = part.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
-            used = part.column("used").to_numpy(zero_copy_only=False)
-            free = (used[:, None] >> np.arange(COORDINATES)) & 1 == 0
-            row, coordinate = np.nonzero(free & (free.cumsum(axis=1) <= PREFIX))
-            posted = mixed(
-                mixed(values[row, coordinate] + np.uint64(1) + coordinate.astype(np.uint64)) ^ key[row]
-            )
-            brief = [v.astype(np.uint8).tobytes() for v in values]
-            yield batch(
-                schema,
-                posted.view(np.int64),
-                used[row] | (np.int64(1) << coordinate.astype(np.int64)),
-                part.column("did").to_numpy()[row],
-                part.column("tk").to_numpy()[row],
-                [brief[i] for i in row],
-            )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for begin in range(0, rows.num_rows, _ROWS):
+                part = rows.slice(begin, _ROWS)
+                values = _signatures(part.column("signature"))
+                key = part.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
+                used = part.column("used").to_numpy(zero_copy_only=False)
+                taken = (used[:, None] >> np.arange(COORDINATES)) & 1 == 1
+                pairs = _pairs_of(values)
+                ranks = np.where(taken, np.uint64((1 << 64) - 1), _ranks(pairs, shared.value))
+                coordinate = np.sort(np.argpartition(ranks, PREFIX, axis=1)[:, :PREFIX], axis=1)
+                # A coordinate that was posted before is none of the first ones.
+                row, place = np.nonzero(~np.take_along_axis(taken, coordinate, axis=1))
+                coordinate = coordinate[row, place]
+                brief = [v.tobytes() for v in _brief(values)]
+                yield batch(
+                    schema,
+                    mixed(pairs[row, coordinate] ^ key[row]).view(np.int64),
+                    used[row] | (np.int64(1) << coordinate.astype(np.int64)),
+                    part.column("did").to_numpy()[row],
+                    part.column("tk").to_numpy()[row],
+                    [brief[i] for i in row],
+                )
 
-def _briefs(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDINATES)
+    return run
+
+
+def _brief(values: np.ndarray) -> np.ndarray:
+    """Four bits of each value, two values in a byte."""
+    low = (values & np.uint64(15)).astype(np.uint8)
+    return low[:, ::2] | (low[:, 1::2] << 4)
+
+
+def _briefs(column: pa.Array, width: int = COORDINATES) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
 def _agree(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return (many == one).sum(axis=1) >= MATCHES
 
 
+def _agree_by_halves(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    apart = many ^ one
+    return ((apart & 15) == 0).sum(axis=1) + ((apart >> 4) == 0).sum(axis=1) >= MATCHES
+
+
 def _slices(rows: pa.RecordBatch) -> Iterator[tuple[bool, pa.RecordBatch]]:
     """Parts of a sorted batch with one key each, and whether a part begins a key."""
     key = rows.column("key").to_numpy()
@@ -193,7 +271,7 @@ class _List:
             else:
                 hub = self.hubs[at]
                 at += 1
-            near = _agree(hub[2], briefs[left])
+            near = _agree_by_halves(hub[2], briefs[left])
             for i in left[near].tolist():
                 yield PAIR, 0, 0, hub[0], hub[1], did[i], tk[i]
             left = left[~near]
@@ -232,7 +310,7 @@ def _stars(most: int):
                         out.extend(current.close())
                     current = _List(name, part.column("used")[0].as_py(), most)
                 ids = part.column("did").to_pylist(), part.column("tk").to_pylist()
-                out.extend(current.add(*ids, _briefs(part.column("brief"))))
+                out.extend(current.add(*ids, _briefs(part.column("brief"), COORDINATES // 2)))
             if out:
                 yield batch(_FOUND_SCHEMA, *zip(*out, strict=True))
         if current is not None and (rest := list(current.close())):
@@ -274,7 +352,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in range(1, int(sizes[sizes <= SHORT_LIST].max(initial=1))):
             i = np.flatnonzero(short & (left >= step))
             i = i[root[i] != root[i + step]]
-            near = (briefs[i] == briefs[i + step]).sum(axis=1) >= MATCHES
+            near = _agree(briefs[i], briefs[i + step])
             found.append(np.c_[i[near], i[near] + step])
         for begin, size in zip(starts[sizes > SHORT_LIST], sizes[sizes > SHORT_LIST], strict=True):
             joined = _joining(root[begin : begin + size], briefs[begin : begin + size])
@@ -404,19 +482,32 @@ def _links(docs: DataFrame, families: DataFrame, words: int) -> DataFrame:
         F.pmod(F.xxhash64("did", "tk"), F.col("blocks")).cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
     )
+    placed, size = materialise_measured(placed, "placed")
+    # Only texts of families move.
     return (
-        pressed(docs)
-        .join(placed, ["did", "tk"], "left")
-        .filter(F.col("family").isNotNull())
+        sized_join(keyed(docs), placed, ["did", "tk"], size)
         .withColumn("low", F.least("block", "other"))
         .withColumn("high", F.greatest("block", "other"))
         .drop("other")
+        .mapInArrow(_pressed, _PLACED)
         .repartition("family", "low", "high")
         .sortWithinPartitions("family", "low", "high", "did", "tk")
         .mapInArrow(_link(words), "did long, tk long, to_did long, to_tk long")
     )
 
 
+_PLACED = "did long, tk long, family long, block int, low int, high int, body binary"
+
+
+def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    press = zstandard.ZstdCompressor(level=1)
+    for rows in batches:
+        bodies = pa.array([press.compress(t) for t in texts_of(rows.column("text"))], pa.binary())
+        names = [field.split(" ")[0] for field in _PLACED.split(", ")]
+        columns = [rows.column(name) for name in names[:-1]]
+        yield pa.RecordBatch.from_arrays([*columns, bodies], names=names)
+
+
 def _node(did: str = "did", tk: str = "tk") -> Column:
     return F.struct(F.col(did).alias("did"), F.col(tk).alias("tk"))
 
@@ -431,10 +522,11 @@ def _candidates(entries: DataFrame, most: int) -> tuple[list[DataFrame], list[Da
     posting = entries.select(
         F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("used"), "did", "tk", "signature"
     )
+    shared = entries.sparkSession.sparkContext.broadcast(common_pairs(entries))
     # Posting again multiplies entries by PREFIX, so the last level takes lists as they are.
     for level in range(LEVELS):
         found = materialise(
-            posting.mapInArrow(_post, "key long, used long, did long, tk long, brief binary")
+            posting.mapInArrow(_post(shared), "key long, used long, did long, tk long, brief binary")
             .repartition("key")
             .sortWithinPartitions("key", "did", "tk")
             .mapInArrow(_stars(most if level < LEVELS - 1 else 1 << 62), _FOUND),
@@ -461,14 +553,15 @@ def _all(frames: list[DataFrame]) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, most_hubs: int = MOST_HUBS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, tk.
+    """One row per document: doc_id, n_shingles, component_id, kept, tk, stands.
 
     Documents are linked if their sets of ``words``-word shingles have a Jaccard
     similarity of 0.8 or more; a component is what links connect, and its smallest
     doc_id names and stays for it.  A document without words or text is linked with
     nothing.  A null doc_id stands for its component only if no other id does, which
     is then null.  Rows with one doc_id and different texts are documents of their
-    own; a repeated row is marked as its twin is.
+    own; a repeated row is marked as its twin is.  ``stands`` marks one (doc_id, tk) of
+    each component, where ``kept`` marks every text under the id that stays.
     """
     rows = materialise(
         keyed(docs).mapInArrow(
@@ -480,8 +573,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, most_hubs: int = MOST_HUBS)
     groups = materialise(
         rows.filter("n > 0")
         .groupBy("g1", "g2")
-        .agg(F.min(F.struct("did", "tk", "signature")).alias("first"), _least_id().alias("least"))
-        .select("g1", "g2", "first.did", "first.tk", "first.signature", "least"),
+        .agg(F.min(F.struct("did", "tk", "signature")).alias("first"), _least_id().alias("least"), F.min(_standing()).alias("stand"))
+        .select("g1", "g2", "first.did", "first.tk", "first.signature", "least", "stand"),
         "groups",
     )
     pairs, members = _candidates(groups, most_hubs)
@@ -521,17 +614,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, most_hubs: int = MOST_HUBS)
     # The smallest real id of each component, over all of its groups.
     named = groups.join(roots.select("node.did", "node.tk", "root"), ["did", "tk"], "left")
     named = named.withColumn("root", F.coalesce("root", _node()))
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
-    by_group = named.join(least, "root").select("g1", "g2", "component")
-    return rows.join(by_group, ["g1", "g2"], "left").select(
+    least = named.groupBy("root").agg(
+        F.min("least").alias("component"), F.min("stand").alias("stand")
+    )
+    by_group = named.drop("stand").join(least, "root").select("g1", "g2", "component", "stand")
+    # Texts without words have one key, and nothing to look up.
+    worded = lookup_join(rows.filter("n > 0"), by_group, ["g1", "g2"], computed=True).select(
         real_id().alias("doc_id"),
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component")).otherwise(real_id()).alias("component_id"),
-        F.when(F.col("n") > 0, real_id().eqNullSafe(F.col("component")))
-        .otherwise(F.lit(True))
-        .alias("kept"),
+        F.col("component").alias("component_id"),
+        real_id().eqNullSafe(F.col("component")).alias("kept"),
         "tk",
+        (_standing() == F.col("stand")).alias("stands"),
     )
+    wordless = rows.filter("n = 0").select(
+        real_id().alias("doc_id"),
+        F.col("n").alias("n_shingles"),
+        real_id().alias("component_id"),
+        F.lit(True).alias("kept"),
+        "tk",
+        F.lit(True).alias("stands"),
+    )
+    return worded.unionByName(wordless)
+
+
+def _standing() -> Column:
+    """Orders documents by who stands for the others: a real id before none."""
+    return F.struct((F.col("did") == NO_ID).alias("unnamed"), "did", "tk")
 
 
 def _least_id() -> Column:
@@ -541,8 +650,5 @@ def _least_id() -> Column:
 def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("did", pa.int64()), ("tk", pa.int64()), ("brief", pa.binary())])
     for rows in batches:
-        briefs = [
-            np.frombuffer(s.as_py(), np.uint64).astype(np.uint8).tobytes()
-            for s in rows.column("signature")
-        ]
+        briefs = [v.tobytes() for v in _signatures(rows.column("signature")).astype(np.uint8)]
         yield batch(schema, rows.column("did"), rows.column("tk"), briefs)

@@ -26,7 +26,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_duplicates(read_table(spark, sf_dir, "documents")).drop("tk")
+    return exact_duplicates(read_table(spark, sf_dir, "documents")).drop("tk", "stands")
 
 
 # translate() rather than lower(): only A-Z change.
@@ -114,7 +114,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"), words=2).drop("tk")
+    return near_duplicates(read_table(spark, sf_dir, "documents"), words=2).drop("tk", "stands")
 
 
 NEAR_SQL = r"""
