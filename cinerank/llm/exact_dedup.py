@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinerank.llm.common import batch, text_key, texts_of
+from cinerank.operators.skew import lookup_join
 from cinerank.session import materialise
 
 # Distinct fingerprints that one merging step holds.
@@ -32,6 +33,8 @@ BUCKET_ROWS = 1 << 16
 # At most this many fingerprints can each have more than 1 / HOT_SHARE of all rows.
 HOT_SHARE = 1000
 _RUN_BITS = 16
+# Bytes of text that leave a worker together.
+PART_BYTES = 4 << 20
 
 _ROWS = "doc_id long, tk long, fp long, text_sha256 string"
 _FILTER = "bucket int, quotients binary, remainders binary, counts binary"
@@ -45,15 +48,27 @@ def _fingerprints(with_text: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            # bytes.lower changes A-Z only.
-            texts = [text.lower() for text in texts_of(rows.column("text"))]
-            columns = [
-                rows.column("doc_id"),
-                rows.column("tk"),
-                np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64).view(np.int64),
-                [hashlib.sha256(t).hexdigest() for t in texts],
-            ]
-            yield batch(schema, *columns, *([texts] if with_text else []))
+            begin, size, prints, hashes, norms = 0, 0, [], [], []
+
+            def part(end: int) -> pa.RecordBatch:
+                done = rows.slice(begin, end - begin)
+                found = np.array(prints, np.uint64).view(np.int64)
+                named = (done.column("doc_id"), done.column("tk"), found, hashes)
+                return batch(schema, *named, *([norms] if with_text else []))
+
+            for i, text in enumerate(texts_of(rows.column("text"))):
+                # bytes.lower changes A-Z only.
+                norm = text.lower()
+                prints.append(xxhash.xxh3_64_intdigest(norm))
+                hashes.append(hashlib.sha256(norm).hexdigest())
+                if with_text:
+                    norms.append(norm)
+                    size += len(norm)
+                if size >= PART_BYTES:
+                    yield part(i + 1)
+                    begin, size, prints, hashes, norms = i + 1, 0, [], [], []
+            if begin < rows.num_rows:
+                yield part(rows.num_rows)
 
     return run
 
@@ -150,13 +165,15 @@ def repeated_fingerprints(fingerprints: DataFrame, rows: int) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, tk.
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, tk, stands.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty.
     Of equal texts the largest doc_id stays.  A null doc_id stays only where no
     equal text has an id.  Rows that repeat doc_id and text are marked alike and
     all count in ``group_size``.  An empty table gives an empty result.  ``tk`` is the
-    hash by which rows are joined to their documents again (see ``common.keyed``).
+    hash by which rows are joined to their documents again (see ``common.keyed``);
+    ``stands`` marks one (doc_id, tk) of each group, where ``kept`` marks every text
+    under the id that stays.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("tk"))
     rows = materialise(
@@ -174,20 +191,22 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     groups = (
         suspects.groupBy("fp", "norm")
         .agg(
-            F.max("doc_id").alias("keep_id"),
+            # A null id is smaller than any other.
+            F.max(F.struct("doc_id", "tk")).alias("first"),
             F.count("*").alias("group_size"),
             F.first("text_sha256").alias("text_sha256"),
         )
         .filter("group_size > 1")
         .drop("norm")
-        .withColumn("found", F.lit(True))
     )
-    keep = F.when(F.col("found"), F.col("keep_id")).otherwise(F.col("doc_id"))
-    return rows.join(groups, ["fp", "text_sha256"], "left").select(
+    first = F.coalesce("first", F.struct("doc_id", "tk"))
+    # A group with a large share of the rows is not gathered in one task.
+    return lookup_join(rows, groups, ["fp", "text_sha256"], "left", computed=True).select(
         "doc_id",
-        keep.alias("keep_id"),
+        first["doc_id"].alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep).alias("kept"),
+        F.col("doc_id").eqNullSafe(first["doc_id"]).alias("kept"),
         "text_sha256",
         "tk",
+        F.struct("doc_id", "tk").eqNullSafe(first).alias("stands"),
     )
