@@ -1,6 +1,6 @@
 """Looking up what many documents need from a large distributed table.
 
-Documents are dealt to blocks of about ``BLOCK_BYTES`` of text by a hash.  A block
+Documents are dealt to blocks of about ``BLOCK_BYTES`` of text by a hash of row and place.  A block
 asks for each distinct key it holds once, the questions of all blocks meet by
 shard of the key, and the answers return to the block in the order asked.  Texts
 are shuffled once, compressed, and both uses read the same shuffle files; what
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from cinerank.llm.common import batch, parts_for, text_bytes
 
 BLOCK_BYTES = 16 << 20
+ROW_RUN = 16
 ASKED = "block int, shard int, keys binary"
 ASKED_SCHEMA = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary())])
 ANSWERED = "block int, shard int, answers binary"
@@ -71,12 +72,15 @@ def blocks(
 ) -> tuple[DataFrame, int]:
     """Compressed documents with their block, and the number of blocks.
 
-    ``tag`` is an int column that goes with each document.
+    ``tag`` is an int column that goes with each document.  Equal rows are dealt out by
+    where they stand, ``ROW_RUN`` neighbours together; a table that is read from files
+    gives a repeated task the same rows in the same order.
     """
     _, size = text_bytes(docs)
     count = parts_for(size, block_bytes)
+    run = F.expr(f"monotonically_increasing_id() div {ROW_RUN}")
     packed = docs.select(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).cast("int").alias("block"),
+        F.pmod(F.xxhash64("doc_id", "text", run), F.lit(count)).cast("int").alias("block"),
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.lit(0) if tag is None else tag).cast("int").alias("tag"),
         "text",

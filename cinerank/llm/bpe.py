@@ -10,6 +10,7 @@ to its piece of the vocabulary, a table of fixed size.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,7 +34,7 @@ from cinerank.llm.blocks import (
 from cinerank.llm.common import batch
 
 # Words are encoded in slices of this many.
-SLICE = 20_000
+SLICE = 5_000
 _RUN = regex.compile(r"\s\s")
 _SINGLE = regex.compile(r"(?<=\S) (?=\S)")
 # Ids of the documents that return from a block together.
@@ -51,6 +52,8 @@ def words(text: str) -> list[str]:
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    # Tasks share the cores already; threads of its own cost memory and time.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     loaded = Tokenizer.from_file(path)

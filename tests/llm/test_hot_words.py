@@ -9,6 +9,9 @@ import numpy as np
 import pytest
 
 from cinerank.llm import ngrams
+from cinerank.llm.blocks import blocks
+from cinerank.llm.bpe import encode
+from cinerank.llm.queries import tokenizer_path
 from cinerank.llm.ngrams import language_model_scores
 
 PHRASE = "all rights reserved by the owner".split()
@@ -64,3 +67,14 @@ def test_scores_do_not_depend_on_blocks(spark, block_bytes):
     want = scores(rows)
     assert found.keys() == want.keys()
     assert all(math.isclose(found[i], want[i], rel_tol=1e-9) for i in want)
+
+
+def test_equal_rows_use_many_blocks(spark, tmp_path):
+    row = [(1, "the same words again and again " * 20)]
+    spark.createDataFrame(row * 4000, "doc_id long, text string").write.parquet(f"{tmp_path}/equal")
+    docs = spark.read.parquet(f"{tmp_path}/equal")
+    packed, count = blocks(docs, block_bytes=1 << 16)
+    sizes = [r["count"] for r in packed.groupBy("block").count().collect()]
+    assert count > 30 and len(sizes) > 0.9 * count and max(sizes) < 4 * 4000 / count
+    encoded = encode(docs, tokenizer_path(), block_bytes=1 << 16)
+    assert encoded.count() == 4000 and encoded.select("ids").distinct().count() == 1
