@@ -95,3 +95,41 @@ def test_pipeline_takes_odd_rows(spark, tmp_path):
         (1, "other words for this id"), (2, "good WORDS here and there"),
     ]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+CLASHING = "did long, tk long, stands string, several int, mark long, copies int, copy int, row string, _copies int"
+
+
+def test_stages_keep_columns_with_clashing_names(spark):
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {CLASHING}"
+    extra = (8, 7, "s", 6, 5, 4, 3, "r", 2)
+    body = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(i, f"{body} {'abcde'[i % 5]}{i // 5}" * 3, "en", "st"[i % 2], i, *extra) for i in range(20)]
+    rows += [(i, rows[3][1], "en", "s", i, *extra) for i in range(20, 24)]
+    docs = spark.createDataFrame(rows, schema)
+    for stage in (corpus_pipeline.exact_dedup, corpus_pipeline.near_dedup, corpus_pipeline.mixing):
+        kept = stage(spark, docs, DATA)
+        assert kept.columns == docs.columns
+        left = {tuple(r) for r in kept.collect()}
+        assert left and left <= set(rows)
+
+
+def test_stages_take_empty_tables(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([], schema)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, DATA).collect() == []
+
+
+def test_one_of_each_group_stands(spark):
+    """Equal and near texts without ids, and under one id; rows alike but for other columns."""
+    words = [f"w{i}" for i in range(200)]
+    near = [" ".join([*words[:k], "x", *words[k + 1 :]]) for k in (20, 90, 150)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for doc_id in (None, 5):
+        docs = spark.createDataFrame([(doc_id, t, "en", "s", 1) for t in near], schema)
+        assert corpus_pipeline.near_dedup(spark, docs, DATA).count() == 1
+        cased = [(doc_id, t, lang, "s", 1) for t in ("Same text", "same TEXT") for lang in ("en", "de", "fr")]
+        docs = spark.createDataFrame(cased, schema)
+        kept = [corpus_pipeline.exact_dedup(spark, docs.repartition(n), DATA).collect() for n in (1, 5)]
+        assert kept[0] == kept[1] and len(kept[0]) == 1
