@@ -96,6 +96,16 @@ def inverse_document_frequency(n_docs: Column, df: Column) -> Column:
     return F.log(1 + (n_docs.cast("double") - df + 0.5) / (df + 0.5))
 
 
+def document_frequencies(docs: DataFrame, doc_id: str, field: str) -> DataFrame:
+    """term, df, idf of one field: each document's terms once, counted before the shuffle."""
+    terms = spread(docs.select(doc_id, field), doc_id).select(
+        F.explode(F.array_distinct(_tokens_or_none(F.col(field)))).alias("term")
+    )
+    counted = terms.groupBy("term").agg(F.count("*").alias("df"))
+    idf = inverse_document_frequency(F.lit(docs.count()), F.col("df"))
+    return counted.withColumn("idf", idf)
+
+
 def build_index(
     docs: DataFrame, doc_id: str, fields: Sequence[str], only: DataFrame | None = None
 ) -> TextIndex:

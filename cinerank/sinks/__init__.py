@@ -1,21 +1,28 @@
+from cinerank.sinks.snapshots import publish_version, published_lists
 from cinerank.sinks.tables import (
     conform,
+    create_keyed_table,
     ensure_table,
     publish,
     publish_by_film,
     rebuild_table,
     upsert,
+    upsert_into,
     write_csv,
     write_table,
 )
 
 __all__ = [
     "conform",
+    "create_keyed_table",
     "ensure_table",
     "publish",
     "publish_by_film",
+    "publish_version",
+    "published_lists",
     "rebuild_table",
     "upsert",
+    "upsert_into",
     "write_csv",
     "write_table",
 ]

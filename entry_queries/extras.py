@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cinerank.functions import tokenise
 from cinerank.operators import extras
 from cinerank.operators.factors import nearest_vectors
+from cinerank.operators.stored_queries import match_patterns, percolate_stored
 from entry_queries import views
 from entry_queries.registry import query
 from entry_queries.views import tokens_sql, with_views
@@ -98,6 +100,53 @@ def x_percolate(spark, d):
     return extras.percolate(documents, "doc_id", "text", stored, "item_id", "text")
 
 
+# Three quarters of a passage's different words are asked for.
+_LEAST = "CAST(ceil(n * 0.75) AS INT)"
+_PERCOLATE = (
+    f"q AS (SELECT item_id, unnest(list_distinct({tokens_sql('text')})) AS term FROM benchmark),"
+    f" sizes AS (SELECT item_id, {_LEAST} AS least FROM"
+    " (SELECT item_id, count(*) AS n FROM q GROUP BY item_id)),"
+    f" d AS (SELECT doc_id, unnest(list_distinct({tokens_sql('text')})) AS term FROM documents),"
+    " held AS (SELECT item_id, doc_id, CAST(count(*) AS INT) AS n_held FROM q JOIN d USING (term)"
+    " GROUP BY item_id, doc_id)"
+)
+
+
+@query(
+    "x_percolate_least",
+    f"WITH {_PERCOLATE} SELECT item_id AS query_id, doc_id, n_held FROM held JOIN sizes USING (item_id)"
+    " WHERE n_held >= least",
+)
+def x_percolate_least(spark, d):
+    """Documents that hold three quarters of the different words of a passage."""
+    n_terms = F.size(F.array_distinct(tokenise(F.col("text"))))
+    stored = views.table(spark, d, "benchmark").withColumn(
+        "least", F.ceil(n_terms * F.lit(0.75)).cast("int")
+    )
+    documents = views.table(spark, d, "documents")
+    return percolate_stored(documents, "doc_id", "text", stored, "item_id", "text", "least")
+
+
+@query(
+    "x_percolate_phrase",
+    f"WITH p AS (SELECT item_id, array_to_string(({tokens_sql('text')})[1:8], ' ') AS phrase FROM benchmark),"
+    f" d AS (SELECT doc_id, array_to_string({tokens_sql('text')}, ' ') AS body FROM documents)"
+    " SELECT item_id AS query_id, doc_id FROM p JOIN d"
+    " ON contains(concat(' ', body, ' '), concat(' ', phrase, ' '))",
+)
+def x_percolate_phrase(spark, d):
+    """Documents in which the first eight words of a passage stand side by side."""
+    first = F.array_join(F.slice(tokenise(F.col("text")), 1, 8), " ")
+    stored = views.table(spark, d, "benchmark").select(
+        "item_id", first.alias("phrase"), F.lit(True).alias("in_order")
+    )
+    documents = views.table(spark, d, "documents")
+    found = percolate_stored(
+        documents, "doc_id", "text", stored, "item_id", "phrase", phrase="in_order"
+    )
+    return found.drop("n_held")
+
+
 # The listed neighbours of a vector are right when they carry its label.
 _QUALITY = with_views(
     "ranked_d",
@@ -228,3 +277,19 @@ def x_vector_topk(spark, d):
 def x_wildcard(spark, d):
     customers = views.table(spark, d, "customer").select("c_custkey", "c_name")
     return customers.filter(extras.wildcard(F.col("c_name"), "*#*7?"))
+
+
+# Patterns of a table: each supplier's key as the end of a customer's name.
+@query(
+    "x_wildcard_table",
+    "SELECT s_suppkey, c_name FROM supplier JOIN customer"
+    " ON c_name LIKE concat('%#%', CAST(s_suppkey % 100 AS VARCHAR), '_')",
+)
+def x_wildcard_table(spark, d):
+    """Which customers' names match which supplier's pattern, met by rare pieces."""
+    patterns = views.table(spark, d, "supplier").select(
+        "s_suppkey", F.concat(F.lit("*#*"), (F.col("s_suppkey") % 100).cast("string"), F.lit("?")).alias("pattern")
+    )
+    customers = views.table(spark, d, "customer")
+    found = match_patterns(customers, "c_name", patterns, "s_suppkey", "pattern")
+    return found.select(F.col("pattern_id").alias("s_suppkey"), F.col("value").alias("c_name"))

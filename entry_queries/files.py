@@ -165,6 +165,38 @@ def upsert_by_key(spark, d):
     return sources.read_table(spark, path)
 
 
+@query(
+    "upsert_parts",
+    "SELECT c_custkey AS user_id, coalesce(total, c_acctbal) AS amount FROM customer"
+    " LEFT JOIN (SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM orders"
+    " WHERE o_orderkey % 50 = 0 GROUP BY o_custkey) ON o_custkey = c_custkey",
+)
+def upsert_parts(spark, d):
+    """The same into a table of 64 folders by key, of which those without a change stay."""
+    path = scratch_path(spark, "keyed")
+    old = views.table(spark, d, "customer").select(
+        F.col("c_custkey").alias("user_id"), F.col("c_acctbal").alias("amount")
+    )
+    sinks.create_keyed_table(old, path, "user_id", 64)
+    # Orders whose key fifty divides are the batch of changes.
+    changed = views.table(spark, d, "orders").filter("o_orderkey % 50 = 0")
+    new = changed.groupBy(F.col("o_custkey").alias("user_id")).agg(
+        F.round(F.sum("o_totalprice"), 2).alias("amount")
+    )
+    sinks.upsert_into(new, path, "user_id", 64)
+    return spark.read.parquet(path).select("user_id", "amount")
+
+
+@query("publish_version", with_views("listed_d", _LISTED))
+def publish_version_query(spark, d):
+    """Lists published twice as versions; the current one is read."""
+    path = scratch_path(spark, "versions")
+    lists = views.published(spark, d)[0]
+    sinks.publish_version(lists.limit(1), path, buckets=4)
+    sinks.publish_version(lists, path, buckets=8)
+    return _listed(sinks.published_lists(spark, path))
+
+
 @query("docs_json", with_views("listed_d", _LISTED))
 def docs_json(spark, d):
     """Documents as JSON text, parsed back so that fields rather than spelling compare."""

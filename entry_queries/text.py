@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 from cinerank.operators.lists import entries, users_by_film
 from cinerank.operators.search import (
     build_index,
+    document_frequencies,
     field_statistics,
     first_hit,
     query_term_rows,
     search,
     token_rows,
 )
+from cinerank.operators.segments import (
+    add_documents,
+    open_index,
+    remove_documents,
+    term_statistics,
+)
+from cinerank.session import scratch_path
 from entry_queries import views
 from entry_queries.registry import query
 from entry_queries.views import tokens_sql, with_views
@@ -103,8 +111,8 @@ def search_tokens(spark, d):
     " AS idf FROM t, n GROUP BY term, n_docs",
 )
 def search_stats(spark, d):
-    index = build_index(views.table(spark, d, "documents"), "doc_id", ["text"])
-    return index.terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    found = document_frequencies(views.table(spark, d, "documents"), "doc_id", "text")
+    return found.withColumn("idf", F.round("idf", 6))
 
 
 @query(
@@ -121,6 +129,62 @@ def search_field_stats(spark, d):
     return figures.withColumn("mean_length", F.round("mean_length", 6))
 
 
+# Films whose id seven divides are taken out of the index again, and every second one of
+# those comes back under a title of its own.
+_CHANGED = {
+    "live": "SELECT movie_id, title FROM movies_d WHERE movie_id % 7 <> 0 UNION ALL"
+    " SELECT movie_id, concat(title, ' again') FROM movies_d WHERE movie_id % 14 = 0"
+}
+
+
+def _changed_index(spark, d) -> str:
+    """A stored index of titles after appends, a removal and a replacement."""
+    path = scratch_path(spark, "title-index")
+    films = views.movies(spark, d).select("movie_id", "title")
+    odd = F.col("movie_id") % 2 == 1
+    add_documents(films.filter(odd), "movie_id", ["title"], path)
+    add_documents(films.filter(~odd), "movie_id", ["title"], path)
+    remove_documents(spark, path, films.filter("movie_id % 7 = 0").select(F.col("movie_id").alias("doc_id")))
+    again = films.filter("movie_id % 14 = 0").withColumn("title", F.concat("title", F.lit(" again")))
+    add_documents(again, "movie_id", ["title"], path)
+    return path
+
+
+@query(
+    "search_stored",
+    with_views(
+        "movies_d",
+        "SELECT request_id, title AS query, doc_id, score, rank FROM requests"
+        " JOIN ranked_hits ON query = title",
+        requests=TITLE_REQUESTS,
+        **_CHANGED,
+        **ranking_views("live", "movie_id", ["title"], "SELECT title AS query FROM requests"),
+    ),
+)
+def search_stored(spark, d):
+    """Searches answered from a stored index that has changed, by its postings of their terms."""
+    requests = title_requests(spark, d)
+    index = open_index(spark, _changed_index(spark, d), only=query_term_rows(requests, "title"))
+    return search(requests, "request_id", "title", index)
+
+
+@query(
+    "search_stored_stats",
+    with_views(
+        "movies_d",
+        "SELECT field, term, df, round(ln(1 + (n_docs - df + 0.5) / (df + 0.5)), 6) AS idf"
+        " FROM dfs JOIN stats USING (field)",
+        requests=TITLE_REQUESTS,
+        **_CHANGED,
+        **ranking_views("live", "movie_id", ["title"], "SELECT title AS query FROM requests"),
+    ),
+)
+def search_stored_stats(spark, d):
+    """Document frequencies of that index, added up over its segments."""
+    found = term_statistics(spark, _changed_index(spark, d))
+    return found.withColumn("idf", F.round("idf", 6))
+
+
 _TITLE_SEARCH = ("movies_d", "movie_id", ["title"], "SELECT title AS query FROM requests")
 
 
