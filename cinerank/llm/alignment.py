@@ -25,7 +25,6 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -47,6 +46,8 @@ FAN = 8
 # Pieces that a task remembers, and the length up to which it does.
 REMEMBERED = 300_000
 PIECE_BYTES = 64
+# New pieces that are encoded together.
+LINE = 256
 
 _GAP = re.compile(rb"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])")
 _RUN = re.compile(rb"[\s\x1c-\x1f][\s\x1c-\x1f]")
@@ -137,21 +138,35 @@ class Encoder:
         # Pieces whose tokens do not spell them.
         self.bad: set[bytes] = set()
 
+    def _spell(self, lines: list[list[bytes]]) -> None:
+        """Learn lines of pieces, each line encoded as one text and cut at its pieces."""
+        texts = [b" ".join(line).decode("utf-8", "replace") for line in lines]
+        encoded = self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        both = ([e.ids for e in encoded], self.model.encode(texts, num_threads=1))
+        for line, *ids in zip(lines, *both, strict=True):
+            ends = np.cumsum(np.fromiter(map(len, line), np.int64, len(line)) + 1)
+            whole, spelled = b" " + b" ".join(line), []
+            for numbers, table, sizes in zip(ids, self.tables, self.sizes, strict=True):
+                if b"".join([table[i] for i in numbers]) != whole:
+                    break
+                flat = np.array(numbers, np.uint32)
+                until = 4 * (np.searchsorted(np.cumsum(sizes[flat]), ends) + 1)
+                raw, until = flat.tobytes(), until.tolist()
+                spelled.append([raw[a:b] for a, b in zip([0, *until], until)])
+            else:
+                self.known.update(zip(line, zip(*spelled, strict=True), strict=True))
+                continue
+            if len(line) == 1:
+                self.known[line[0]] = (b"", b"")
+                self.bad.add(line[0])
+            else:
+                self._spell([[piece] for piece in line])
+
     def _learn(self, pieces: list[bytes]) -> None:
-        texts = [piece.decode("utf-8", "replace") for piece in pieces]
-        encoded = self.tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)
-        spelled = []
-        for stream, lists in enumerate(([e.ids for e in encoded], self.model.encode(texts, num_threads=1))):
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
-            raw, ends = flat.tobytes(), (4 * np.cumsum(sizes)).tolist()
-            spelled.append([raw[a:b] for a, b in zip([0, *ends], ends)])
-            table = self.tables[stream]
-            if b"".join([table[i] for i in flat.tolist()]) != b" " + b" ".join(pieces):
-                for piece, ids in zip(pieces, lists, strict=True):
-                    if b"".join([table[i] for i in ids]) != b" " + piece:
-                        self.bad.add(piece)
-        self.known.update(zip(pieces, zip(*spelled, strict=True), strict=True))
+        # Blanks at the ends of a text would join those between pieces.
+        alone = [piece for piece in pieces if piece != piece.strip() or not piece]
+        rest = [piece for piece in pieces if piece and piece == piece.strip()]
+        self._spell([[p] for p in alone] + [rest[i : i + LINE] for i in range(0, len(rest), LINE)])
 
     def encode(self, texts: list[list[bytes]]) -> list[Tokens | None]:
         """Ids of a blank and each text; None where tokens do not spell it."""
