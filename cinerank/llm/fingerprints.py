@@ -49,7 +49,7 @@ def lane_sums(paragraph: Column) -> list[Column]:
     """
 
     def hashed(seed: int) -> Column:
-        return F.xxhash64(paragraph, F.lit(seed))
+        return F.xxhash64(F.lit(seed), paragraph)
 
     def total(value: Column, name: str) -> Column:
         return F.sum(F.when(paragraph.isNotNull(), value).otherwise(F.lit(0))).alias(name)

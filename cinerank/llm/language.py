@@ -27,13 +27,15 @@ UNKNOWN = "und"
 # Characters of text between two merges of a task's counts.
 MERGE_CHARS = 1 << 20
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 _BITS = 21
 
 
 def grams(text: str) -> np.ndarray:
     """All n-grams as integers, 21 bits a character; words are set between spaces."""
     letters = _OTHER.sub(" ", text.lower()).strip()
-    if not letters:
+    # Marks alone are no letters.
+    if not _LETTER.search(letters):
         return np.empty(0, np.int64)
     one = np.frombuffer(f" {letters} ".encode("utf-32-le", "surrogatepass"), np.uint32)
     one = one.astype(np.int64)

@@ -536,3 +536,10 @@ def test_quality(spark, odd):
 )
 def test_empty_tables(empty, operator):
     assert operator(empty).count() == 0
+
+
+def test_marks_alone_have_no_language(spark):
+    rows = [(i, "the words of a text " * 5, "en") for i in range(1, 30)] + [(50, "\u0301\u0301", None), (51, "e\u0301", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in languages(docs).collect()}
+    assert found[50] == ("und", 0.0) and found[51][0] == "en"
