@@ -41,15 +41,35 @@ def active_users(ratings: DataFrame, at_least: int) -> DataFrame:
     return lookup_join(ratings, users, "user_id", "left_semi", computed=True)
 
 
+def rated_users(requests: DataFrame, ratings: DataFrame) -> DataFrame:
+    """The users of ``requests`` who have rated something, each once.
+
+    Ratings of other users are left out before anything is made distinct.
+    """
+    asked = requests.select("user_id").distinct()
+    return lookup_join(
+        ratings.select("user_id"), asked, "user_id", "left_semi", computed=True
+    ).distinct()
+
+
+def with_known(requests: DataFrame, ratings: DataFrame) -> DataFrame:
+    """``requests`` with ``known``: whether the user has rated something."""
+    rated = rated_users(requests, ratings).withColumn("known", F.lit(True))
+    joined = lookup_join(requests, rated, "user_id", "left", computed=True)
+    return joined.withColumn("known", F.coalesce("known", F.lit(False)))
+
+
 def known_users(requests: DataFrame, ratings: DataFrame) -> DataFrame:
-    """Requests whose user has rated something.  Users are made distinct before the join."""
-    users = ratings.select("user_id").distinct()
-    return lookup_join(requests, users, "user_id", "left_semi", computed=True)
+    """Requests whose user has rated something."""
+    return lookup_join(
+        requests, rated_users(requests, ratings), "user_id", "left_semi", computed=True
+    )
 
 
 def unknown_users(requests: DataFrame, ratings: DataFrame) -> DataFrame:
-    users = ratings.select("user_id").distinct()
-    return lookup_join(requests, users, "user_id", "left_anti", computed=True)
+    return lookup_join(
+        requests, rated_users(requests, ratings), "user_id", "left_anti", computed=True
+    )
 
 
 def parameter_missing(parameter: Column) -> Column:

@@ -86,9 +86,8 @@ def requested_users(spark, d):
 )
 def key_exists(spark, d):
     requests, ratings = requested_users(spark, d), views.ratings(spark, d)
-    known = cat.known_users(requests, ratings).withColumn("status", F.lit(200))
-    unknown = cat.unknown_users(requests, ratings).withColumn("status", F.lit(404))
-    return known.unionByName(unknown)
+    status = F.when(F.col("known"), 200).otherwise(404).alias("status")
+    return cat.with_known(requests, ratings).select("user_id", status)
 
 
 @query(
