@@ -6,8 +6,8 @@ by shard of the word.  A shard adds up the training counts of all blocks and bui
 trie: sorted word hashes, a monotone pointer from each to its successors in
 Elias-Fano form, successor hashes sorted within their context, and smoothed
 probabilities quantised to a byte, all in one memory-mapped file that lives as long
-as its task.  A pair is looked up by searching its successor relative to the range
-of its context.
+as its task.  The trie has one level.  Pairs are looked up all at once, in keys of
+context and successor that are unpacked from it for each block that asks.
 
 Successors of the commonest words (more than one in ``HOT_SHARE`` tokens, so at most
 ``HOT_SHARE`` words) and of the beginning of a text are dealt over all shards.  How
