@@ -15,6 +15,7 @@ from cinerank.operators.topk import as_ranked_list, first_k, top_k
 from cinerank.session import materialise
 
 USER_BATCH = 512
+BATCH_SCORES = 1 << 22
 ITEM_CHUNK = 4096
 USERS_PER_GROUP = 50_000
 # Multiplications that one task makes for users against broadcast items.
@@ -86,6 +87,11 @@ def _score_block(k: int, user_batch: int, item_chunk: int, decimals: int, slack:
     return best
 
 
+def _batch_rows(k: int) -> int:
+    """Users scored together: fewer where each of them is to get very many items."""
+    return max(1, min(USER_BATCH, BATCH_SCORES // k))
+
+
 def _with_norm(factors: DataFrame) -> DataFrame:
     return factors.select("id", "features", norm(F.col("features")).alias("norm"))
 
@@ -105,8 +111,8 @@ def _score_against(
     shared = users.sparkSession.sparkContext.broadcast(
         (_matrix_of(rows["features"]), rows["id"].to_numpy(np.int64))
     )
-    kernel = _score_block(k, USER_BATCH, ITEM_CHUNK, decimals, SLACK)
-    batch_rows = USER_BATCH
+    batch_rows = _batch_rows(k)
+    kernel = _score_block(k, batch_rows, ITEM_CHUNK, decimals, SLACK)
 
     def score(batches):
         vectors, ids = shared.value
@@ -278,7 +284,8 @@ def _score_visits(visits: DataFrame, blocks: DataFrame, k: int, decimals: int) -
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
         .select(F.col("_of").alias("item_block"), F.col("salt").alias("item_salt"), "id", "features", "norm")
     )
-    kernel = _score_block(k, USER_BATCH, ITEM_CHUNK, decimals, SLACK)
+    batch_rows = _batch_rows(k)
+    kernel = _score_block(k, batch_rows, ITEM_CHUNK, decimals, SLACK)
     schema = pa.schema([("user_id", pa.int32()), ("movie_id", pa.int32()), ("score", pa.float64())])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -287,7 +294,7 @@ def _score_visits(visits: DataFrame, blocks: DataFrame, k: int, decimals: int) -
             right = right.sort_by([("norm", "descending"), ("id", "ascending")]).combine_chunks()
             vectors = _vectors(right.column("features").combine_chunks())
             ids = right.column("id").to_numpy().astype(np.int64)
-            for part in left.to_batches(max_chunksize=USER_BATCH):
+            for part in left.to_batches(max_chunksize=batch_rows):
                 users = _vectors(part.column("features"), vectors.shape[1])
                 floor = part.column("floor").to_numpy(zero_copy_only=False)
                 row, col, val = kernel(users, vectors, ids, np.where(np.isnan(floor), -np.inf, floor))
@@ -360,6 +367,41 @@ def top_k_items(
     return top_k(begun.unionByName(rest), k, "user_id", "score", "movie_id")
 
 
+def top_k_unseen(
+    user_factors: DataFrame,
+    item_factors: DataFrame,
+    k: int,
+    seen: DataFrame,
+    limit: int = BROADCAST_LIMIT,
+    block_items: int = 100_000,
+) -> DataFrame:
+    """The ``k`` best items of every user that are not among the user's pairs in ``seen``.
+
+    ``seen`` is (user_id, movie_id).  Exact: a user with n such pairs asks for at least the
+    k + n best items, of which at most n fall away.  Users are scored by classes whose
+    lengths are k, 2k, 4k, ... so all lists together have at most 2k rows a user and two
+    for each pair of ``seen``.
+    """
+    pairs = materialise(seen.select("user_id", "movie_id").distinct(), "seen")
+    known = pairs.groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("n"))
+    need = (F.coalesce("n", F.lit(0)) + k) / k
+    step = F.ceil(F.round(F.log2(need), 9)).cast("int")
+    users = lookup_join(user_factors, known, "id", "left", computed=True)
+    users = materialise(users.withColumn("step", step).drop("n"), "askers")
+    n_items = item_factors.count()
+    lists = None
+    # One class per doubling: as many as the longest list of pairs has binary digits.
+    for row in users.select("step").distinct().orderBy("step").collect():
+        asking = users.filter(F.col("step") == row["step"]).drop("step")
+        length = max(1, min(k << row["step"], n_items))
+        found = top_k_items(asking, item_factors, length, limit, block_items).drop("rank")
+        lists = found if lists is None else lists.unionByName(found)
+    if lists is None:
+        return top_k_items(user_factors, item_factors, k, limit, block_items)
+    unseen = lookup_join(lists, pairs, ["user_id", "movie_id"], "left_anti", computed=True)
+    return top_k(unseen, k, "user_id", "score", "movie_id")
+
+
 def recommendation_lists(ranked: DataFrame) -> DataFrame:
     """One row per user: recommendations array<struct<movie_id int, rating float>>."""
     entries = ranked.select(

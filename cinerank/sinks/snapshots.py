@@ -30,15 +30,24 @@ class Snapshot:
     parts: tuple[str, ...]
 
 
-def current(spark: SparkSession, path: str) -> Snapshot:
-    """The newest version; version 0 without parts where nothing was committed."""
+def rows_at(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows at ``path``; none where nothing was written."""
     try:
-        found = spark.read.schema(_POINTER).parquet(f"{path}/pointer")
-        row = found.orderBy(F.desc("version")).first()
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        row = None
+        return spark.createDataFrame([], schema)
+
+
+def versions(spark: SparkSession, path: str) -> DataFrame:
+    """All versions committed: version, parts."""
+    return rows_at(spark, f"{path}/pointer", _POINTER)
+
+
+def current(spark: SparkSession, path: str) -> Snapshot:
+    """The newest version; version 0 without parts where nothing was committed."""
+    row = versions(spark, path).orderBy(F.desc("version")).first()
     return Snapshot(row["version"], tuple(row["parts"])) if row else Snapshot(0, ())
 
 

@@ -26,6 +26,16 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
 
 
+def append_metrics(metrics: DataFrame, path: str) -> None:
+    """Keep a run's metrics row beside those of earlier runs, whatever columns these have."""
+    metrics.coalesce(1).write.mode("append").parquet(path)
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all runs; a parameter that a run did not name is NULL."""
+    return spark.read.option("mergeSchema", "true").parquet(path)
+
+
 def ensure_table(spark: SparkSession, path: str, schema: T.StructType) -> None:
     """Create an empty typed table unless something is there already."""
     spark.createDataFrame([], schema).write.mode("ignore").parquet(path)

@@ -8,6 +8,8 @@ from cinerank.functions import tokenise
 from cinerank.operators import extras
 from cinerank.operators.factors import nearest_vectors
 from cinerank.operators.stored_queries import match_patterns, percolate_stored
+from cinerank.session import scratch_path
+from cinerank.sinks import copied_table, copy_into, refused_rows
 from entry_queries import views
 from entry_queries.registry import query
 from entry_queries.views import tokens_sql, with_views
@@ -221,6 +223,36 @@ def x_reindex(spark, d):
     )
 
 
+@query(
+    "x_reindex_versions",
+    "SELECT o_orderkey, o_orderstatus = 'F' AND year(o_orderdate) >= 1995 AS refused,"
+    " CASE WHEN o_orderstatus = 'F' AND year(o_orderdate) >= 1995 THEN o_totalprice"
+    " ELSE -o_totalprice END AS o_totalprice, CAST(CASE WHEN o_orderstatus = 'F'"
+    " AND year(o_orderdate) >= 1995 THEN year(o_orderdate) ELSE 1995 END AS INT) AS version"
+    " FROM orders",
+)
+def x_reindex_versions(spark, d):
+    """Finished orders are held at the version of their year; then all orders are copied as of
+    1995, in slices, with a stop between."""
+    path = scratch_path(spark, "copied")
+    orders = views.table(spark, d, "orders")
+    held = orders.filter(F.col("o_orderstatus") == "F").select(
+        "o_orderkey", "o_totalprice", F.year("o_orderdate").alias("version")
+    )
+    copy_into(held, path, "o_orderkey", "version", "finished", slices=4)
+    every = orders.select(
+        "o_orderkey", (-F.col("o_totalprice")).alias("o_totalprice"), F.lit(1995).alias("version")
+    )
+    for slices in (1, None):
+        copy_into(every, path, "o_orderkey", "version", "all", slices=4, at_most=slices)
+    kinds = "o_orderkey long, version int, held_version int"
+    refused = refused_rows(spark, path, "all", kinds).select(
+        "o_orderkey", F.lit(True).alias("refused")
+    )
+    table = copied_table(spark, path, every.schema)
+    return table.join(refused, "o_orderkey", "left").fillna(False, "refused")
+
+
 @query(
     "x_preagg_metric",
     "SELECT event_type, min(value) AS lowest, max(value) AS highest, round(sum(value), 2) AS total,"

@@ -16,6 +16,8 @@ from cinerank.operators import catalogue as cat
 from cinerank.operators import splits
 from cinerank.operators.topk import explode_list
 from cinerank.plans.clean import clean_catalogue
+from cinerank.plans.folds import export_split, read_fold, read_holdout, write_folds, write_holdout
+from cinerank.session import scratch_path
 from cinerank.sources import rename_by_position
 from cinerank.sources.schemas import GENRE_COLUMNS
 from entry_queries import views
@@ -295,6 +297,46 @@ def cv_folds(spark, d):
     return folds(spark, d).select("seq", "user_id", "fold")
 
 
+@query(
+    "fold_tables",
+    with_views(
+        "seq_d",
+        "SELECT seq, user_id, movie_id, fold <> 2 AS in_base FROM (SELECT *,"
+        " seq % 1000 AS movie_id, ntile(5) OVER (ORDER BY seq) AS fold FROM seq_d)",
+    ),
+)
+def fold_tables(spark, d):
+    """Folds written once and read as base and test of one of them."""
+    rows = views.sequence(spark, d).select("seq", "user_id", (F.col("seq") % 1000).alias("movie_id"))
+    path = scratch_path(spark, "folds")
+    write_folds(rows, path, 5, "seq")
+    base, test = read_fold(spark, path, 2, rows.schema)
+    return base.withColumn("in_base", F.lit(True)).unionByName(test.withColumn("in_base", F.lit(False)))
+
+
+@query(
+    "holdout_tables",
+    with_views(
+        "seq_d",
+        "SELECT seq, user_id, movie_id, nth > 10 AS in_base FROM (SELECT seq, user_id, seq % 1000 AS"
+        " movie_id, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS nth FROM seq_d)",
+    ),
+)
+def holdout_tables(spark, d):
+    """Ten rows held out per user, written as tab-separated files and read again."""
+    rows = views.sequence(spark, d).select("seq", "user_id", (F.col("seq") % 1000).alias("movie_id"))
+    path = scratch_path(spark, "holdout")
+    write_holdout(rows, f"{path}/table", 10, "user_id", "seq")
+    export_split(*read_holdout(spark, f"{path}/table", rows.schema), path, "ua")
+    parts = [
+        spark.read.schema(rows.schema).csv(f"{path}/ua.{part}", sep="\t").withColumn(
+            "in_base", F.lit(part == "base")
+        )
+        for part in ("base", "test")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 @query(
     "union_base",
     with_views("seq_d", "SELECT seq, user_id, value FROM folds WHERE fold <> 2", folds=_FOLDS),

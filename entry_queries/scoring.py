@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from cinerank.functions import dot
 from cinerank.operators.catalogue import with_titles
 from cinerank.operators.evaluate import metric_row, rmse
-from cinerank.operators.factors import predict_pairs, recommendation_lists
+from cinerank.operators.factors import predict_pairs, recommendation_lists, top_k_unseen
 from cinerank.operators.topk import explode_list, top_k
+from cinerank.session import scratch_path
+from cinerank.sinks import append_metrics, read_metrics
 from entry_queries import views
 from entry_queries.registry import query
 from entry_queries.views import with_views
@@ -172,3 +174,37 @@ def rename_nested(spark, d):
         F.col("films")[0]["predicted_rating"].cast("double").alias("best"),
         F.element_at("films", -1)["predicted_rating"].cast("double").alias("least"),
     )
+
+
+@query(
+    "metric_history",
+    with_views(
+        "predicted_d",
+        "SELECT CASE WHEN high THEN 'high' ELSE 'low' END AS run_id, CASE WHEN high THEN 64 END AS rank,"
+        " round(sqrt(avg(pow(rating - prediction, 2))), 6) AS rmse, count(*) AS n_pairs"
+        " FROM (SELECT *, rating >= 3 AS high FROM predicted_d) GROUP BY high",
+    ),
+)
+def metric_history(spark, d):
+    """Two runs' rows kept in one table; one names a parameter that the other does not."""
+    vectors = views.factors(spark, d)
+    predicted = predict_pairs(views.ratings(spark, d), vectors, vectors, rank=64)
+    path = scratch_path(spark, "metrics")
+    append_metrics(metric_row(rmse(predicted.filter("rating >= 3")), "high", rank=64), path)
+    append_metrics(metric_row(rmse(predicted.filter("rating < 3")), "low"), path)
+    return read_metrics(spark, path).withColumn("rmse", F.round("rmse", 6))
+
+
+@query(
+    "recommend_unseen",
+    with_views(
+        "scored_d ratings_d",
+        "SELECT user_id, movie_id, score, rank FROM (SELECT *, CAST(row_number() OVER"
+        " (PARTITION BY user_id ORDER BY score DESC, movie_id) AS INT) AS rank"
+        " FROM scored_d ANTI JOIN ratings_d USING (user_id, movie_id)) WHERE rank <= 10",
+    ),
+)
+def recommend_unseen(spark, d):
+    """The ten best items of every user that the user has not rated."""
+    vectors = views.factors(spark, d)
+    return top_k_unseen(vectors, vectors, 10, views.ratings(spark, d))
