@@ -12,6 +12,9 @@ What is at a table's path: ``pointer`` and ``parts`` (see ``snapshots``), and fo
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +25,7 @@ from cinerank.sinks.snapshots import Snapshot, commit, current, fresh_part, rows
 
 SLICE = "copy_slice"
 FILES_PER_SLICE = 16
+PARALLEL_SLICES = 4
 _BEGUN = "staged string, slices int, version long, parts array<string>"
 _PROGRESS = "slice int, part string, written long, refused long"
 
@@ -90,7 +94,8 @@ def _copy_slice(
     schema: T.StructType,
     key: str,
     version: str,
-) -> None:
+) -> tuple[int, str, int, int]:
+    """Merge one slice; gives its row of progress."""
     staged = T.StructType([*schema, T.StructField(SLICE, T.IntegerType())])
     new = spark.read.schema(staged).parquet(begun["staged"])
     new = new.filter(F.col(SLICE) == number).drop(SLICE)
@@ -105,7 +110,7 @@ def _copy_slice(
         conflicts.write.parquet(f"{path}/copies/{job}/refused/{part}")
         refused = spark.read.parquet(f"{path}/copies/{job}/refused/{part}").count()
         written = new.count() - refused
-    _append(spark, (number, part, written, refused), _PROGRESS, f"{path}/copies/{job}/progress")
+    return number, part, written, refused
 
 
 def copy_into(
@@ -133,8 +138,14 @@ def copy_into(
     progress = f"{path}/copies/{job}/progress"
     done = {row["slice"] for row in rows_at(spark, progress, _PROGRESS).collect()}
     left = [number for number in range(begun["slices"]) if number not in done]
-    for number in left[:at_most]:
-        _copy_slice(spark, path, job, begun, number, source.schema, key, version)
+
+    def merge(number: int) -> tuple[int, str, int, int]:
+        return _copy_slice(spark, path, job, begun, number, source.schema, key, version)
+
+    with ThreadPoolExecutor(PARALLEL_SLICES) as pool:
+        # Progress is written here alone: two appends to one folder would disturb each other.
+        for row in pool.map(inheritable_thread_target(spark)(merge), left[:at_most]):
+            _append(spark, row, _PROGRESS, progress)
     rows = rows_at(spark, progress, _PROGRESS)
     parts = [row["part"] for row in rows.orderBy("slice").collect()]
     if len(parts) == begun["slices"]:
