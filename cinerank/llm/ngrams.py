@@ -6,8 +6,9 @@ by shard of the word.  A shard adds up the training counts of all blocks and bui
 trie: sorted word hashes, a monotone pointer from each to its successors in
 Elias-Fano form, successor hashes sorted within their context, and smoothed
 probabilities quantised to a byte, all in one memory-mapped file that lives as long
-as its task.  The trie has one level.  Pairs are looked up all at once, in keys of
-context and successor that are unpacked from it for each block that asks.
+as its task.  The trie has one level.  For each pair that a block asks for, the two
+pointers of its context are selected from the Elias-Fano bits and the successor is
+searched between them, in the mapped file; nothing is unpacked but what is compared.
 
 Successors of the commonest words (more than one in ``HOT_SHARE`` tokens, so at most
 ``HOT_SHARE`` words) and of the beginning of a text are dealt over all shards.  How
@@ -63,6 +64,11 @@ def quantise(weights: np.ndarray) -> np.ndarray:
     return np.where(weights > 0, np.clip(levels, 1, 255), 0).astype(np.uint8)
 
 
+# Bytes of unary bits between two entries of the directory.
+RUN = 32
+# Where the n-th one of a byte stands, from its highest bit.
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)
+ONE_IN_BYTE = (_BITS.cumsum(axis=1)[:, None, :] == np.arange(1, 9)[None, :, None]).argmax(axis=2)
 WEIGHT = np.r_[0.0, 10.0 ** ((np.arange(1, 256) - 255) * STEP)]
 
 
@@ -82,10 +88,11 @@ class Totals:
 
 
 class EliasFano:
-    """A non-decreasing sequence: low bits packed, high bits in unary."""
+    """A non-decreasing sequence: low bits packed, high bits in unary, and a directory of
+    how many ones stand before each ``RUN`` bytes of the unary part."""
 
-    def __init__(self, size: int, bits: int, low: np.ndarray, high: np.ndarray):
-        self.size, self.bits, self.low, self.high = size, bits, low, high
+    def __init__(self, size: int, bits: int, low: np.ndarray, high: np.ndarray, before: np.ndarray):
+        self.size, self.bits, self.low, self.high, self.before = size, bits, low, high, before
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -95,12 +102,29 @@ class EliasFano:
         unary = np.zeros(n + (most >> bits) + 1, np.uint8)
         unary[(values >> bits) + np.arange(n)] = 1
         low = ((values[:, None] >> np.arange(bits)) & 1).astype(np.uint8)
-        return cls(n, bits, np.packbits(low.ravel()), np.packbits(unary))
+        high = np.packbits(unary)
+        high = np.pad(high, (0, -len(high) % RUN))
+        ones = np.bitwise_count(high).reshape(-1, RUN).sum(axis=1, dtype=np.int64)
+        return cls(n, bits, np.packbits(low.ravel()), high, np.cumsum(ones) - ones)
+
+    def at(self, index: np.ndarray) -> np.ndarray:
+        """The values numbered ``index``: each one selected by itself, nothing else unpacked."""
+        run = np.searchsorted(self.before, index, "right") - 1
+        rest = index - self.before[run]
+        held = self.high.reshape(-1, RUN)[run]
+        ones = np.bitwise_count(held).cumsum(axis=1, dtype=np.int64)
+        byte = (ones <= rest[:, None]).sum(axis=1)
+        each = np.arange(len(index))
+        own = held[each, byte]
+        nth = rest - (ones[each, byte] - np.bitwise_count(own))
+        value = ((run * RUN + byte) * 8 + ONE_IN_BYTE[own, nth] - index) << self.bits
+        for bit in range(self.bits):
+            place = index * self.bits + bit
+            value |= ((self.low[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1).astype(np.int64) << bit
+        return value
 
     def values(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high))[: self.size]
-        low = np.unpackbits(self.low)[: self.size * self.bits].reshape(self.size, self.bits)
-        return ((ones - np.arange(self.size)) << self.bits) + low @ (1 << np.arange(self.bits))
+        return self.at(np.arange(self.size))
 
 
 class Trie:
@@ -111,33 +135,48 @@ class Trie:
         pointers = np.searchsorted(context, np.arange(contexts + 1))
         self.pointers = EliasFano.of(pointers.astype(np.int64))
         successors = (composite & _LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-        parts = [self.pointers.low, self.pointers.high, successors.ravel(), codes]
+        # Successors are read eight bytes at a time, of which five count.
+        padded = np.pad(successors.ravel(), (0, 8))
+        parts = [self.pointers.before, self.pointers.low, self.pointers.high, padded, codes]
         # Deleted with its last use; never seen by another task.
         with tempfile.TemporaryFile() as file:
             for part in parts:
                 file.write(part.tobytes())
             file.flush()
-            size = sum(p.nbytes for p in parts)
-            level = np.memmap(file, np.uint8, "r", shape=(size,)) if size else np.zeros(0, np.uint8)
+            level = np.memmap(file, np.uint8, "r", shape=(sum(p.nbytes for p in parts),))
         ends = np.cumsum([0, *(p.nbytes for p in parts)])
-        self.pointers.low, self.pointers.high, self._successors, self.codes = (
+        before, self.pointers.low, self.pointers.high, padded, self.codes = (
             level[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)
         )
+        self.pointers.before = before.view(np.int64)
+        self._successors = np.ndarray((len(codes),), "<u8", padded, strides=(5,))
 
-    def successors(self) -> np.ndarray:
-        wide = np.zeros((len(self.codes), 8), np.uint8)
-        wide[:, :5] = self._successors.reshape(-1, 5)
-        return wide.ravel().view("<u8").astype(np.int64)
+    def _successor(self, at: np.ndarray) -> np.ndarray:
+        return (self._successors[at] & np.uint64(_LOW)).astype(np.int64)
 
     def weights(self, queries: np.ndarray) -> np.ndarray:
-        """Codes of (context << 40 | successor); 0 where the context lacks the successor."""
+        """Codes of (context << 40 | successor); 0 where the context lacks the successor.
+
+        A context's two pointers bound its successors, and only these are searched.
+        """
         if not len(self.codes):
             return np.zeros(len(queries), np.uint8)
-        pointers = self.pointers.values()
-        context = np.repeat(np.arange(len(pointers) - 1), np.diff(pointers))
-        held = (context << 40) | self.successors()
-        at = np.minimum(np.searchsorted(held, queries), len(held) - 1)
-        return np.where(held[at] == queries, self.codes[at], 0).astype(np.uint8)
+        context, wanted = queries >> 40, queries & _LOW
+        asked, place = np.unique(context, return_inverse=True)
+        low, end = self.pointers.at(asked)[place], self.pointers.at(asked + 1)[place]
+        high = end.copy()
+        searched = np.flatnonzero(low < high)
+        while len(searched):
+            middle = (low[searched] + high[searched]) >> 1
+            less = self._successor(middle) < wanted[searched]
+            low[searched[less]] = middle[less] + 1
+            high[searched[~less]] = middle[~less]
+            searched = searched[low[searched] < high[searched]]
+        found = np.zeros(len(queries), np.uint8)
+        inside = np.flatnonzero(low < end)
+        held = inside[self._successor(low[inside]) == wanted[inside]]
+        found[held] = self.codes[low[held]]
+        return found
 
 
 def word_hashes(text: bytes) -> np.ndarray:
