@@ -1,13 +1,12 @@
 """Exact duplicates through counting quotient filters.
 
-Each partition builds a filter of its texts' 64-bit fingerprints: a fingerprint
-is split into a quotient and a remainder, remainders are kept sorted within
-their quotient, and each has a count.  Filters over the same quotients merge
-without loss by merging sorted remainders and adding counts.  Only texts whose
-fingerprint counts more than one are compared byte by byte.
-
-Cost: one pass over all texts for fingerprints, which move as filters (about ten
-bytes per distinct fingerprint and partition), and one over the texts whose
+Each partition builds a filter of its texts' 64-bit fingerprints (see
+``quotient_filter``), in pieces by the leading bits, the bucket.  The pieces of a
+bucket merge without loss by their sorted remainders, counts add up.  Only texts
+whose fingerprint counts more than one are compared byte by byte.
+
+Cost: one pass over all texts for fingerprints, which move as filters (about a
+dozen bytes per distinct fingerprint and partition), and one over the texts whose
 fingerprint repeats.  Fingerprints of more than a thousandth of all rows (at
 most a thousand of them) are looked up by broadcast and their texts grouped
 before the shuffle; all others are joined by fingerprint.
@@ -17,6 +16,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinerank.llm.common import batch, text_key, texts_of
+from cinerank.llm.quotient_filter import QuotientFilter, merge_all
 from cinerank.operators.skew import lookup_join
 from cinerank.session import materialise
 
@@ -32,12 +34,11 @@ from cinerank.session import materialise
 BUCKET_ROWS = 1 << 16
 # At most this many fingerprints can each have more than 1 / HOT_SHARE of all rows.
 HOT_SHARE = 1000
-_RUN_BITS = 16
 # Bytes of text that leave a worker together.
 PART_BYTES = 4 << 20
 
 _ROWS = "doc_id long, tk long, fp long, text_sha256 string"
-_FILTER = "bucket int, quotients binary, remainders binary, counts binary"
+_FILTER = "bucket int, quotient_bits int, marks binary, slots binary"
 _COUNTS = pa.schema([("fp", pa.int64()), ("n", pa.int64())])
 
 
@@ -73,82 +74,68 @@ def _fingerprints(with_text: bool):
     return run
 
 
-def _split(fingerprints: np.ndarray, bucket_bits: int) -> tuple[np.ndarray, ...]:
-    """Bucket (leading bits), quotient (next bits) and remainder (the rest)."""
-    bits = np.uint64(64 - bucket_bits)
-    bucket = fingerprints >> bits if bucket_bits else np.zeros_like(fingerprints)
-    rest = fingerprints if not bucket_bits else fingerprints & ((np.uint64(1) << bits) - np.uint64(1))
-    low = bits - np.uint64(_RUN_BITS)
-    return bucket, (rest >> low).astype(np.uint16), rest & ((np.uint64(1) << low) - np.uint64(1))
-
-
 def _build(bucket_bits: int):
-    """One filter per partition, sent in pieces by bucket."""
+    """One filter per partition, sent in pieces by bucket, the leading bits."""
     schema = pa.schema(
-        [("bucket", pa.int32())] + [(c, pa.binary()) for c in ("quotients", "remainders", "counts")]
+        [
+            ("bucket", pa.int32()),
+            ("quotient_bits", pa.int32()),
+            ("marks", pa.binary()),
+            ("slots", pa.binary()),
+        ]
     )
+    bits = 64 - bucket_bits
+
+    def pieces(held: list[np.ndarray]) -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(held), return_counts=True)
+        bucket = values >> np.uint64(bits) if bucket_bits else np.zeros_like(values)
+        rest = values & np.uint64((1 << bits) - 1)
+        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        ends = np.r_[starts[1:], len(values)]
+        filters = [
+            QuotientFilter.of(rest[a:b], counts[a:b], bits) for a, b in zip(starts, ends, strict=True)
+        ]
+        packed = [f.packed() for f in filters]
+        return batch(
+            schema,
+            bucket[starts].astype(np.int32),
+            [f.quotient_bits for f in filters],
+            [marks for marks, _ in packed],
+            [slots for _, slots in packed],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-
-        def pieces():
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            bucket, quotient, remainder = _split(values, bucket_bits)
-            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            ends = np.r_[starts[1:], len(values)]
-            spans = [slice(a, b) for a, b in zip(starts, ends, strict=True)]
-            yield batch(
-                schema,
-                [int(bucket[a]) for a in starts],
-                [quotient[s].tobytes() for s in spans],
-                [remainder[s].tobytes() for s in spans],
-                [counts[s].astype(np.uint32).tobytes() for s in spans],
-            )
-
         for rows in batches:
             values = rows.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
             if len(values):
                 held.append(values)
                 size += len(values)
             if size >= 1 << 20:
-                yield from pieces()
+                yield pieces(held)
                 held, size = [], 0
         if held:
-            yield from pieces()
+            yield pieces(held)
 
     return run
 
 
 def _merge(bucket_bits: int):
     """Counts of the fingerprints that occur more than once, bucket after bucket."""
+    bits = 64 - bucket_bits
 
-    def merged(bucket: int, parts: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
-        quotient = np.concatenate([np.frombuffer(p[0], np.uint16) for p in parts])
-        remainder = np.concatenate([np.frombuffer(p[1], np.uint64) for p in parts])
-        counts = np.concatenate([np.frombuffer(p[2], np.uint32) for p in parts]).astype(np.int64)
-        order = np.lexsort((remainder, quotient))
-        quotient, remainder, counts = quotient[order], remainder[order], counts[order]
-        new = np.r_[True, (quotient[1:] != quotient[:-1]) | (remainder[1:] != remainder[:-1])]
-        starts = np.flatnonzero(new)
-        total = np.add.reduceat(counts, starts)
-        many = starts[total > 1]
-        bits = 64 - bucket_bits
-        whole = (quotient[many].astype(np.uint64) << np.uint64(bits - _RUN_BITS)) | remainder[many]
-        if bucket_bits:
-            whole |= np.uint64(bucket) << np.uint64(bits)
-        return batch(_COUNTS, whole.view(np.int64), total[total > 1])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, parts = None, []
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, QuotientFilter]]:
         for rows in batches:
             for row in rows.to_pylist():
-                if row["bucket"] != current and parts:
-                    yield merged(current, parts)
-                    parts = []
-                current = row["bucket"]
-                parts.append((row["quotients"], row["remainders"], row["counts"]))
-        if parts:
-            yield merged(current, parts)
+                one = QuotientFilter.unpacked(bits, row["quotient_bits"], row["marks"], row["slots"])
+                yield row["bucket"], one
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, group in groupby(pieces(batches), key=itemgetter(0)):
+            values, counts = merge_all(one for _, one in group).entries()
+            if bucket_bits:
+                values = values | (np.uint64(bucket) << np.uint64(bits))
+            yield batch(_COUNTS, values[counts > 1].view(np.int64), counts[counts > 1])
 
     return run
 
