@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinerank.operators.skew import lookup_join
 from cinerank.operators.topk import first_k
 
+# Folders of the published table by film.
+FILM_PARTS = 64
+FILM_PART = "film_part"
+
+
+def film_part() -> Column:
+    """The folder of a film in the published table by film."""
+    return F.pmod(F.xxhash64(F.col("movie_id").cast("long")), F.lit(FILM_PARTS)).cast("int")
+
 
 def entries(recommendations: DataFrame) -> DataFrame:
     """One row per list entry: user_id, movie_id, rating."""
@@ -38,13 +47,18 @@ def first_users_by_film(recommendations: DataFrame, films: DataFrame, k: int) ->
 
 
 def first_users_listed(by_film: DataFrame, films: DataFrame, k: int) -> DataFrame:
-    """The same from the published table by film, which is ordered by film.
+    """The same from the published table by film, which lies in folders by ``film_part``.
 
-    The wanted films are few beside the table: their range is pushed to the scan, so
-    that row groups of other films are not read.
+    Only folders of the wanted films are read, and of these only row groups within the
+    range of their ids, which is one film where one is asked for.
     """
     wanted = films.select("movie_id").distinct()
-    low, high = wanted.agg(F.min("movie_id"), F.max("movie_id")).first()
-    listed = by_film.select("movie_id", "user_id").filter(F.col("movie_id").between(low, high))
+    # At most FILM_PARTS numbers.
+    low, high, parts = wanted.agg(
+        F.min("movie_id"), F.max("movie_id"), F.collect_set(film_part())
+    ).first()
+    listed = by_film.filter(
+        F.col(FILM_PART).isin(parts) & F.col("movie_id").between(low, high)
+    ).select("movie_id", "user_id")
     found = lookup_join(listed, wanted, "movie_id", "left_semi")
     return first_k(found, k, "movie_id", ["user_id"], "user_rank")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cinerank.operators.lists import FILM_PART, film_part
 from cinerank.operators.skew import lookup_join
 from cinerank.operators.topk import explode_list, first_k
 from cinerank.session import materialise
@@ -54,14 +55,16 @@ def publish(recommendations: DataFrame, path: str) -> None:
 
 
 def publish_by_film(recommendations: DataFrame, path: str) -> None:
-    """The inverted table: which users' lists hold a film, ordered by film.
+    """The inverted table: which users' lists hold a film, in folders by film.
 
-    The range key includes the user, so a film in most lists fills many files.
+    A folder holds the films of one hash, ordered by film and user.  The range key
+    includes the user, so a film in most lists fills many files of its folder.
     """
     entries = explode_list(recommendations).select("movie_id", "user_id", "rank", "rating")
-    rows = materialise(entries, "publish")
-    keys = ["movie_id", "user_id"]
-    write_table(rows.repartitionByRange(*keys).sortWithinPartitions(*keys), path)
+    rows = materialise(entries.withColumn(FILM_PART, film_part()), "publish")
+    keys = [FILM_PART, "movie_id", "user_id"]
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ordered.write.mode("overwrite").partitionBy(FILM_PART).parquet(path)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:

@@ -140,7 +140,9 @@ def publish_recs(spark, d):
 def publish_by_film(spark, d):
     path = scratch_path(spark, "by-film")
     sinks.publish_by_film(views.lists(spark, d), path)
-    return sources.read_table(spark, path).withColumn("rating", F.col("rating").cast("double"))
+    return sources.read_table(spark, path).select(
+        "movie_id", "user_id", "rank", F.col("rating").cast("double").alias("rating")
+    )
 
 
 @query(

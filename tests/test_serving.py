@@ -1,7 +1,18 @@
+from pathlib import Path
+
 import pytest
+from pyspark.sql import functions as F
 
 from cinerank.operators import als
-from cinerank.operators.lists import first_users_by_film, users_by_film, users_recommended
+from cinerank.operators.lists import (
+    FILM_PART,
+    FILM_PARTS,
+    film_part,
+    first_users_by_film,
+    first_users_listed,
+    users_by_film,
+    users_recommended,
+)
 from cinerank.plans.serving import recommend_by_title, recommend_for_user, search_catalogue
 from cinerank.session import scratch_path
 from cinerank.sinks.tables import publish_by_film
@@ -59,6 +70,48 @@ def test_title_lookup_reads_the_table_by_film(spark, films, lists):
     assert none.count() == 4
 
 
+def test_lookup_by_film_reads_only_folders_of_wanted_films(spark):
+    table = spark.range(400).selectExpr(
+        "cast(id AS int) AS user_id",
+        "transform(sequence(1, 200), m -> struct(cast(m AS int) AS movie_id, 1f AS rating))"
+        " AS recommendations",
+    )
+    path = scratch_path(spark, "by-film")
+    publish_by_film(table, path)
+    by_film = spark.read.parquet(path)
+    assert by_film.count() == 400 * 200
+    wanted = spark.createDataFrame([(17,), (180,), (17,), (999,)], "movie_id int")
+    parts = {r[0] for r in wanted.select(film_part()).collect()}
+    assert len(parts) <= 3 < FILM_PARTS
+    # Reading any other folder would fail.
+    for file in Path(path).glob(f"{FILM_PART}=*/*.parquet"):
+        if int(file.parent.name.split("=")[1]) not in parts:
+            file.write_bytes(b"unreadable")
+    found = first_users_listed(by_film, wanted, 3)
+    want = [(m, u, u + 1) for m in (17, 180) for u in range(3)]
+    assert rows(found, "movie_id", "user_id", "user_rank") == want
+
+
+def test_a_film_in_every_list_fills_many_files(spark):
+    """One film holds a half of all entries; its folder is written by several tasks."""
+    table = spark.range(4000).selectExpr(
+        "cast(id AS int) AS user_id",
+        "array(struct(cast(7 AS int) AS movie_id, 1f AS rating),"
+        " struct(cast(id % 50 + 100 AS int) AS movie_id, 1f AS rating)) AS recommendations",
+    )
+    path = scratch_path(spark, "by-film")
+    # So small a table would be written by one task.
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merging, "false")
+    try:
+        publish_by_film(table, path)
+    finally:
+        spark.conf.unset(merging)
+    hot = spark.read.parquet(path).filter("movie_id = 7")
+    assert hot.count() == 4000
+    assert hot.select(F.input_file_name()).distinct().count() > 1
+
+
 def test_title_users_are_a_page(spark, films, lists):
     got = by_title(spark, films, lists, ["heat"], k=1)
     assert [u["user_id"] for u in got[0]["recommendations"]] == [10]
