@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 from cinerank.operators.skew import lookup_join
 from cinerank.operators.topk import first_k
 
-# Folders of the published table by film.
-FILM_PARTS = 64
-FILM_PART = "film_part"
+# Folder columns of the published table by film: how many parts it has, and which one.
+FILM_PARTS, FILM_PART = "film_parts", "film_part"
 
 
-def film_part() -> Column:
-    """The folder of a film in the published table by film."""
-    return F.pmod(F.xxhash64(F.col("movie_id").cast("long")), F.lit(FILM_PARTS)).cast("int")
+def film_part(parts: int) -> Column:
+    """The part of a film in a published table by film of so many parts."""
+    return F.pmod(F.xxhash64(F.col("movie_id").cast("long")), F.lit(parts)).cast("int")
 
 
 def entries(recommendations: DataFrame) -> DataFrame:
@@ -53,9 +52,12 @@ def first_users_listed(by_film: DataFrame, films: DataFrame, k: int) -> DataFram
     range of their ids, which is one film where one is asked for.
     """
     wanted = films.select("movie_id").distinct()
-    # At most FILM_PARTS numbers.
+    stored = by_film.select(FILM_PARTS).first()
+    # No more numbers than the table has folders.
     low, high, parts = wanted.agg(
-        F.min("movie_id"), F.max("movie_id"), F.collect_set(film_part())
+        F.min("movie_id"),
+        F.max("movie_id"),
+        F.collect_set(film_part(stored[FILM_PARTS] if stored else 1)),
     ).first()
     listed = by_film.filter(
         F.col(FILM_PART).isin(parts) & F.col("movie_id").between(low, high)

@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cinerank.operators.lists import FILM_PART, film_part
+from cinerank.operators.lists import FILM_PART, FILM_PARTS, film_part
 from cinerank.operators.skew import lookup_join
 from cinerank.operators.topk import explode_list, first_k
 from cinerank.session import materialise
 from cinerank.sources.schemas import RECOMMENDATIONS
 
+# Entries of a folder of the table by film, and how many folders can be listed quickly.
+FOLDER_ROWS = 1 << 20
+MOST_FOLDERS = 4096
+
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV directory with headers.  Array columns are not allowed in CSV: pass text."""
@@ -54,17 +58,22 @@ def publish(recommendations: DataFrame, path: str) -> None:
     write_table(typed.repartitionByRange("user_id").sortWithinPartitions("user_id"), path)
 
 
-def publish_by_film(recommendations: DataFrame, path: str) -> None:
+def publish_by_film(
+    recommendations: DataFrame, path: str, folder_rows: int = FOLDER_ROWS
+) -> None:
     """The inverted table: which users' lists hold a film, in folders by film.
 
-    A folder holds the films of one hash, ordered by film and user.  The range key
-    includes the user, so a film in most lists fills many files of its folder.
+    A folder holds the films of one hash, ordered by film and user, about ``folder_rows``
+    entries.  The range key includes the user, so a film in most lists fills many files
+    of its folder.
     """
     entries = explode_list(recommendations).select("movie_id", "user_id", "rank", "rating")
-    rows = materialise(entries.withColumn(FILM_PART, film_part()), "publish")
+    rows = materialise(entries, "publish")
+    parts = min(MOST_FOLDERS, rows.count() // folder_rows + 1)
     keys = [FILM_PART, "movie_id", "user_id"]
-    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    ordered.write.mode("overwrite").partitionBy(FILM_PART).parquet(path)
+    placed = rows.withColumns({FILM_PARTS: F.lit(parts), FILM_PART: film_part(parts)})
+    ordered = placed.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ordered.write.mode("overwrite").partitionBy(FILM_PARTS, FILM_PART).parquet(path)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
