@@ -11,6 +11,8 @@ from cinerank.operators.topk import first_k
 from cinerank.session import materialise
 
 GRAM = 3
+# Rows that a task makes of matches.
+RESULT_ROWS = 1 << 22
 # Marks for the ends of a value; patterns and values do not hold them.
 _BEGIN, _END = "\u0002", "\u0003"
 
@@ -124,7 +126,12 @@ def _grams(text: Column, size: int) -> Column:
 
 
 def match_patterns(
-    values: DataFrame, value: str, patterns: DataFrame, pattern_id: str, pattern: str
+    values: DataFrame,
+    value: str,
+    patterns: DataFrame,
+    pattern_id: str,
+    pattern: str,
+    every: bool = False,
 ) -> DataFrame:
     """pattern_id and value for each distinct value that a pattern matches as a whole.
 
@@ -133,16 +140,21 @@ def match_patterns(
     the pattern's rarest piece, then is compared.  A pattern with shorter parts goes by
     two characters or by one; one without fixed parts meets every value, most of which it matches.
     Null matches nothing.
+
+    Equal patterns are matched once, and equal values too.  Only the pairs found are
+    multiplied by the ids that share the pattern and, with ``every``, by the rows that
+    share the value; these rows are the result's own and are dealt out by their number.
     """
     text = F.col(value)
-    distinct = materialise(values.select(text.alias("value")).filter(text.isNotNull()).distinct(), "values")
+    counted_values = values.select(text.alias("value")).filter(text.isNotNull()).groupBy("value")
+    distinct = materialise(counted_values.agg(F.count("*").alias("copies")), "values")
     marked = F.concat(F.lit(_BEGIN), F.col("value"), F.lit(_END))
     asked = patterns.select(F.col(pattern_id).alias("pattern_id"), F.col(pattern).alias("pattern"))
-    asked = asked.filter(F.col("pattern").isNotNull())
+    asked = materialise(asked.filter(F.col("pattern").isNotNull()), "patterns")
     parts = F.split(F.concat(F.lit(_BEGIN), F.col("pattern"), F.lit(_END)), r"[*?]")
     longest = F.aggregate(parts, F.lit(0), lambda most, p: F.greatest(most, F.length(p)))
     # The ends alone are pieces of every value.
-    sized = asked.withColumn("parts", parts).withColumn(
+    sized = asked.select("pattern").distinct().withColumn("parts", parts).withColumn(
         "size", F.when(F.length(F.regexp_replace("pattern", r"[*?]", "")) == 0, 0).otherwise(F.least(longest, F.lit(GRAM)))
     )
     by_size = [
@@ -151,14 +163,14 @@ def match_patterns(
     ]
     pieces = F.coalesce(*by_size, F.array(F.lit("")))
     grams = materialise(
-        sized.select("pattern_id", "pattern", F.explode(pieces).alias("gram")), "pattern-grams"
+        sized.select("pattern", F.explode(pieces).alias("gram")), "pattern-grams"
     )
     wanted, size = materialise_measured(grams.select("gram").distinct(), "wanted-grams")
     lengths = [row["n"] for row in wanted.select(F.length("gram").alias("n")).distinct().collect()]
-    every = [_grams(marked, n) if n else F.array(F.lit("")) for n in sorted(lengths)] or [F.array(F.lit(""))]
+    cuts = [_grams(marked, n) if n else F.array(F.lit("")) for n in sorted(lengths)] or [F.array(F.lit(""))]
     postings = materialise(
         sized_join(
-            distinct.select("value", F.explode(F.array_distinct(F.concat(*every))).alias("gram")),
+            distinct.select("value", "copies", F.explode(F.array_distinct(F.concat(*cuts))).alias("gram")),
             wanted,
             "gram",
             size,
@@ -169,10 +181,23 @@ def match_patterns(
     frequency = postings.groupBy("gram").agg(F.count("*").alias("df"))
     counted = lookup_join(grams, frequency, "gram", "left", computed=True)
     rarest = first_k(
-        counted.withColumn("df", F.coalesce("df", F.lit(0))), 1, ["pattern_id", "pattern"], ["df", "gram"]
-    ).select("pattern_id", "pattern", "gram")
-    return (
-        lookup_join(postings, rarest, "gram", computed=True)
-        .filter(F.like(F.col("value"), wildcard_to_like(F.col("pattern"))))
-        .select("pattern_id", "value")
+        counted.withColumn("df", F.coalesce("df", F.lit(0))), 1, "pattern", ["df", "gram"]
+    ).select("pattern", "gram")
+    met = lookup_join(postings, rarest, "gram", computed=True).filter(
+        F.like(F.col("value"), wildcard_to_like(F.col("pattern")))
     )
+    if not every:
+        met = met.withColumn("copies", F.lit(1).cast("long"))
+    met = materialise(met.select("pattern", "value", "copies"), "matches")
+    owners = asked.groupBy("pattern").agg(F.count("*").alias("owners"))
+    total = lookup_join(met, owners, "pattern", computed=True).agg(
+        F.sum(F.col("owners") * F.col("copies"))
+    ).first()[0]
+    # A match is a small row that stands for many.
+    met = met.repartition(max(1, -(-(total or 0) // RESULT_ROWS)), "value", "pattern")
+    found = lookup_join(met, asked, "pattern").select("pattern_id", "value", "copies")
+    if not every:
+        return found.drop("copies")
+    return found.select(
+        "pattern_id", "value", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy")
+    ).drop("_copy")

@@ -323,5 +323,5 @@ def x_wildcard_table(spark, d):
         "s_suppkey", F.concat(F.lit("*#*"), (F.col("s_suppkey") % 100).cast("string"), F.lit("?")).alias("pattern")
     )
     customers = views.table(spark, d, "customer")
-    found = match_patterns(customers, "c_name", patterns, "s_suppkey", "pattern")
+    found = match_patterns(customers, "c_name", patterns, "s_suppkey", "pattern", every=True)
     return found.select(F.col("pattern_id").alias("s_suppkey"), F.col("value").alias("c_name"))

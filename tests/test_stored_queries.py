@@ -104,3 +104,28 @@ def test_nothing_stored(spark, corpus):
     none = spark.createDataFrame([], "id int, query string")
     assert percolate_stored(frame, "doc_id", "text", none, "id", "query").collect() == []
     assert match_patterns(frame, "text", none, "id", "query").collect() == []
+
+
+def test_equal_patterns_are_matched_once(spark, monkeypatch):
+    """Ids that share a pattern multiply what was found, not what is compared."""
+    patterns = spark.range(40).select("id", F.lit("*#*7?").alias("pattern"))
+    values = spark.range(300).select(F.format_string("Customer#%06d", "id").alias("value"))
+    sizes = []
+    plain = stored_queries.materialise
+
+    def kept(df, label):
+        stored = plain(df, label)
+        if label == "matches":
+            sizes.append(stored.count())
+        return stored
+
+    monkeypatch.setattr(stored_queries, "materialise", kept)
+    found = match_patterns(values, "value", patterns, "id", "pattern")
+    assert found.count() == 40 * 30 and sizes == [30]
+
+
+def test_every_row_of_a_value_is_found(spark):
+    frame = spark.createDataFrame([("ab",), ("ab",), ("b",), (None,)], "value string")
+    patterns = spark.createDataFrame([(1, "a*"), (2, "a*"), (3, "?"), (4, None)], "id int, pattern string")
+    found = match_patterns(frame, "value", patterns, "id", "pattern", every=True)
+    assert rows(found) == [(1, "ab"), (1, "ab"), (2, "ab"), (2, "ab"), (3, "b")]
