@@ -177,3 +177,35 @@ def test_rmse(spark):
     row = rmse(df).first()
     assert row["rmse"] == pytest.approx((17 / 3) ** 0.5) and row["n_pairs"] == 3
     assert rmse(df.filter(F.lit(False))).first()["rmse"] is None
+
+
+def test_a_vector_is_sent_to_few_blocks(spark, matrices, monkeypatch):
+    """Items beyond the broadcast: a user visits blocks, not each pivot's items."""
+    users, items = matrices
+    visits = []
+    plain = factors.pivot_visits
+
+    def counted(*args):
+        found = plain(*args)
+        visits.append(found.count())
+        return found
+
+    monkeypatch.setattr(factors, "pivot_visits", counted)
+    found = top_k_items(factor_frame(spark, users), factor_frame(spark, items), 10, 1, 100)
+    assert found.count() == 400 and sum(visits) <= 40 * 3
+
+
+def test_nearest_vectors_beyond_the_broadcast(spark, matrices, monkeypatch):
+    """Distances of copies and of far vectors, found with short numbers first, are exact."""
+    users, items = (m.astype(float) for m in matrices)
+    items = np.concatenate([items, items[:50], 1e6 + items[50:60]])
+    monkeypatch.setattr(factors, "BROADCAST_LIMIT", 1)
+    found = nearest_vectors(factor_frame(spark, users), factor_frame(spark, items), 5, "l2")
+    apart = users.astype(np.float32)[:, None].astype(float) - items.astype(np.float32)[None].astype(float)
+    distance = np.round(np.sqrt((apart**2).sum(axis=2)), 6)
+    expected = [
+        (u, int(i), float(distance[u, i]), rank)
+        for u in range(len(users))
+        for rank, i in enumerate(np.argsort(distance[u], kind="stable")[:5], 1)
+    ]
+    assert rows(found, "user_id", "movie_id", "distance", "rank") == sorted(expected, key=repr)
