@@ -366,25 +366,38 @@ def search_texts(
 
 
 def search(
-    requests: DataFrame, request_id: str, query: str, index: TextIndex, k: int = PAGE
+    requests: DataFrame,
+    request_id: str,
+    query: str,
+    index: TextIndex,
+    k: int = PAGE,
+    details: DataFrame | None = None,
 ) -> DataFrame:
     """Hits of every request: request_id, query, doc_id, score, rank.  No match, no row.
 
     Equal texts are searched once, and a popular text is joined back as one
-    list, so it costs no more to score than a rare one.
+    list, so it costs no more to score than a rare one.  ``details`` (doc_id and others)
+    are looked up for the hits of each text and not again for each request; their
+    columns follow.
     """
-    hits = _best_documents(requests, query, index, k)
-    lists = as_ranked_list(hits, "query_id", ["doc_id", "score"], "hits")
+    hits = _best_documents(requests, query, index, k).withColumn("place", F.col("rank"))
+    fields = ["doc_id", "score", "place"]
+    if details is not None:
+        hits, size = materialise_measured(hits, "hits")
+        known = sized_join(details, hits.select("doc_id").distinct(), "doc_id", size, "left_semi")
+        hits = hits.join(known, "doc_id")
+        fields += [c for c in details.columns if c != "doc_id"]
+    # Measured, as a plan does not tell that a list has many entries.
+    lists, size = materialise_measured(as_ranked_list(hits, "query_id", fields, "hits"), "hit-lists")
     text = F.col(query)
     asked = requests.select(
         F.col(request_id), text.alias("query"), _text_key(text).alias("query_id")
     )
     return (
-        asked.join(lists, "query_id")
-        .select(request_id, "query", F.posexplode("hits").alias("_position", "_hit"))
-        .select(
-            request_id, "query", "_hit.doc_id", "_hit.score", (F.col("_position") + 1).alias("rank")
-        )
+        sized_join(asked, lists, "query_id", size)
+        .select(request_id, "query", F.explode("hits").alias("_hit"))
+        .select(request_id, "query", *[f"_hit.{name}" for name in fields])
+        .withColumnRenamed("place", "rank")
     )
 
 

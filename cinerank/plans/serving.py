@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cinerank.operators.catalogue import parameter_missing, with_titles
 from cinerank.operators.lists import first_users_by_film, first_users_listed
 from cinerank.operators.search import PAGE, TextIndex, build_index, first_hit, search
-from cinerank.operators.skew import lookup_join, materialise_measured, sized_join
+from cinerank.operators.skew import materialise_measured, sized_join
 from cinerank.operators.topk import as_ranked_list, explode_list
 from cinerank.session import materialise
 
@@ -137,9 +137,11 @@ def search_catalogue(
     without a query has one row with status 400 and no hit.
     """
     index = index or build_index(catalogue, "movie_id", ["title", "genres"])
-    hits = search(_text_lookup(requests, "query"), "request_id", "query", index, k)
-    details = catalogue.select("movie_id", "title", "genres", "avg_rating")
-    found = lookup_join(hits.withColumnRenamed("doc_id", "movie_id"), details, "movie_id")
+    details = catalogue.select(F.col("movie_id").alias("doc_id"), "title", "genres", "avg_rating")
+    hits = search(_text_lookup(requests, "query"), "request_id", "query", index, k, details)
+    found = hits.select(
+        F.col("doc_id").alias("movie_id"), "request_id", "query", "score", "rank", "title", "genres", "avg_rating"
+    )
     refused = requests.filter(parameter_missing(F.col("query"))).select("request_id", "query")
     return found.withColumn("status", F.lit(200)).unionByName(
         refused.withColumn("status", F.lit(400)), allowMissingColumns=True

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cinerank.operators import als
+from cinerank.operators import search as search_module
 from cinerank.operators.lists import (
     FILM_PART,
     FILM_PARTS,
@@ -241,3 +242,24 @@ def test_a_saved_model_replaces_what_was_there_and_loads_equal(spark):
     assert stored.rank == 4
     pairs = ratings.select("user_id", "movie_id")
     assert rows(als.predict(stored, pairs)) == rows(als.predict(model, pairs))
+
+
+def test_details_are_looked_up_for_texts_and_not_for_requests(spark, films, monkeypatch):
+    sizes = {}
+    plain = search_module.materialise_measured
+
+    def kept(df, label):
+        stored = plain(df, label)
+        sizes[label] = stored[0].count()
+        return stored
+
+    monkeypatch.setattr(search_module, "materialise_measured", kept)
+    requests = spark.range(500).select(F.col("id").alias("request_id"), F.lit("star").alias("query"))
+    catalogue = spark.createDataFrame(
+        [(1, "star one", "war", 3.5), (2, "star", "war", None), (3, "other", "sky", 4.0)],
+        "movie_id int, title string, genres string, avg_rating double",
+    )
+    found = search_catalogue(requests, catalogue)
+    assert found.count() == 1000 and sizes["hits"] == 2
+    first = found.filter("request_id = 7 AND rank = 1")
+    assert rows(first, "movie_id", "title", "genres", "avg_rating", "status") == [(2, "star", "war", None, 200)]
