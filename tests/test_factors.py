@@ -209,3 +209,20 @@ def test_nearest_vectors_beyond_the_broadcast(spark, matrices, monkeypatch):
         for rank, i in enumerate(np.argsort(distance[u], kind="stable")[:5], 1)
     ]
     assert rows(found, "user_id", "movie_id", "distance", "rank") == sorted(expected, key=repr)
+
+
+def test_pairs_are_made_once_where_factors_are_shuffled(spark, matrices, monkeypatch):
+    """Hot keys are counted on stored pairs, not on what makes them or on rows with vectors."""
+    monkeypatch.setattr(factors, "BROADCAST_LIMIT", 1)
+    monkeypatch.setattr("cinerank.operators.skew.sized_join.__defaults__", ("inner", 1, None))
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    pairs = spark.range(200).selectExpr("int(id % 40) user_id", "int(id) movie_id")
+    pairs = pairs.mapInArrow(count, pairs.schema)
+    users, items = factor_frame(spark, matrices[0]), factor_frame(spark, matrices[1])
+    assert predict_pairs(pairs, users, items).count() == 200 and made.value == 200
