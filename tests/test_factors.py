@@ -226,3 +226,40 @@ def test_pairs_are_made_once_where_factors_are_shuffled(spark, matrices, monkeyp
     pairs = pairs.mapInArrow(count, pairs.schema)
     users, items = factor_frame(spark, matrices[0]), factor_frame(spark, matrices[1])
     assert predict_pairs(pairs, users, items).count() == 200 and made.value == 200
+
+
+def test_blocks_grow_before_there_are_many(spark, matrices, monkeypatch):
+    """A user's vector goes to each block it visits, so more items are not at once more blocks."""
+    monkeypatch.setattr(factors, "BLOCK_NUMBERS", 60)
+    items = factors._with_norm(factor_frame(spark, matrices[1]))
+    blocks, _ = factors._blocks_of(items, None)
+    assert blocks.select("block").distinct().count() == 8 and blocks.count() == 300
+    monkeypatch.setattr(factors, "MOST_BLOCK_NUMBERS", 120, raising=False)
+    blocks, _ = factors._blocks_of(items, None)
+    assert blocks.groupBy("block").count().agg(F.max("count")).first()[0] <= 20
+
+
+def test_copies_of_items_do_not_grow_with_users(spark, matrices, monkeypatch):
+    """Ten times the users, the same copies of each block; the answers stay exact."""
+    users, items = matrices
+    more = np.concatenate([users] * 10)
+    copies, plain = [], factors.materialise
+
+    def counted(df, label):
+        stored = plain(df, label)
+        if label == "visitors":
+            copies.append(stored.agg(F.sum("salts"), F.count("*")).first())
+        return stored
+
+    monkeypatch.setattr(factors, "materialise", counted)
+    monkeypatch.setattr(factors, "PRODUCTS_PER_VISIT", 1)
+    monkeypatch.setattr(factors, "GROUP_NUMBERS", 24, raising=False)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = top_k_items(factor_frame(spark, more), factor_frame(spark, items), 10, 1, 60)
+        got = rows(found, "user_id", "movie_id", "score", "rank")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in brute_force(more, items, 10)]
+    assert len(copies) == 2 and all(n <= 32 + blocks for n, blocks in copies)
