@@ -19,7 +19,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinerank.functions.text import tokenise
-from cinerank.operators.skew import lookup_join, materialise_measured, sized_join
+from cinerank.operators.skew import (
+    BROADCAST_LIMIT,
+    lookup_join,
+    materialise_measured,
+    measured_bytes,
+    sized_join,
+)
 from cinerank.operators.topk import as_ranked_list, first_k, top_k
 from cinerank.session import materialise, spread
 
@@ -115,7 +121,11 @@ def build_index(
     documents with that text; dividing by their number gives the frequency in
     one.
     """
-    docs = spread(docs.select(doc_id, *fields), doc_id)
+    given = docs.select(doc_id, *fields)
+    docs = spread(given, doc_id)
+    if docs is not given:
+        # Read several times, and dealt out once.
+        docs = materialise(docs, "docs")
     tokens = field_tokens(docs, doc_id, fields)
     keyed = _by_field(docs, doc_id, fields, text_key=_text_key)
     key = ["field", "text_key"]
@@ -303,7 +313,12 @@ def _best_documents(
     for their documents: a document outside them has ``k`` others before it.
     ``favour`` weighs the two ways of ``_requirements``: below 1 prefers proposals.
     """
-    query_terms, size = materialise_measured(query_term_rows(requests, query), "query-terms")
+    rows = query_term_rows(requests, query)
+    known = index.terms.select("term").distinct()
+    if measured_bytes(known) <= BROADCAST_LIMIT:
+        # A term that no document has adds nothing to a score.
+        rows = rows.join(F.broadcast(known), "term", "left_semi")
+    query_terms, size = materialise_measured(rows, "query-terms")
     wanted = query_terms.select("term").distinct()
     postings = sized_join(index.postings, wanted, "term", size, "left_semi")
     needs, size = materialise_measured(

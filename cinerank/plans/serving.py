@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cinerank.operators.catalogue import parameter_missing, with_titles
 from cinerank.operators.lists import first_users_by_film, first_users_listed
 from cinerank.operators.search import PAGE, TextIndex, build_index, first_hit, search
-from cinerank.operators.skew import materialise_measured, sized_join
+from cinerank.operators.skew import lookup_join, materialise_measured, sized_join
 from cinerank.operators.topk import as_ranked_list, explode_list
 from cinerank.session import materialise
 
@@ -69,12 +69,10 @@ def recommend_by_title(
     )
     by_title = films.join(answers, "movie_id", "left")
     missing = parameter_missing(F.col("title"))
-    # Requests without a title are answered where they are.
-    joined = (
-        requests.filter(~missing)
-        .join(by_title, "title", "left")
-        .unionByName(requests.filter(missing), allowMissingColumns=True)
-    )
+    # Requests without a title are answered where they are, and the others too where titles are few.
+    joined = lookup_join(
+        requests.filter(~missing), by_title, "title", "left", computed=True
+    ).unionByName(requests.filter(missing), allowMissingColumns=True)
     error = (
         F.when(missing, "title is required")
         .when(F.col("movie_id").isNull(), "no film has this title")

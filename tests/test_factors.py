@@ -263,3 +263,31 @@ def test_copies_of_items_do_not_grow_with_users(spark, matrices, monkeypatch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in brute_force(more, items, 10)]
     assert len(copies) == 2 and all(n <= 32 + blocks for n, blocks in copies)
+
+
+def test_blocks_are_made_without_sorting_vectors(spark, matrices, monkeypatch):
+    """Keys alone are sorted and stored again; blocks are runs of their order, of one size."""
+    stored, plain = [], factors.materialise
+
+    def counted(df, label):
+        stored.append((label, "features" in df.columns))
+        return plain(df, label)
+
+    monkeypatch.setattr(factors, "materialise", counted)
+    monkeypatch.setattr("cinerank.operators.ordinal.materialise", counted)
+    items = np.concatenate([matrices[1], np.zeros((20, 6), np.float32)])
+    blocks, _ = factors._blocks_of(factors._with_norm(factor_frame(spark, items)), 37)
+    assert [label for label, vectors in stored if vectors] == ["cells"] and len(stored) == 2
+    got = sorted(tuple(row) for row in blocks.select("cell", "band", "angle", "id", "block").collect())
+    assert [row[-1] for row in got] == [i * 9 // 320 for i in range(320)]
+
+
+def test_vectors_just_beyond_the_broadcast_are_copied_less(spark):
+    """Copies of an item are as many as tasks a block: few items are dealt to four blocks, not two."""
+    items = spark.range(120_000).select(
+        F.col("id").cast("int"), F.array_repeat(F.rand(1).cast("float"), 64).alias("features")
+    )
+    blocks, pivots = factors._blocks_of(factors._with_norm(items), None)
+    visits = blocks.select("id", "block")
+    crowds = factors._crowds(visits, blocks, pivots.shape[1])
+    assert crowds.agg(F.max("salts")).first()[0] == 1

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cinerank.operators import extras
+from cinerank.operators import search as search_module
 from cinerank.operators.search import (
     _requirements,
     build_index,
@@ -186,3 +187,34 @@ def test_percolate_equals_brute_force(spark, catalogue):
 def test_wildcards(spark, pattern, expected):
     df = spark.createDataFrame([("a%b",), ("a_b",), ("abb",), ("c\\d",)], "t string")
     assert [r[0] for r in rows(df.filter(extras.wildcard(F.col("t"), pattern)))] == expected
+
+
+def test_terms_that_no_document_has_are_not_stored(spark, monkeypatch):
+    stored, plain = [], search_module.materialise_measured
+
+    def counted(df, label):
+        made = plain(df, label)
+        if label == "query-terms":
+            stored.append(sorted(row["term"] for row in made[0].collect()))
+        return made
+
+    monkeypatch.setattr(search_module, "materialise_measured", counted)
+    docs = spark.createDataFrame([(1, "red gear"), (2, "blue bolt")], "id int, title string")
+    index = build_index(docs, "id", ["title"])
+    asked = spark.createDataFrame([(7, "red Customer#1"), (8, "Customer#2")], "id int, title string")
+    assert rows(search(asked, "id", "title", index), "id", "doc_id", "rank") == [(7, 1, 1)]
+    assert stored == [["red"]]
+
+
+def test_documents_are_made_once_for_an_index(spark):
+    """A small input is dealt out to all cores once, not for each table of the index."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame(make_docs(40), "id int, title string, genres string").coalesce(1)
+    index = build_index(docs.mapInArrow(count, docs.schema), "id", ["title"])
+    assert index.members.count() == 40 and made.value == 40

@@ -263,3 +263,19 @@ def test_details_are_looked_up_for_texts_and_not_for_requests(spark, films, monk
     assert found.count() == 1000 and sizes["hits"] == 2
     first = found.filter("request_id = 7 AND rank = 1")
     assert rows(first, "movie_id", "title", "genres", "avg_rating", "status") == [(2, "star", "war", None, 200)]
+
+
+def test_requests_meet_few_titles_where_they_are(spark, films, lists, capsys):
+    """Answers are measured and broadcast, so equal titles of many requests go to no one task."""
+    requests = spark.createDataFrame([(i, "Paper Story") for i in range(50)], "request_id int, title string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = recommend_by_title(requests, films, lists)
+        capsys.readouterr()
+        found.explain()
+        plan = capsys.readouterr().out
+        assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+        assert found.filter("status = 200 and size(recommendations) = 2").count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
