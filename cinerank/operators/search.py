@@ -121,11 +121,8 @@ def build_index(
     documents with that text; dividing by their number gives the frequency in
     one.
     """
-    given = docs.select(doc_id, *fields)
-    docs = spread(given, doc_id)
-    if docs is not given:
-        # Read several times, and dealt out once.
-        docs = materialise(docs, "docs")
+    # Read several times; made and dealt out once, also where its size is not known.
+    docs = materialise(spread(docs.select(doc_id, *fields), doc_id), "docs")
     tokens = field_tokens(docs, doc_id, fields)
     keyed = _by_field(docs, doc_id, fields, text_key=_text_key)
     key = ["field", "text_key"]
