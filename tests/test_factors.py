@@ -291,3 +291,40 @@ def test_vectors_just_beyond_the_broadcast_are_copied_less(spark):
     visits = blocks.select("id", "block")
     crowds = factors._crowds(visits, blocks, pivots.shape[1])
     assert crowds.agg(F.max("salts")).first()[0] == 1
+
+
+def test_both_passes_share_the_tasks_and_store_no_lists_of_visits(spark, matrices, monkeypatch):
+    """A part of the pairs gets that part of the tasks, and with it of the copies of blocks."""
+    users, items = matrices
+    more = np.concatenate([users] * 10)
+    copies, stored, plain = [], {}, factors.materialise
+
+    def counted(df, label):
+        written = plain(df, label)
+        stored[label] = written.count()
+        if label == "visitors":
+            copies.append(written.agg(F.sum("salts"), F.count("*")).first())
+        return written
+
+    monkeypatch.setattr(factors, "materialise", counted)
+    monkeypatch.setattr(factors, "PRODUCTS_PER_VISIT", 1)
+    found = top_k_items(factor_frame(spark, more), factor_frame(spark, items), 10, 1, 60)
+    got = rows(found, "user_id", "movie_id", "score", "rank")
+    assert [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in brute_force(more, items, 10)]
+    cores = spark.sparkContext.defaultParallelism
+    tasks = max(factors.VISIT_TASKS, 2 * cores)
+    assert sum(n for n, _ in copies) <= tasks + cores + sum(blocks for _, blocks in copies)
+    assert stored["ranked"] == 4000 and stored["floors"] <= 400 and "scores" not in stored
+
+
+def test_lists_longer_than_spark_cuts_are_exact_beyond_the_broadcast(spark, matrices):
+    users, items = matrices
+    name = "spark.sql.optimizer.windowGroupLimitThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "3")
+    try:
+        found = top_k_items(factor_frame(spark, users), factor_frame(spark, items), 5, 1, 60)
+        got = rows(found, "user_id", "movie_id", "score", "rank")
+    finally:
+        spark.conf.set(name, before)
+    assert [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in brute_force(users, items, 5)]
