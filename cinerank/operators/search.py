@@ -219,6 +219,19 @@ def _keyed_texts(requests: DataFrame, query: str) -> DataFrame:
     )
 
 
+def known_texts(requests: DataFrame, query: str, index: TextIndex) -> DataFrame:
+    """The distinct texts that share a term with the index: no other has a hit.
+
+    Texts without such a term are left out where they are read, before texts are made
+    distinct, as long as the terms are few enough for a broadcast.
+    """
+    known = index.terms.select("term").distinct()
+    if measured_bytes(known) > BROADCAST_LIMIT:
+        return requests.select(query).distinct()
+    terms = requests.select(query, F.explode(tokenise(F.col(query))).alias("term"))
+    return terms.join(F.broadcast(known), "term", "left_semi").select(query).distinct()
+
+
 def query_term_rows(requests: DataFrame, query: str) -> DataFrame:
     """query_id, term, qtf: the distinct terms of each distinct text and their frequency."""
     return (

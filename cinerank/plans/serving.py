@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cinerank.operators.catalogue import parameter_missing, with_titles
 from cinerank.operators.lists import first_users_by_film, first_users_listed
-from cinerank.operators.search import PAGE, TextIndex, build_index, first_hit, search
+from cinerank.operators.search import PAGE, TextIndex, build_index, first_hit, known_texts, search
 from cinerank.operators.skew import lookup_join, materialise_measured, sized_join
 from cinerank.operators.topk import as_ranked_list, explode_list
 from cinerank.session import materialise
@@ -31,8 +31,9 @@ def best_films(
     requests: DataFrame, catalogue: DataFrame, index: TextIndex | None = None
 ) -> DataFrame:
     """(title, movie_id): the best film for each distinct requested title."""
-    titles = _text_lookup(requests, "title").select("title").distinct()
     index = index or build_index(catalogue, "movie_id", ["title"])
+    # Read several times; requests may be many and hold few titles that can be found.
+    titles = materialise(known_texts(_text_lookup(requests, "title"), "title", index), "titles")
     return first_hit(titles.withColumn("_text", F.col("title")), "_text", "title", index).select(
         F.col("query").alias("title"), F.col("doc_id").cast("int").alias("movie_id")
     )

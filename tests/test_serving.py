@@ -14,6 +14,7 @@ from cinerank.operators.lists import (
     users_by_film,
     users_recommended,
 )
+from cinerank.plans import serving as serving_module
 from cinerank.plans.serving import recommend_by_title, recommend_for_user, search_catalogue
 from cinerank.session import scratch_path
 from cinerank.sinks.tables import publish_by_film
@@ -279,3 +280,22 @@ def test_requests_meet_few_titles_where_they_are(spark, films, lists, capsys):
         assert found.filter("status = 200 and size(recommendations) = 2").count() == 50
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_titles_that_no_film_can_have_are_left_out_first(spark, films, lists, monkeypatch):
+    """Only titles with a term of the index are made distinct and searched for."""
+    titles = ["Paper Story", "us", "Paper Story", "", None, *[f"Customer#{i:09d}" for i in range(50)]]
+    stored, plain = {}, serving_module.materialise
+
+    def kept(df, label):
+        stored[label] = plain(df, label)
+        return stored[label]
+
+    monkeypatch.setattr(serving_module, "materialise", kept)
+    got = by_title(spark, films, lists, titles)
+    assert sorted(row["title"] for row in stored["titles"].collect()) == ["Paper Story", "us"]
+    assert [got[i]["status"] for i in range(6)] == [200, 404, 200, 400, 400, 404] and len(got) == 55
+    # Beyond the broadcast all titles are kept, and the answers are the same.
+    monkeypatch.setattr(search_module, "BROADCAST_LIMIT", 0)
+    assert by_title(spark, films, lists, titles) == got
+    assert stored["titles"].count() == 52
