@@ -328,3 +328,42 @@ def test_lists_longer_than_spark_cuts_are_exact_beyond_the_broadcast(spark, matr
     finally:
         spark.conf.set(name, before)
     assert [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in brute_force(users, items, 5)]
+
+
+def test_pairs_meet_vectors_without_carrying_them(spark, matrices, monkeypatch):
+    """Beyond the broadcast no pair is joined to a vector that it takes through the next shuffle."""
+    users, items = (factor_frame(spark, m) for m in matrices)
+    asked = [(u, i, f"{u}-{i}", u / 3) for u in range(45) for i in range(0, 310, 7)] + [(1, 2, None, None)] * 3
+    pairs = spark.createDataFrame([*asked, (None, 3, "x", 0.5)], "user_id int, movie_id long, t string, w double")
+    expected = {rank: predict_pairs(pairs, users, items, rank) for rank in (None, 6)}
+    expected = {rank: (frame.columns, rows(frame)) for rank, frame in expected.items()}
+    assert len(expected[6][1]) == 40 * 43 + 3
+
+    def joined(*args, **kwargs):
+        raise AssertionError("pairs are joined to vectors")
+
+    monkeypatch.setattr(factors, "BROADCAST_LIMIT", 1)
+    monkeypatch.setattr(factors, "sized_join", joined)
+    for rank, (columns, found) in expected.items():
+        frame = predict_pairs(pairs, users, items, rank)
+        assert frame.columns == columns and rows(frame) == found
+
+
+def test_ids_that_repeat_meet_as_in_a_join(spark, monkeypatch):
+    vectors = [(1, [1.0, 2.0]), (1, [3.0, 5.0]), (2, [0.5, 0.0])]
+    frame = spark.createDataFrame(vectors, "id int, features array<float>")
+    pairs = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (3, 1)], "user_id int, movie_id int")
+    expected = rows(predict_pairs(pairs, frame, frame))
+    assert len(expected) == 4 + 2 + 1
+    monkeypatch.setattr(factors, "BROADCAST_LIMIT", 1)
+    assert rows(predict_pairs(pairs, frame, frame)) == expected
+
+
+def test_vectors_that_are_not_alike_are_joined(spark, monkeypatch):
+    """A missing or shorter vector gives a missing prediction, as within the broadcast."""
+    users = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [1.0])], "id int, features array<float>")
+    items = spark.createDataFrame([(7, [2.0, 1.0])], "id int, features array<float>")
+    pairs = spark.createDataFrame([(1, 7), (2, 7), (3, 7)], "user_id int, movie_id int")
+    expected = rows(predict_pairs(pairs, users, items))
+    monkeypatch.setattr(factors, "BROADCAST_LIMIT", 1)
+    assert rows(predict_pairs(pairs, users, items)) == expected
