@@ -14,3 +14,23 @@ def test_steps_of_training_leave_the_disk(spark, monkeypatch):
     ratings = spark.createDataFrame([(1, 1, 3), (1, 2, 4), (2, 1, 5)], "user_id int, movie_id int, rating int")
     assert als.fit(ratings, max_iter=2).userFactors.count() == 2
     assert given["checkpointInterval"] <= 2
+
+
+def test_messages_of_one_iteration_stay_and_blocks_are_few(spark, monkeypatch):
+    """A factor is sent once for each block: 200 million pairs are not cut to forty of them."""
+    given = {}
+    plain = als.ALS
+
+    def kept(**settings):
+        given.update(settings)
+        return plain(**settings)
+
+    dropped = []
+    monkeypatch.setattr(als, "ALS", kept)
+    monkeypatch.setattr(als, "drop_shuffle_files", dropped.append)
+    monkeypatch.setattr(als, "MIN_BLOCKS", 1)
+    ratings = spark.createDataFrame([(1, 1, 3), (1, 2, 4), (2, 1, 5)], "user_id int, movie_id int, rating int")
+    als.fit(ratings, max_iter=2)
+    assert given["checkpointInterval"] == 1 and dropped
+    assert given["numUserBlocks"] == given["numItemBlocks"] == 1
+    assert -(-200_000_000 // als.PAIRS_PER_BLOCK) < 20
