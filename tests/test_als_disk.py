@@ -1,4 +1,10 @@
+import threading
+
+from pyspark.sql import functions as F
+
 from cinerank.operators import als
+from entry_queries import model as model_queries
+from tests.conftest import rows
 
 
 def test_steps_of_training_leave_the_disk(spark, monkeypatch):
@@ -34,3 +40,46 @@ def test_messages_of_one_iteration_stay_and_blocks_are_few(spark, monkeypatch):
     assert given["checkpointInterval"] == 1 and dropped
     assert given["numUserBlocks"] == given["numItemBlocks"] == 1
     assert -(-200_000_000 // als.PAIRS_PER_BLOCK) < 20
+
+
+def test_folds_are_trained_one_after_the_other(spark, monkeypatch):
+    """The disk holds the shuffle files of one training: the last fold's are dropped before the next."""
+    steps = []
+    plain_fit, plain_score = als.fit, als.rmse
+
+    def fitted(*args, **params):
+        steps.append("fit")
+        assert threading.current_thread() is threading.main_thread()
+        return plain_fit(*args, **params)
+
+    def scored(predictions):
+        steps.append(sorted(predictions.columns))
+        return plain_score(predictions)
+
+    monkeypatch.setattr(als, "fit", fitted)
+    monkeypatch.setattr(als, "rmse", scored)
+    monkeypatch.setattr(als, "drop_shuffle_files", lambda _: steps.append("drop"))
+    data = [(u, m, (u * m) % 5 + 1, u, 1 + (u + m) % 2) for u in range(12) for m in range(9)]
+    folds = spark.createDataFrame(data, "user_id int, movie_id int, rating int, timestamp int, fold int")
+    found = als.cross_validate(folds, 2, seed=1, blocks=2, max_iter=1)
+    read = ["movie_id", "prediction", "rating", "user_id"]
+    assert [s for s in steps if s != "drop"] == ["fit", read, "fit", read]
+    assert steps[steps.index(read) + 1] == "drop" and steps[-1] == "drop"
+    assert rows(found, "fold", "n_pairs") == [(1, 54), (2, 54)]
+
+
+def test_rows_known_in_the_base_are_found_by_the_keys_that_are_not(spark, monkeypatch):
+    data = [(1, 1, 1), (1, 2, 2), (2, 1, 2), (2, 3, 1), (3, 2, 1), (3, 1, 1), (None, 1, 1), (1, None, 2)]
+    folds = spark.createDataFrame(data, "user_id int, movie_id int, fold int")
+    sizes = []
+    plain = model_queries.lookup_join
+
+    def kept(left, right, *args, **kwargs):
+        sizes.append(right.count())
+        return plain(left, right, *args, **kwargs)
+
+    monkeypatch.setattr(model_queries, "lookup_join", kept)
+    # User 3 has rows in fold 1 only and film 3 has one row.
+    found = rows(model_queries._known_in_base(folds).filter(F.col("user_id").isNotNull()))
+    assert found == [(1, 1, 1), (1, 2, 2), (2, 1, 2)]
+    assert sizes[0] <= 2 and sizes[1] <= 2
