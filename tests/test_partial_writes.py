@@ -91,6 +91,32 @@ def test_a_hot_film_is_summed_before_the_shuffle(spark, hot_film):
     assert {r["id"]: r["n"] for r in sums.collect()}[0] == 60
 
 
+def test_equations_of_few_ratings_are_not_sent(spark, hot_film, monkeypatch):
+    """Only hot keys are summed by Spark; the others' ratings and factors meet in a task."""
+    frame = spark.createDataFrame(hot_film, "user_id int, movie_id int, rating double").repartition(7)
+    films = frame.select(F.col("movie_id").alias("id")).distinct()
+    start = {r["id"]: np.array(r["features"], float) for r in grouped_als._start(films, 3, 11).collect()}
+    expected = plain_factors(hot_film, 3, 0.1, 4, start)
+    summed = []
+    plain = grouped_als.normal_equations
+
+    def counted(pairs, key, *args):
+        summed.append((key, pairs.select(key).distinct().count()))
+        return plain(pairs, key, *args)
+
+    monkeypatch.setattr(grouped_als, "normal_equations", counted)
+    monkeypatch.setattr(grouped_als, "LEAST_TASKS", 3)
+    monkeypatch.setattr(grouped_als, "SOLVE_ROWS", 10)
+    for hot_rows, keys in ((1 << 20, []), (60, [("movie_id", 1)] * 4)):
+        summed.clear()
+        found = fit_factors(frame, 3, 4, 0.1, 11, hot_rows=hot_rows)
+        assert summed == keys
+        for side, by_hand in zip(found, expected):
+            got = {r["id"]: np.array(r["features"]) for r in side.collect()}
+            assert got.keys() == by_hand.keys()
+            assert all(np.allclose(got[k], by_hand[k], atol=2e-3) for k in by_hand)
+
+
 def test_grouped_model_is_a_model_of_the_same_form(spark, hot_film):
     frame = spark.createDataFrame(hot_film, "user_id int, movie_id int, rating int".replace("rating int", "rating double"))
     grouped = als.fit(frame, seed=3, rank=4, max_iter=8, method="grouped")
