@@ -42,7 +42,8 @@ def publish_pipeline(
 
     Films rated already are listed too, unless ``seen`` (user_id, movie_id) names them.
     """
-    lists = materialise(als.recommendations(als.load(model_path), seen=seen), "lists")
-    publish(lists, f"{table_path}/by_user")
+    # Publishing stores the lists, so they are made once and stored no second time here.
+    publish(als.recommendations(als.load(model_path), seen=seen), f"{table_path}/by_user")
+    lists = spark.read.schema(RECOMMENDATIONS).parquet(f"{table_path}/by_user")
     publish_by_film(lists, f"{table_path}/by_film")
-    return spark.read.schema(RECOMMENDATIONS).parquet(f"{table_path}/by_user")
+    return lists

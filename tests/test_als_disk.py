@@ -83,3 +83,15 @@ def test_rows_known_in_the_base_are_found_by_the_keys_that_are_not(spark, monkey
     found = rows(model_queries._known_in_base(folds).filter(F.col("user_id").isNotNull()))
     assert found == [(1, 1, 1), (1, 2, 2), (2, 1, 2)]
     assert sizes[0] <= 2 and sizes[1] <= 2
+
+
+def test_lists_are_stored_once_before_they_are_published(spark, monkeypatch, tmp_path):
+    from cinerank.plans import training
+
+    monkeypatch.setattr(training, "materialise", None)
+    data = [(u, m, float(1 + (u * m) % 5)) for u in range(6) for m in range(12)]
+    ratings = spark.createDataFrame(data, "user_id int, movie_id int, rating double")
+    als.save(als.fit(ratings, seed=1, rank=3, max_iter=1), str(tmp_path / "model"))
+    lists = training.publish_pipeline(spark, str(tmp_path / "model"), str(tmp_path / "table"))
+    assert lists.count() == 6
+    assert spark.read.parquet(str(tmp_path / "table" / "by_film")).count() == 60
